@@ -69,3 +69,24 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.Table | pa.Record
             yield from out.to_batches() if isinstance(out, pa.Table) else [out]
 
     return df.mapInArrow(run, schema, **options)
+
+
+def annotate(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, pa.Array]], added: str, keep: list[str] | None = None) -> DataFrame:
+    """``df`` with columns computed batch by batch in Python.
+
+    ``fn`` gets an Arrow batch and returns the arrays named in the DDL string
+    ``added``.  Only the columns in ``keep`` (all of them by default) travel back
+    from Python; input columns named like an added one are replaced.
+    """
+    new = df.sparkSession.createDataFrame([], added).schema
+    back = without(df, *new.names).columns if keep is None else keep
+    schema = type(new)([f for f in df.schema.fields if f.name in back] + list(new.fields))
+    names = [f.name for f in new.fields]
+    order = [f.name for f in schema.fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = fn(batch)
+            yield pa.RecordBatch.from_arrays([made[n] if n in names else batch.column(n) for n in order], names=order)
+
+    return df.mapInArrow(run, schema)
