@@ -4,15 +4,33 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing
+from . import mixing, packing, pii, quality, simjoin
 from .common import table
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.digest(pii.find_pii(docs, keep=["doc_id"]))
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return quality.quality_rules(docs, keep=["doc_id"]).drop("class_distance", "word_distance")
+
+
+def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simjoin.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op9_mix_sources": op9_mix_sources}
+QUERIES = {f.__name__: f for f in (op4_pii, op5_quality_rules, op6_pack, op7_ngram_jaccard_join, op9_mix_sources)}
 
 ORACLE_SQL = {"op9_mix_sources": mixing.ORACLE_SQL}
