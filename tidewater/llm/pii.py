@@ -205,14 +205,14 @@ def fit(found: DataFrame) -> np.ndarray:
     return train(kinds, patterns, n, reliabilities(kinds, patterns, n))
 
 
-def accepted(found: DataFrame, weights: np.ndarray) -> DataFrame:
-    """``found`` with ``spans``: base spans and those others that the classifier takes, by start and then kind."""
+def accepted(found: DataFrame, weights: np.ndarray, name: str = "spans") -> DataFrame:
+    """``found`` with the column ``name``: base spans and those others that the classifier takes, by start and then kind."""
     kinds, patterns = (a.ravel() for a in np.meshgrid(np.arange(len(KINDS)), np.arange(3 ** len(LABELERS)), indexing="ij"))
     good = 1 / (1 + np.exp(-features(kinds, patterns) @ weights)) >= ACCEPT
     taken = [int(k * 3 ** len(LABELERS) + p) for k, p, g in zip(kinds, patterns, good) if g]
     code = lambda s: s["kind"] * F.lit(3 ** len(LABELERS)) + s["votes"]
     keep = F.filter("_found", lambda s: s["base"] | code(s).isin(taken) if taken else s["base"])
-    return found.withColumn("spans", F.transform(keep, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["base"].alias("base")))).drop("_found")
+    return found.withColumn(name, F.transform(keep, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["base"].alias("base")))).drop("_found")
 
 
 def find_pii(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -230,8 +230,8 @@ def find_pii(docs: DataFrame, text_col: str = "text", keep: list[str] | None = N
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with every span replaced by its kind in angle brackets.  Overlapping spans are replaced as one, by the first kind."""
-    found = materialize(find_proposals(without(docs, "spans", "_found"), text_col, docs.columns), "spans")
-    marked = accepted(found, fit(found))
+    found = materialize(find_proposals(docs, text_col, docs.columns), "spans")
+    marked = accepted(found, fit(found), "_spans")
     names, at = docs.columns, docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,7 +250,7 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
             columns[at] = pa.array(texts, b.schema.field(at).type)
             yield pa.RecordBatch.from_arrays(columns, names=b.schema.names[:-1])
 
-    return marked.select(*names, "spans").mapInArrow(run, docs.schema)
+    return marked.select(*names, "_spans").mapInArrow(run, docs.schema)
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
