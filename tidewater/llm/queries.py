@@ -4,10 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, pii, quality, simjoin
+from . import editcount, hamming, html, langid, mixing, packing, pii, quality, simjoin, suffixes
 from .common import table
 
 
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return langid.identify(docs, keep=["doc_id"])
+
+
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.cut_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_bytes=False)
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pii.digest(pii.find_pii(docs, keep=["doc_id"]))
@@ -26,11 +39,20 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simjoin.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op8_hamming_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamming.search_table(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op4_pii, op5_quality_rules, op6_pack, op7_ngram_jaccard_join, op9_mix_sources)}
+def op10_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return editcount.count_edits(editcount.sample_edits(docs), keep=["doc_id"])
+
+
+QUERIES = {f.__name__: f for f in (op1_html, op2_language, op3_suffix_dedup, op4_pii, op5_quality_rules, op6_pack, op7_ngram_jaccard_join, op8_hamming_search, op9_mix_sources, op10_edit_counts)}
 
-ORACLE_SQL = {"op9_mix_sources": mixing.ORACLE_SQL}
+ORACLE_SQL = {"op8_hamming_search": hamming.ORACLE_SQL, "op9_mix_sources": mixing.ORACLE_SQL}
