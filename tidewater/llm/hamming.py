@@ -96,7 +96,8 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = K) -> DataFrame:
     total = entries.count()
     found, done = None, None
     for radius in range(width + 1):
-        met = _probes(waiting, radius).join(index, ["seg", "value"]).select("qid", "qcode", "code")
+        # the planner can't see how many rows probing makes, so it must not take them for a small side
+        met = _probes(waiting.repartition("qid"), radius).hint("merge").join(index.hint("merge"), ["seg", "value"]).select("qid", "qcode", "code")
         new = met.distinct().withColumn("distance", distance(F.col("qcode"), F.col("code")))
         if found is not None:
             new = new.unionByName(found.join(waiting.select("qid"), "qid", "left_semi")).distinct()
