@@ -80,3 +80,23 @@ def difference_over_lower(a: Column, b: Column) -> Column:
 
 def winner(a: Column, b: Column, first: str = "Set 1", second: str = "Set 2", tie: str = "Tie") -> Column:
     return F.when(a > b, first).when(b > a, second).otherwise(tie)
+
+
+def class_balance(rows: DataFrame, truth: Column, group: str) -> DataFrame:
+    """Rows and share of the positive class, over all and how many groups there are."""
+    return rows.agg(
+        F.count_if(truth).cast("long").alias("positive"), F.count_if(~truth).cast("long").alias("negative"), F.round(F.avg(truth.cast("int")), 6).alias("fraction"), F.count_distinct(group).cast("long").alias("groups"))
+
+
+def side_averages(sets: DataFrame, value: str) -> DataFrame:
+    """Mean of each side, the percent by which its two sets differ (null unless there are exactly two), per participant."""
+    g = sets.groupBy("participant_id", "side").agg(F.count(F.lit(1)).cast("long").alias("sets"), F.sum(value).alias("_sum"), F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    spread = F.when(F.col("sets") == 2, difference(F.col("_lo"), F.col("_hi")))
+    return g.select("participant_id", "side", "sets", F.round(F.round("_sum", 6) / F.col("sets"), 6).alias("average"), F.round(spread, 6).alias("repeat_difference"))
+
+
+def ladder_extremes(levels: DataFrame, value: str) -> DataFrame:
+    """Of each participant's levels of weight, those with the highest and the lowest value to one decimal; the first level wins ties, and one level alone gives none."""
+    shown = levels.withColumn("_v", F.round(value, 1))
+    g = shown.groupBy("participant_id").agg(F.count(F.lit(1)).alias("_n"), F.min_by("weight", F.struct(-F.col("_v"), F.col("weight"))).alias("highest_at"), F.min_by("weight", F.struct("_v", "weight")).alias("lowest_at"))
+    return g.filter("_n >= 2").drop("_n")

@@ -99,3 +99,30 @@ def hysteresis(signals: DataFrame, enter: Column, leave: Column, value: str = "r
     """``active``: on from the first row at or above ``enter`` until one at or below ``leave``."""
     said = F.when(F.col(value) >= enter, F.lit(1)).when(F.col(value) <= leave, F.lit(0))
     return signals.withColumn("active", F.coalesce(F.last(said, ignorenulls=True).over(_order().rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)) == 1)
+
+
+def recent_window(signals: DataFrame, seconds: float = 8.0, most: int = 2000) -> DataFrame:
+    """The rows of each recording's last ``seconds``, at most ``most`` of them: what a live plot shows."""
+    end = F.max("time_s").over(_all())
+    back = F.row_number().over(Window.partitionBy("recording_id").orderBy(F.desc("seq")))
+    marked = signals.withColumns({"_end": end, "_back": back})
+    return marked.filter((F.round(F.col("_end") - F.col("time_s"), 6) <= seconds) & (F.col("_back") <= most)).drop("_end", "_back")
+
+
+def activity(active: DataFrame, substantial_s: float = 0.5, apart_s: float = 0.75) -> DataFrame:
+    """Per recording: active time and episodes of a signal marked ``active`` (see :func:`hysteresis`).
+
+    Active time adds the step to each active row. An episode lasts from its first
+    active row to the first inactive row after it, or the last row; it counts if
+    it is substantial and begins ``apart_s`` after the last substantial one ended.
+    """
+    w = _order()
+    step = F.col("time_s") - F.lag("time_s").over(w)
+    edge = F.when(F.col("active") & ~F.coalesce(F.lag("active").over(w), F.lit(False)), 1).otherwise(0)
+    rows = active.withColumns({"_step": F.when(F.col("active"), F.coalesce(step, F.lit(0.0))).otherwise(0.0), "_edge": edge, "_next": F.coalesce(F.lead("time_s").over(w), F.col("time_s"))})
+    rows = rows.withColumn("_episode", F.sum("_edge").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = rows.filter("active").groupBy("recording_id", "_episode").agg(F.min("time_s").alias("s"), F.max("_next").alias("e")).filter(F.round(F.col("e") - F.col("s"), 6) >= substantial_s)
+    before = F.lag("e").over(Window.partitionBy("recording_id").orderBy("_episode"))
+    counted = spans.withColumn("_b", before).filter(F.col("_b").isNull() | (F.round(F.col("s") - F.col("_b"), 6) >= apart_s)).groupBy("recording_id").agg(F.count(F.lit(1)).cast("long").alias("episodes"))
+    total = rows.groupBy("recording_id").agg(F.round(F.sum("_step"), 6).alias("active_time"))
+    return total.join(counted, "recording_id", "left").withColumn("episodes", F.coalesce("episodes", F.lit(0).cast("long")))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text
-from .operators import calibration, compare, detect, matching, metrics, smoothing
+from .operators import calibration, compare, detect, hybrid, matching, metrics, smoothing
 from .plans import analysis
 from .sources import signals
 from .streaming import lifecycle
@@ -430,3 +430,75 @@ def jn_6_matched_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def str_2_set_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     readings = signals.event_recordings(spark, sf_dir, step_s=0.25).select("recording_id", F.col("time_s"), F.col("raw").alias("value"))
     return lifecycle.replay(readings, baseline=5.0, signal_range=100.0)
+
+
+@query(_S + ", x AS (SELECT *, max(time_s) OVER (PARTITION BY recording_id) AS e FROM s1) SELECT recording_id, count(*)::BIGINT AS n, min(seq) AS first_seq FROM x WHERE round(e - time_s, 6) <= 3 GROUP BY ALL")
+def win_16_recent_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    recent = smoothing.recent_window(_ev(spark, sf_dir), 3.0)
+    return recent.groupBy("recording_id").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first_seq"))
+
+
+@query(_S + """, c AS (SELECT *, CASE WHEN raw >= 60 THEN 1 WHEN raw <= 20 THEN 0 END AS x FROM s1),
+a AS (SELECT *, coalesce(last_value(x IGNORE NULLS) OVER (PARTITION BY recording_id ORDER BY seq ROWS UNBOUNDED PRECEDING), 0) = 1 AS active FROM c),
+b AS (SELECT *, CASE WHEN active THEN coalesce(time_s - lag(time_s) OVER w, 0) ELSE 0 END AS st, CASE WHEN active AND NOT coalesce(lag(active) OVER w, false) THEN 1 ELSE 0 END AS ed, coalesce(lead(time_s) OVER w, time_s) AS nx FROM a WINDOW w AS (PARTITION BY recording_id ORDER BY seq)),
+d AS (SELECT *, sum(ed) OVER (PARTITION BY recording_id ORDER BY seq) AS ep FROM b),
+e AS (SELECT recording_id, ep, min(time_s) AS s, max(nx) AS e FROM d WHERE active GROUP BY ALL HAVING round(max(nx) - min(time_s), 6) >= 0.5),
+f AS (SELECT *, lag(e) OVER (PARTITION BY recording_id ORDER BY ep) AS pb FROM e), g AS (SELECT recording_id, count(*) AS n FROM f WHERE pb IS NULL OR round(s - pb, 6) >= 0.75 GROUP BY 1)
+SELECT d.recording_id, round(sum(st), 6) AS active_time, coalesce(max(g.n), 0)::BIGINT AS episodes FROM d LEFT JOIN g USING (recording_id) GROUP BY d.recording_id""")
+def win_13_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return smoothing.activity(smoothing.hysteresis(_ev(spark, sf_dir), F.lit(60.0), F.lit(20.0)))
+
+
+@query(_RECS + _PAIR + """SELECT newer, older, concat_ws('; ', CASE WHEN trim(a.side) = '' OR trim(b.side) = '' THEN 'side missing' WHEN trim(a.side) <> trim(b.side) THEN 'side differs' END, CASE WHEN a.weight <> b.weight THEN 'weight differs' END) AS warnings
+FROM pair JOIN rc a ON a.recording_id = newer JOIN rc b ON b.recording_id = older""")
+def cmp_2_metadata_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = _recordings(spark, sf_dir)
+    pairs = compare.newest_pair(r.filter("test_type = 'workout_set'"))
+    side = lambda p, k: r.select(F.col("recording_id").alias(k), *[F.col(c).alias(f"{p}_{c}") for c in ("side", "weight")])
+    return compare.metadata_warnings(pairs.join(side("a", "newer"), "newer").join(side("b", "older"), "older")).select("newer", "older", "warnings")
+
+
+@query(_CAND + "SELECT count(*) FILTER (truth) AS positive, count(*) FILTER (NOT truth) AS negative, round(avg(truth::INT), 6) AS fraction, count(DISTINCT session_id) AS groups FROM c")
+def agg_25_class_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.class_balance(_candidates(spark, sf_dir), F.col("truth"), "session_id")
+
+
+@query(_CAND + "SELECT session_id, count(*) FILTER (truth) AS true_count, count(*) FILTER (said) AS predicted_count, count(*) FILTER (said) - count(*) FILTER (truth) AS error, abs(count(*) FILTER (said) - count(*) FILTER (truth)) AS absolute_error FROM c GROUP BY 1")
+def agg_24_count_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .plans import classify
+
+    return classify.count_errors(_candidates(spark, sf_dir).select("session_id", F.col("truth").cast("double").alias("label"), F.col("said").alias("predicted")))
+
+
+@query(_CAND + ", x AS (SELECT session_id, CASE WHEN doc_id % 2 = 0 THEN 'train' ELSE 'test' END AS part FROM c) SELECT session_id, count(DISTINCT part) AS parts FROM x GROUP BY 1 HAVING count(DISTINCT part) > 1")
+def val_7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    split = _candidates(spark, sf_dir).withColumn("part", F.when(F.col("doc_id") % 2 == 0, "train").otherwise("test"))
+    return matching.leaks(split, "session_id")
+
+
+@query(_SUMMARY + _RECS.replace("WITH ", ", ", 1) + """, sd AS (SELECT participant_id, lower(trim(side)) AS side, avg_value FROM sm JOIN rc USING (recording_id))
+SELECT participant_id, side, count(*)::BIGINT AS sets, round(round(sum(avg_value), 6) / count(*), 6) AS average, round(CASE WHEN count(*) = 2 THEN CASE WHEN min(abs(avg_value)) <= 1e-9 THEN 0 ELSE (max(avg_value) - min(avg_value)) / min(avg_value) * 100 END END, 6) AS repeat_difference FROM sd GROUP BY ALL""")
+def agg_26_side_averages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sets = analysis.summaries(_ev(spark, sf_dir)).join(_recordings(spark, sf_dir), "recording_id").withColumn("side", calibration.folded(F.col("side")))
+    return metrics.side_averages(sets, "avg_value")
+
+
+@query(_S + _RECS.replace("WITH ", ", ", 1) + """, lv AS (SELECT participant_id, weight, round(round(sum(raw), 6) / count(*), 1) AS v FROM s1 JOIN rc USING (recording_id) GROUP BY ALL)
+SELECT participant_id, arg_min(weight, {'a': -v, 'b': weight}) AS highest_at, arg_min(weight, {'a': v, 'b': weight}) AS lowest_at FROM lv GROUP BY 1 HAVING count(*) >= 2""")
+def agg_27_weight_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    levels = _ev(spark, sf_dir).join(_recordings(spark, sf_dir), "recording_id").groupBy("participant_id", "weight").agg(detect.steady_mean("raw").alias("v"))
+    return metrics.ladder_extremes(levels, "v")
+
+
+@query()
+def fn_4_set_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers are printed to one decimal, which engines round differently at the edge; so there is no SQL."""
+    return text.set_report(analysis.summaries(_ev(spark, sf_dir)))
+
+
+@query()
+def seg_11_candidate_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    signal = analysis.smoothed(signals.supplier_recordings(spark, sf_dir))
+    limits = smoothing.thresholds(signal)
+    regions = detect.detect(signal, limits)
+    return hybrid.candidate_features(hybrid.detect(signal, limits, regions), regions, signal, limits)
