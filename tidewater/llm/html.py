@@ -42,6 +42,8 @@ _NOT_WORDS = frozenset(
     "sidebar aside widget footer header masthead comment comments discussion disqus respond replies reader share sharing social related recommended newsletter subscribe signup login "
     "popup modal overlay pagination pager toolbar skip search contentinfo complementary dialog".split()
 )
+#: Words of names that speak of such a part beside the element ("with-sidebar", "no-ads").
+_BESIDE = frozenset("with without has no layout".split())
 _WORDS = re.compile(r"[a-z0-9]+")
 _DIGITS = re.compile(r"\d+")
 _HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -68,7 +70,7 @@ def _attributes(attrs: str) -> tuple[str, bool]:
         elif key == "hidden" or key == "aria-hidden":
             dropped |= value != "false"
         else:
-            dropped |= not _NOT_WORDS.isdisjoint(_WORDS.findall(value))
+            dropped |= any(not _NOT_WORDS.isdisjoint(words := _WORDS.findall(part)) and _BESIDE.isdisjoint(words) for part in value.split())
     return name, dropped
 
 
