@@ -7,17 +7,19 @@ seldom make candidates.
 
 1. Documents with equal sets are one *set*; sets with equal prefix and size are
    one *group*.  Only groups meet in the index.
-2. Each posting list that has several groups first proposes one pair per group,
-   with its pivot; verified pairs are links, links make components.  A large
-   family of near copies falls into one component by as many pairs as it has
-   members, not by all its pairs.
+2. Each posting list that has several groups first proposes a few pairs per
+   group, with its pivots; verified pairs are links, links make components.  A large
+   family of near copies falls into one component by a few times as many pairs
+   as it has members, not by all its pairs.
 3. What is left are pairs of groups in different components.  They pass filters
-   on size and position, are expanded to sets, and are verified exactly.
+   on size, position and the number of shared prefix elements, are expanded to
+   sets, and are verified exactly.
    Pairs inside one component need no check: they could not change it.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,11 +38,12 @@ SKETCH_BITS = 20
 _CHUNK_BITS = 14
 #: A shingle is frequent if its counter is this many times the mean, and above the floor.
 FREQUENT_TIMES, FREQUENT_FLOOR = 4, 50
-PIVOT_ROUNDS = 2
+#: Pivots of a posting list besides its most central group.
+RANDOM_PIVOTS = 2
 
 
 def frequency_sketch(docs: DataFrame, text_col: str = "text", width: int = WIDTH) -> np.ndarray:
-    """Counters of all shingles of all documents, by hash: each task sends one array, in chunks that are summed in two steps."""
+    """Counters of all shingles of all documents, by hash: each task sends one array, in compressed chunks that are summed in two steps."""
     size = 1 << SKETCH_BITS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -53,20 +56,20 @@ def frequency_sketch(docs: DataFrame, text_col: str = "text", width: int = WIDTH
                 part ^= int(h[0] >> U64(40)) if len(h) else 0
         if total.any():
             chunks = total.astype("<u4").reshape(-1, 1 << _CHUNK_BITS)
-            yield pa.record_batch({"chunk": pa.array(range(len(chunks)), pa.int32()), "part": pa.array([part % 64] * len(chunks), pa.int32()), "n": pa.array([c.tobytes() for c in chunks], pa.binary())})
+            yield pa.record_batch({"chunk": pa.array(range(len(chunks)), pa.int32()), "part": pa.array([part % 64] * len(chunks), pa.int32()), "n": pa.array([zlib.compress(c.tobytes(), 1) for c in chunks], pa.binary())})
 
     def add(key: tuple, table: pa.Table) -> pa.Table:
         total = np.zeros(1 << _CHUNK_BITS, np.int64)
         for x in table.column("n"):
-            total += np.frombuffer(x.as_buffer(), "<u4")
-        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([0], pa.int32()), "n": pa.array([np.minimum(total, (1 << 32) - 1).astype("<u4").tobytes()], pa.binary())})
+            total += np.frombuffer(zlib.decompress(x.as_buffer()), "<u4")
+        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([0], pa.int32()), "n": pa.array([zlib.compress(np.minimum(total, (1 << 32) - 1).astype("<u4").tobytes(), 1)], pa.binary())})
 
     schema = "chunk int, part int, n binary"
     parts = docs.select(text_col).mapInArrow(count, schema)
     sums = parts.groupBy("chunk", "part").applyInArrow(add, schema).groupBy("chunk").applyInArrow(add, schema)
     out = np.zeros((size >> _CHUNK_BITS, 1 << _CHUNK_BITS), np.uint32)
     for row in sums.toLocalIterator():  # the whole sketch, of fixed size
-        out[row.chunk] = np.frombuffer(row.n, "<u4")
+        out[row.chunk] = np.frombuffer(zlib.decompress(row.n), "<u4")
     return out.reshape(-1)
 
 
@@ -133,11 +136,28 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_arrow(joined.select("a", "b", "x", "y"), run, "a long, b long")
 
 
-def _reach(n: Column, i: Column, m: Column, j: Column, percent: int) -> Column:
-    """Whether sets of sizes ``n`` and ``m`` that first share their elements ``i`` and ``j`` can be similar enough."""
+def _alike(n: Column, i: Column, m: Column, j: Column, percent: int) -> Column:
+    """Whether sets of sizes ``n`` and ``m`` that share their elements ``i`` and ``j`` can be similar enough: fewer are shared before and after than either has."""
+    most = F.least(i, j) + F.least(n - i, m - j)
+    return (most * (100 + percent) >= percent * (n + m)) & (F.least(n, m) * 100 >= percent * F.greatest(n, m))
+
+
+def _first(n: Column, i: Column, m: Column, j: Column, percent: int) -> Column:
+    """Whether sets whose first shared elements are ``i`` and ``j`` can be similar enough; some shared element of similar sets satisfies it."""
     return (F.least(n - i, m - j) * (100 + percent) >= percent * (n + m)) & (F.least(n, m) * 100 >= percent * F.greatest(n, m))
 
 
+def _counted(shared: DataFrame, percent: int) -> DataFrame:
+    """Pairs of groups ``(g, h)`` from one row per shared prefix element, if they share enough of them.
+
+    Of two prefixes, the one that ends first in the common order has all its
+    shared elements in both; what is shared beyond lies in the rest of its set.
+    """
+    rest = lambda n: F.ceil(n * percent / 100) - 1
+    pairs = shared.groupBy("g", "h").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"), F.first("m").alias("m"))
+    return pairs.filter((F.col("c") + F.greatest(rest(F.col("n")), rest(F.col("m")))) * (100 + percent) >= percent * (F.col("n") + F.col("m"))).select("g", "h")
+
+
 def near_duplicates(docs: DataFrame, percent: int = THRESHOLD_PERCENT, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id_col, n_shingles, component_id)`` for every row of ``docs``.
 
@@ -151,8 +171,11 @@ def near_duplicates(docs: DataFrame, percent: int = THRESHOLD_PERCENT, width: in
     """
     base = docs.select(id_col, text_col)
     frequent = frequent_counters(frequency_sketch(base, text_col, width))
-    docs_sets = materialize(document_sets(base, frequent, id_col, text_col, width, percent), "sets")
-    links = materialize(links_between_sets(docs_sets, base, percent, width, id_col, text_col), "set-links")
+    wide = materialize(document_sets(base, frequent, id_col, text_col, width, percent), "sets")
+    docs_sets = materialize(wide.drop("prefix"), "sets")
+    index = posting_lists(wide)
+    discard(wide)
+    links = materialize(links_between_sets(docs_sets, index, base, percent, width, id_col, text_col), "set-links")
     labels = components(links)
     of_sets = docs_sets.select("id", "set_id", "n").join(labels.withColumnRenamed("node", "set_id"), "set_id", "left")
     of_sets = of_sets.withColumn("label", F.coalesce("label", "set_id"))
@@ -162,59 +185,65 @@ def near_duplicates(docs: DataFrame, percent: int = THRESHOLD_PERCENT, width: in
     return out
 
 
-def links_between_sets(docs_sets: DataFrame, docs: DataFrame, percent: int, width: int, id_col: str, text_col: str) -> DataFrame:
-    """Verified links that connect what is similar: enough of them for the components, not every one."""
-    members = docs_sets.filter("set_id is not null").groupBy("set_id").agg(F.min("id").alias("id"), F.first("group_id").alias("group_id"), F.first("n").alias("n"))
-    groups = docs_sets.filter("set_id is not null").groupBy("group_id").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.min("set_id").alias("least"), F.max("set_id").alias("most"))
+def posting_lists(docs_sets: DataFrame) -> DataFrame:
+    """``token, group_id, n, i``: the groups whose prefix has each token, with their size and the token's place, for tokens of several groups; the rest can propose nothing."""
+    groups = docs_sets.filter("set_id is not null").groupBy("group_id").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     posted = groups.select("group_id", "n", F.posexplode("prefix").alias("i", "token")).select("token", "group_id", "n", F.col("i").cast("long").alias("i"))
+    return materialize(_repeated(posted.repartition("token").sortWithinPartitions("token")), "postings")
 
-    # tokens with several groups; the rest of the index can propose nothing
-    index = materialize(_repeated(posted.repartition("token").sortWithinPartitions("token")), "postings")
 
-    several = groups.filter("least != most").select("group_id")
-    members = materialize(members.join(index.select("group_id").unionByName(several).distinct(), "group_id", "left_semi"), "members")
-    sets = materialize(_sets_of(members, docs, width, id_col, text_col), "hashes")
+def links_between_sets(docs_sets: DataFrame, index: DataFrame, docs: DataFrame, percent: int, width: int, id_col: str, text_col: str) -> DataFrame:
+    """Verified links that connect what is similar: enough of them for the components, not every one."""
+    filled = docs_sets.filter("set_id is not null")
+    members = materialize(filled.groupBy("set_id").agg(F.min("id").alias("id"), F.first("group_id").alias("group_id")), "members")
     of_group = members.select("group_id", "set_id")
 
     def expand(pairs: DataFrame) -> DataFrame:
         """Pairs of groups to pairs of their sets."""
         x = pairs.join(of_group.select(F.col("group_id").alias("g"), F.col("set_id").alias("sa")), "g")
         x = x.join(of_group.select(F.col("group_id").alias("h"), F.col("set_id").alias("sb")), "h")
-        return x.filter("sa != sb").select(F.least("sa", "sb").alias("a"), F.greatest("sa", "sb").alias("b")).distinct()
-
-    # every set of a group against the group's least: equal prefixes are likely near copies
-    first = of_group.groupBy("group_id").agg(F.min("set_id").alias("a"))
-    inside = of_group.join(first, "group_id").filter("a != set_id").select("a", F.col("set_id").alias("b"))
-    found = materialize(_verified(inside.distinct(), sets, percent), "found")
-
-    for turn in range(PIVOT_ROUNDS):
-        of = _labelled(of_group, found)
-        here = index.join(of, "group_id")
-        rank = F.struct(F.xxhash64("group_id", F.lit(turn)), F.col("group_id"), F.col("n"), F.col("i"), F.col("label"))
-        pivots = here.groupBy("token").agg(F.min(rank).alias("p"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("token", F.col("p.group_id").alias("h"), F.col("p.n").alias("m"), F.col("p.i").alias("j"), F.col("p.label").alias("hl"))
-        tried = here.join(pivots, "token").filter((F.col("label") != F.col("hl")) & _reach(F.col("n"), F.col("i"), F.col("m"), F.col("j"), percent))
-        pairs = tried.select(F.least("group_id", "h").alias("g"), F.greatest("group_id", "h").alias("h")).distinct()
-        more = materialize(found.unionByName(_verified(expand(pairs), sets, percent)), "found")
-        discard(found)
-        found = more
-
-    of = _labelled(of_group, found)
-    here = materialize(index.join(of, "group_id"), "labelled")
+        return x.filter("sa != sb").select(F.least("sa", "sb").alias("a"), F.greatest("sa", "sb").alias("b"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = materialize(pairs.distinct(), "pairs")
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct().join(members.select("set_id", "id"), "set_id")
+        sets = materialize(_sets_of(wanted, docs, width, id_col, text_col), "hashes")
+        out = materialize(_verified(pairs, sets, percent), "found")
+        discard(pairs), discard(sets)
+        return out
+
+    # every group against the pivots of each of its tokens: the group that has least before the token, for it
+    # resembles a family's original, and some at random; and every set against the least of its group
+    row = lambda *first: F.min(F.struct(*first, "group_id", "n", "i"))
+    chosen = [row(F.col("i").alias("r"), F.xxhash64("group_id").alias("s")), *[row(F.xxhash64("group_id", F.lit(k)).alias("r"), F.lit(0).cast("long").alias("s")) for k in range(RANDOM_PIVOTS)]]
+    pivots = index.groupBy("token").agg(F.array(*[c.cast("struct<r:bigint,s:bigint,group_id:bigint,n:bigint,i:bigint>") for c in chosen]).alias("p"))
+    pivots = pivots.select("token", F.explode(F.array_distinct(F.transform("p", lambda p: F.struct(p["group_id"].alias("h"), p["n"].alias("m"), p["i"].alias("j"))))).alias("p")).select("token", "p.*")
+    tried = index.withColumnRenamed("group_id", "g").join(pivots, "token").filter((F.col("g") != F.col("h")) & _alike(F.col("n"), F.col("i"), F.col("m"), F.col("j"), percent))
+    several = of_group.groupBy("group_id").agg(F.min("set_id").alias("a"), F.max("set_id").alias("z")).filter("a != z")
+    inside = of_group.join(several, "group_id").filter("a != set_id").select("a", F.col("set_id").alias("b"))
+    found = verified(expand(_counted(tried, percent)).unionByName(inside))
+
+    # what is left: groups in different components
+    labels = components(found).withColumnRenamed("node", "set_id")
+    named = materialize(of_group.join(labels, "set_id", "left").withColumn("label", F.coalesce("label", "set_id")), "labels")
+    one = named.groupBy("group_id").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+    # a group whose sets lie in several components is a component of its own here
+    one = one.select("group_id", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.col("group_id")).alias("label"), (F.col("lo") != F.col("hi")).alias("parted"))
+    here = materialize(index.join(one.select("group_id", "label"), "group_id"), "labelled")
+    discard(index)
     mixed = here.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("token")
     here = here.join(mixed, "token", "left_semi")
     left = here.select("token", F.col("group_id").alias("g"), "n", "i", "label")
     right = here.select("token", F.col("group_id").alias("h"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("label").alias("hl"))
     smaller = (F.col("n") < F.col("m")) | (F.col("n") == F.col("m")) & (F.col("g") < F.col("h"))
-    rest = left.join(right, (left.token == right.token) & (F.col("label") != F.col("hl")) & smaller & _reach(F.col("n"), F.col("i"), F.col("m"), F.col("j"), percent))
-    crossing = expand(rest.select("g", "h").distinct())
-    # groups whose sets are not yet all in one component: every pair of their sets
-    label = F.coalesce("label", "set_id")
-    parted = of_group.join(components(found).withColumnRenamed("node", "set_id"), "set_id", "left").select("group_id", "set_id", label.alias("label"))
-    split = parted.groupBy("group_id").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("group_id")
-    parted = parted.join(split, "group_id", "left_semi")
+    near = _first(F.col("n"), F.col("i"), F.col("m"), F.col("j"), percent)
+    rest = materialize(left.join(right, (left.token == right.token) & (F.col("label") != F.col("hl")) & smaller & near).select("g", "h", "n", "m").distinct(), "rest")
+    tokens = here.select("group_id", "token")
+    rest = rest.join(tokens.withColumnRenamed("group_id", "g"), "g").join(tokens.withColumnRenamed("group_id", "h"), ["h", "token"])
+    parted = named.join(one.filter("parted").select("group_id"), "group_id", "left_semi")
     other = parted.select("group_id", F.col("set_id").alias("b"), F.col("label").alias("bl"))
     within = parted.withColumnRenamed("set_id", "a").join(other, "group_id").filter("a < b and label != bl").select("a", "b")
-    last = _verified(materialize(crossing.unionByName(within).distinct(), "pairs"), sets, percent)
+    last = verified(expand(_counted(rest.select("g", "h", "n", "m"), percent)).unionByName(within))
     return found.unionByName(last)
 
 
@@ -241,14 +270,6 @@ def _repeated(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, rows.schema)
 
 
-def _labelled(of_group: DataFrame, found: DataFrame) -> DataFrame:
-    """A component label per group: the sets' one label, or the group's own name while its sets lie in several components."""
-    labels = components(found)
-    of = of_group.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
-    one = of.groupBy("group_id").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-    return materialize(one.select("group_id", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.col("group_id")).alias("label")), "labels")
-
-
 def _sets_of(members: DataFrame, docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
     """``(set_id, hashes)`` of the sets in ``members``, from the text of one document each."""
 
