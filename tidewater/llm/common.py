@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -35,9 +36,25 @@ def materialize(df: DataFrame, label: str = "cut") -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    # shuffle files of plans that nothing refers to any more are only freed when the driver collects its garbage
+    gc.collect()
+    spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialize_bucketed(df: DataFrame, label: str, by: str, buckets: int) -> DataFrame:
+    """Like :func:`materialize`, but as a table bucketed and sorted by ``by``, so that joins and groups by it need no shuffle.
+
+    ``df`` should already lie in ``buckets`` hash partitions of ``by``; then each task writes one file.
+    """
+    spark = df.sparkSession
+    name = f"{label}_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, by).sortBy(by).option("path", f"{scratch_dir(spark)}/{name}").format("parquet").saveAsTable(name)
+    gc.collect()
+    spark._jvm.System.gc()
+    return spark.table(name)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files behind a table made by :func:`materialize` that nothing reads any more."""
     spark = df.sparkSession

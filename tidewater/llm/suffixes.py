@@ -2,15 +2,17 @@
 
 Every string of ``LENGTH`` bytes has an anchor: where the smallest hash of an
 ``HEAD``-byte string inside it begins.  Equal strings have their anchors at equal
-places, so only suffixes that begin at anchors are indexed, some 1 in 85.  The
+places, so only suffixes that begin at anchors are indexed, some 1 in 70.  The
 strings that share an anchor form a *segment*, a run of overlapping windows.
 
-New documents come in batches.  A batch's suffixes are put in order (their first
-eight bytes, then a fingerprint of the first 32, then of the whole segment) with
-equal segments counted: its suffix array.  The array is scanned against each
-level of the index for heads that both have, and then joins the index; two
-levels of one size are merged into one of double the size, so a suffix is
-rewritten a number of times that grows with the logarithm of the batches.
+New documents come in batches.  A batch's suffixes in order (their first three
+bytes, then a fingerprint of the first 32, then one of the whole segment), equal
+segments counted, are its suffix array.  The array is scanned against each level
+of the index for heads that both have, and then joins the index; two levels of
+one size are merged into one of double the size, so a suffix is rewritten a
+number of times that grows with the logarithm of the batches.  All arrays are
+bucketed and sorted by the head, so scans and merges read them side by side
+without a shuffle.
 
 Segments that occur twice are repeated whole.  Those that share only their head
 with another segment are compared by windows, first by the common core of 16
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, map_arrow, materialize
+from .common import discard, map_arrow, materialize, materialize_bucketed
 from .rolling import U64, Poly, mix, text_slices
 
 LENGTH, HEAD = 200, 32
@@ -38,7 +40,7 @@ _POS_BITS = 27
 _A, _B = Poly(101), Poly(202)
 _SPREAD = U64(0x9E3779B97F4A7C15)
 
-_SEGMENT = "head long, key long, seg1 long, seg2 long, start int, lead int, size int"
+_SEGMENT = "key long, seg long, start int, lead int, size int"
 
 
 def _sliding_min(v: np.ndarray, width: int) -> np.ndarray:
@@ -53,7 +55,7 @@ def _sliding_min(v: np.ndarray, width: int) -> np.ndarray:
 def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, head: int = HEAD) -> dict[str, np.ndarray]:
     """The segments of all texts of a slice, in order: row, first window's start, anchor, end of the last window, and hashes."""
     n = len(data)
-    names = ("row", "start", "anchor", "end", "head", "key", "seg1", "seg2")
+    names = ("row", "start", "anchor", "end", "key", "seg")
     if n < length or not (np.diff(offsets) >= length).any():
         return {k: np.zeros(0, np.int64) for k in names}
     sums = _A.sums(data)
@@ -69,15 +71,14 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, head:
     first = np.flatnonzero(np.concatenate(([True], anchors[1:] != anchors[:-1])))
     last = np.append(first[1:], len(starts)) - 1
     s1, end, a = starts[first], starts[last] + length, anchors[first]
-    sums_b = _B.sums(data)
     size = (end - s1).astype(U64)
-    eight = np.zeros(len(a), U64)
-    for i in range(8):
-        eight = eight << U64(8) | data[a + i].astype(U64)
+    three = np.zeros(len(a), U64)
+    for i in range(3):
+        three = three << U64(8) | data[a + i].astype(U64)
+    key = three << U64(40) | mix(grams[a]) >> U64(24)
     return {
         "row": np.searchsorted(offsets, s1, "right") - 1, "start": s1, "anchor": a, "end": end,
-        "head": (eight ^ U64(1 << 63)).view(np.int64), "key": mix(grams[a]).view(np.int64),
-        "seg1": mix(_A.ranges(sums, s1, end) + size * _SPREAD).view(np.int64), "seg2": mix(_B.ranges(sums_b, s1, end) + size * _SPREAD).view(np.int64),
+        "key": (key ^ U64(1 << 63)).view(np.int64), "seg": mix(_A.ranges(sums, s1, end) + size * _SPREAD).view(np.int64),
     }
 
 
@@ -94,7 +95,7 @@ def occurrences(docs: DataFrame, id_col: str, text_col: str, batches: int) -> Da
             rows = pa.array(s["row"] + first)
             start = s["start"] - offsets[s["row"]]
             parts.append(pa.record_batch({
-                "id": batch.column(0).take(rows), "h": batch.column(1).take(rows), **{k: pa.array(s[k]) for k in ("head", "key", "seg1", "seg2")},
+                "id": batch.column(0).take(rows), "h": batch.column(1).take(rows), "key": pa.array(s["key"]), "seg": pa.array(s["seg"]),
                 "start": pa.array(start, pa.int32()), "lead": pa.array(s["anchor"] - s["start"], pa.int32()), "size": pa.array(s["end"] - s["start"], pa.int32()),
             }))
         return pa.Table.from_batches(parts) if parts else None
@@ -105,59 +106,69 @@ def occurrences(docs: DataFrame, id_col: str, text_col: str, batches: int) -> Da
 
 
 class SuffixIndex:
-    """Levels of suffix arrays, each a table in the shared folder; level ``i`` holds ``2^i`` batches."""
+    """Levels of suffix arrays, bucketed tables ``key, seg, n`` in the shared folder; level ``i`` holds ``2^i`` batches."""
 
-    def __init__(self, spark: SparkSession):
-        self.spark, self.levels, self.matches = spark, {}, []
+    def __init__(self, spark: SparkSession, buckets: int):
+        self.spark, self.buckets, self.levels, self.matches = spark, buckets, {}, []
+
+    def _keep(self, rows: DataFrame, label: str) -> DataFrame:
+        return materialize_bucketed(rows, label, "key", self.buckets)
 
     def add(self, batch: DataFrame) -> None:
         """Index a batch of segments; heads that it shares with itself or a level are noted in ``matches``."""
-        array = self._array(batch.withColumn("n", F.lit(1).cast("long")))
-        within = array.groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1").select("key")
-        heads = array.select("key").distinct()
-        found = [within] + [heads.join(level.select("key"), "key", "left_semi") for level in self.levels.values()]
-        shared = found[0]
-        for x in found[1:]:
-            shared = shared.unionByName(x)
-        self.matches.append(materialize(shared.distinct(), "matches"))
-        rank = 0
+        array = self._keep(batch.groupBy("key", "seg").agg(F.count(F.lit(1)).alias("n")), "suffixes")
+        heads = array.groupBy("key").agg(F.sum("n").alias("n"))
+        here = F.col("n") > 1
+        for i, level in enumerate(self.levels.values()):
+            other = level.groupBy("key").agg(F.lit(True).alias(f"in{i}"))
+            heads, here = heads.join(other, "key", "left"), here | F.col(f"in{i}").isNotNull()
+        self.matches.append(self._keep(heads.filter(here).select("key"), "matches"))
+        self._insert(array, 0)
+
+    def _insert(self, array: DataFrame, rank: int) -> None:
         while rank in self.levels:
             older = self.levels.pop(rank)
-            merged = self._array(older.unionByName(array))
+            merged = self._merge(older, array)
             discard(older), discard(array)
             array, rank = merged, rank + 1
         self.levels[rank] = array
 
-    def _array(self, rows: DataFrame) -> DataFrame:
-        """Equal segments counted, in the order of suffixes inside each range of hashed heads."""
-        place = ("id", "h", "start", "lead", "size")
-        counted = rows.groupBy("key", "seg1", "seg2").agg(F.sum("n").alias("n"), F.first("head").alias("head"), *[F.first(c).alias(c) for c in place])
-        return materialize(counted.sortWithinPartitions("head", "key", "seg1"), "suffixes")
+    def _merge(self, a: DataFrame, b: DataFrame) -> DataFrame:
+        both = a.join(b.withColumnRenamed("n", "m"), ["key", "seg"], "full")
+        return self._keep(both.select("key", "seg", (F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))).alias("n")), "suffixes")
 
     def all(self) -> DataFrame:
-        """All levels as one table of distinct segments."""
-        out = None
-        for level in self.levels.values():
-            out = level if out is None else out.unionByName(level)
-        return out.groupBy("key", "seg1", "seg2").agg(F.sum("n").alias("n"), *[F.first(c).alias(c) for c in ("id", "h", "start", "lead", "size")]) if len(self.levels) > 1 else out
+        """The whole index as one array; levels that are left are merged, smallest first."""
+        while len(self.levels) > 1:
+            low, high = sorted(self.levels)[:2]
+            a, b = self.levels.pop(low), self.levels.pop(high)
+            self.levels[high] = self._merge(a, b)
+            discard(a), discard(b)
+        return next(iter(self.levels.values()))
 
     def shared(self) -> DataFrame:
+        """Heads that several suffixes have."""
         out = self.matches[0]
         for x in self.matches[1:]:
-            out = out.unionByName(x)
-        return out.distinct()
+            out = out.join(x, "key", "full")
+        return out
+
+    def close(self) -> None:
+        """Delete the tables of all levels."""
+        for table in (*self.levels.values(), *self.matches):
+            discard(table)
 
 
 def _cut_out(batch: pa.RecordBatch) -> pa.RecordBatch | None:
     """Bytes of the wanted segments (column ``wanted``) of each text."""
-    out: dict[str, list] = {k: [] for k in ("key", "seg1", "seg2", "lead", "bytes")}
+    out: dict[str, list] = {k: [] for k in ("key", "seg", "lead", "bytes")}
     for text, wanted in zip(batch.column(0), batch.column(1).to_pylist()):
         data = (text.as_py() or "").encode("utf-8", "surrogatepass")
         for w in wanted:
-            for k in ("key", "seg1", "seg2", "lead"):
+            for k in ("key", "seg", "lead"):
                 out[k].append(w[k])
             out["bytes"].append(data[w["start"] : w["start"] + w["size"]])
-    return pa.record_batch({**{k: pa.array(out[k], pa.int64()) for k in ("key", "seg1", "seg2")}, "lead": pa.array(out["lead"], pa.int32()), "bytes": pa.array(out["bytes"], pa.binary())})
+    return pa.record_batch({**{k: pa.array(out[k], pa.int64()) for k in ("key", "seg")}, "lead": pa.array(out["lead"], pa.int32()), "bytes": pa.array(out["bytes"], pa.binary())})
 
 
 def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -171,9 +182,9 @@ def _block_rows(batch: pa.RecordBatch, length: int = LENGTH, block: int = BLOCK)
     """For every block of windows of every segment: its core's and its own fingerprint, and its windows' range in the segment."""
     if not batch.num_rows:
         return None
-    data, base = _bytes_of(batch.column(4))
+    data, base = _bytes_of(batch.column(3))
     sums_a, sums_b = _A.sums(data), _B.sums(data)
-    lead, size = batch.column(3).to_numpy().astype(np.int64), np.diff(base)
+    lead, size = batch.column(2).to_numpy().astype(np.int64), np.diff(base)
     most, least = lead, lead - (size - length)  # the anchor's place in the first and in the last window
     count = most // block - least // block + 1
     seg = np.repeat(np.arange(len(size)), count)
@@ -187,7 +198,7 @@ def _block_rows(batch: pa.RecordBatch, length: int = LENGTH, block: int = BLOCK)
     b, e = base[seg] + first, base[seg] + last + length
     rows = pa.array(seg)
     return pa.record_batch({
-        "seg1": batch.column(1).take(rows), "seg2": batch.column(2).take(rows), "ckey": pa.array(ckey.view(np.int64)),
+        "key": batch.column(0).take(rows), "seg": batch.column(1).take(rows), "ckey": pa.array(ckey.view(np.int64)),
         "u1": pa.array(mix(_A.ranges(sums_a, b, e) + tag + span * _SPREAD).view(np.int64)), "u2": pa.array(mix(_B.ranges(sums_b, b, e) + tag + span * _SPREAD).view(np.int64)),
         "first": pa.array(first, pa.int32()), "last": pa.array(last, pa.int32()),
     })
@@ -210,43 +221,58 @@ def _window_rows(batch: pa.RecordBatch, length: int = LENGTH) -> pa.RecordBatch
     })
 
 
-def _partly_repeated(index: SuffixIndex, table: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(seg1, seg2, first, last)``: ranges of repeated windows in segments that share a head with a different segment."""
-    several = table.join(index.shared(), "key", "left_semi").groupBy("key").agg(F.min("seg1").alias("lo"), F.max("seg1").alias("hi")).filter("lo != hi").select("key")
-    edge = table.join(several, "key", "left_semi")
-    place = F.struct("key", "seg1", "seg2", "start", "lead", "size")
-    wanted = edge.groupBy("id", "h").agg(F.collect_list(place).alias("wanted"))  # at most a document's own segments
+def _partly_repeated(index: SuffixIndex, seen: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(key, seg, first, last)``: ranges of repeated windows in segments that share a head with a different segment."""
+    table = index.all().join(index.shared(), "key", "left_semi")
+    several = table.groupBy("key").agg(F.min("seg").alias("lo"), F.max("seg").alias("hi")).filter("lo != hi").select("key")
+    edge = table.select("key", "seg").join(several, "key", "left_semi")
+    place = F.struct("key", "seg", "start", "lead", "size")
+    one = seen.join(edge, ["key", "seg"], "left_semi").groupBy("key", "seg").agg(*[F.first(c).alias(c) for c in ("id", "h", "start", "lead", "size")])
+    wanted = one.groupBy("id", "h").agg(F.collect_list(place).alias("wanted"))  # at most a document's own segments
     texts = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col)).alias("_h"), F.col(text_col).alias("text"))
-    joined = texts.join(wanted, texts._id.eqNullSafe(wanted.id) & (F.col("_h") == F.col("h"))).select("text", "wanted")
-    cut = materialize(map_arrow(joined, _cut_out, "key long, seg1 long, seg2 long, lead int, bytes binary"), "edges")
-    blocks = materialize(map_arrow(cut, _block_rows, "seg1 long, seg2 long, ckey long, u1 long, u2 long, first int, last int"), "blocks")
-    unions = materialize(blocks.groupBy("ckey", "u1", "u2").agg(F.min("seg1").alias("lo"), F.max("seg1").alias("hi"), F.first("first").alias("first"), F.first("last").alias("last"), F.first(F.col("seg2")).alias("any2"), F.first("seg1").alias("any1")), "unions")
+    joined = texts.join(wanted, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_h") == F.col("h"))).select("text", "wanted")
+    cut = materialize(map_arrow(joined, _cut_out, "key long, seg long, lead int, bytes binary"), "edges")
+    blocks = materialize(map_arrow(cut, _block_rows, "key long, seg long, ckey long, u1 long, u2 long, first int, last int"), "blocks")
+    unions = materialize(blocks.groupBy("ckey", "u1", "u2").agg(F.min("seg").alias("lo"), F.max("seg").alias("hi"), *[F.first(c).alias(c) for c in ("first", "last", "key", "seg")]), "unions")
     whole = unions.filter("lo != hi").select("ckey", "u1", F.array(F.struct(F.lit(0).alias("f"), (F.col("last") - F.col("first")).alias("t"))).alias("runs"))
     open_ = unions.groupBy("ckey").agg(F.min("u1").alias("lo1"), F.max("u1").alias("hi1")).filter("lo1 != hi1").select("ckey")
-    compare = unions.join(open_, "ckey", "left_semi")
-    rep = cut.groupBy("seg1", "seg2").agg(F.first("bytes").alias("bytes"))
-    compare = compare.join(rep, (compare.any1 == rep.seg1) & (compare.any2 == rep.seg2)).select("u1", "first", "last", "bytes")
-    windows = materialize(map_arrow(compare, _window_rows, "u1 long, i int, w1 long, w2 long"), "windows")
+    compare = unions.join(open_, "ckey", "left_semi").select("key", "seg", "u1", "first", "last")
+    windows = materialize(map_arrow(compare.join(cut.dropDuplicates(["key", "seg"]), ["key", "seg"]).select("u1", "first", "last", "bytes"), _window_rows, "u1 long, i int, w1 long, w2 long"), "windows")
     twice = windows.groupBy("w1", "w2").agg(F.min("u1").alias("lo"), F.max("u1").alias("hi")).filter("lo != hi").select("w1", "w2")
     runs = windows.join(twice, ["w1", "w2"], "left_semi").groupBy("u1").agg(F.transform(F.array_sort(F.collect_set("i")), lambda i: F.struct(i.alias("f"), i.alias("t"))).alias("runs"))  # at most BLOCK entries
     part = unions.filter("lo = hi").select("ckey", "u1").join(runs, "u1").select("ckey", "u1", "runs")
-    found = blocks.select("seg1", "seg2", "ckey", "u1", "first").join(whole.unionByName(part), ["ckey", "u1"])
-    return found.select("seg1", "seg2", F.col("first").alias("at"), F.explode("runs").alias("r")).select("seg1", "seg2", (F.col("at") + F.col("r.f")).alias("first"), (F.col("at") + F.col("r.t")).alias("last"))
+    found = blocks.select("key", "seg", "ckey", "u1", "first").join(whole.unionByName(part), ["ckey", "u1"])
+    ranges = found.select("key", "seg", F.col("first").alias("at"), F.explode("runs").alias("r")).select("key", "seg", (F.col("at") + F.col("r.f")).alias("first"), (F.col("at") + F.col("r.t")).alias("last"))
+    each = materialize(ranges.groupBy("key", "seg").agg(F.collect_set(F.struct("first", "last")).alias("r")), "partly")  # at most a segment's windows
+    for used in (cut, blocks, unions, windows):
+        discard(used)
+    return each
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES) -> DataFrame:
-    """``(id, h, spans)`` of documents with repeated bytes; spans are (start, end) pairs that may overlap.  ``h`` is the hash of the text."""
-    seen = materialize(occurrences(docs, id_col, text_col, batches), "segments")
-    index = SuffixIndex(docs.sparkSession)
-    for b in range(batches):
-        index.add(seen.filter(F.col("batch") == b).drop("batch"))
-    table = index.all()
-    whole = table.filter("n > 1").select("seg1", "seg2", F.lit(0).alias("first"), (F.col("size") - LENGTH).alias("last"))
-    part = _partly_repeated(index, table, docs, id_col, text_col)
-    ranges = materialize(whole.unionByName(part).groupBy("seg1", "seg2").agg(F.collect_set(F.struct("first", "last")).alias("r")), "ranges")  # at most a segment's windows
-    hit = seen.select("id", "h", "seg1", "seg2", "start").join(ranges, ["seg1", "seg2"])
-    spans = hit.select("id", "h", F.transform("r", lambda r: F.struct((F.col("start") + r["first"]).alias("s"), (F.col("start") + r["last"] + LENGTH).alias("e"))).alias("spans"))
-    return spans.groupBy("id", "h").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    """``(id, h, spans)`` of documents with repeated bytes; spans may overlap, and each is one number, its start times 2^32 and its end.  ``h`` is the hash of the text."""
+    spark = docs.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # tables bucketed by the head lie right for joins by head and segment too
+    name, old = "spark.sql.requireAllClusterKeysForCoPartition", spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition")
+    spark.conf.set(name, "false")
+    try:
+        seen = materialize_bucketed(occurrences(docs, id_col, text_col, batches).repartition(buckets, "key"), "segments", "key", buckets)
+        index = SuffixIndex(spark, buckets)
+        for b in range(batches):
+            index.add(seen.filter(F.col("batch") == b))
+        part = _partly_repeated(index, seen, docs, id_col, text_col)
+        whole = index.all().filter("n > 1").select("key", "seg")
+        span = lambda s, e: F.shiftleft(s.cast("long"), 32).bitwiseOR(e.cast("long"))
+        place = seen.select("id", "h", "key", "seg", "start", "size")
+        full = place.join(whole, ["key", "seg"], "left_semi").select("id", "h", F.array(span(F.col("start"), F.col("start") + F.col("size"))).alias("spans"))
+        some = place.join(part, ["key", "seg"]).select("id", "h", F.transform("r", lambda r: span(F.col("start") + r["first"], F.col("start") + r["last"] + LENGTH)).alias("spans"))
+        spans = full.unionByName(some).groupBy("id", "h").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+        spans = materialize(spans, "spans")  # at most a document's own
+    finally:
+        spark.conf.set(name, old)
+    discard(seen), discard(part), index.close()
+    return spans
 
 
 def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES, keep_bytes: bool = True) -> DataFrame:
@@ -261,25 +287,24 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     spans = repeated_spans(docs, id_col, text_col, batches)
     texts = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col)).alias("_h"), F.col(text_col).alias("text"))
-    joined = texts.join(spans, texts._id.eqNullSafe(spans.id) & (F.col("_h") == F.col("h")), "left").select(F.col("_id").alias(id_col), "text", "spans")
+    joined = texts.join(spans, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_h") == F.col("h")), "left").select(F.col("_id").alias(id_col), "text", "spans")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         out: dict[str, list] = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")}
-        for text, spans in zip(batch.column(1), batch.column(2)):
+        packed = batch.column(2)
+        offsets, values = packed.offsets.to_numpy(), packed.values.to_numpy()
+        for text, a, b in zip(batch.column(1), offsets[:-1].tolist(), offsets[1:].tolist()):
             data = (text.as_py() or "").encode("utf-8", "surrogatepass")
-            parts, at, runs = [], 0, 0
-            end = -1
-            for s, e in sorted((x["s"], x["e"]) for x in spans.as_py() or ()):
-                if s > end:
-                    runs += 1
-                    if end >= 0:
-                        at = end
-                    parts.append(data[at:s])
-                end = max(end, e)
-            parts.append(data[end if end >= 0 else 0 :])
-            kept = b"".join(parts)
-            for k, v in zip(out, (len(data), len(data) - len(kept), runs, hashlib.sha256(kept).hexdigest(), kept)):
-                out[k].append(v)
+            kept, runs = data, 0
+            if b > a:
+                v = np.sort(values[a:b])
+                s, e = v >> 32, np.maximum.accumulate(v & 0xFFFFFFFF)
+                new = np.flatnonzero(np.concatenate(([True], s[1:] > e[:-1])))
+                last = np.append(new[1:], len(v)) - 1
+                edges = [0, *np.stack((s[new], e[last]), 1).ravel().tolist(), len(data)]
+                kept, runs = b"".join([data[x:y] for x, y in zip(edges[::2], edges[1::2])]), len(new)
+            for k, x in zip(out, (len(data), len(data) - len(kept), runs, hashlib.sha256(kept).hexdigest(), kept if keep_bytes else None)):
+                out[k].append(x)
         columns = {id_col: batch.column(0), **{k: pa.array(out[k], pa.int64()) for k in ("n_bytes", "n_removed", "n_spans")}, "kept_sha256": pa.array(out["kept_sha256"], pa.string())}
         return pa.record_batch({**columns, "kept": pa.array(out["kept"], pa.binary())} if keep_bytes else columns)
 
