@@ -2,8 +2,17 @@
 
 from __future__ import annotations
 
+import heapq
+import math
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
+
+#: Fixed: levels over the baseline of a recording without calibration.
+WARMUP, ENTER_FLOOR, LEAVE_FLOOR, ENTER_SHARE, LEAVE_SHARE = 30, 18.0, 12.0, 0.12, 0.075
 
 
 def rounded(**columns: Column) -> list[Column]:
@@ -49,13 +58,70 @@ def raw_statistics(samples: DataFrame) -> DataFrame:
     return g.withColumn("warnings", F.array_join(warn, "; "))
 
 
-def expanding_baseline(samples: DataFrame, warmup: int = 30) -> DataFrame:
-    """Enter and leave levels at every row from the rows so far: the running mean plus 18 and 12 before ``warmup`` rows, then the mean plus a share of the range so far."""
-    w = Window.partitionBy("recording_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    mean, span, n = F.avg("raw").over(w), F.max("raw").over(w) - F.min("raw").over(w), F.count(F.lit(1)).over(w)
-    enter = F.when(n < warmup, mean + 18).otherwise(mean + F.greatest(F.lit(18.0), 0.12 * span))
-    leave = F.when(n < warmup, mean + 12).otherwise(mean + F.greatest(F.lit(12.0), 0.075 * span))
-    return samples.withColumns({"enter": F.round(enter, 7), "leave": F.round(leave, 7)})
+class LowTail:
+    """Levels of a recording from its readings so far: a heap of the lowest tenth, a heap of the rest, the greatest.
+
+    Every reading costs a logarithm of their number.  ``low`` holds negated
+    values, so that its first is the highest of the lowest.
+    """
+
+    def __init__(self, low: Iterable[float] = (), high: Iterable[float] = (), warmup: int = WARMUP):
+        self.low, self.high, self.warmup = list(low), list(high), warmup
+        self.low_sum, self.high_sum = -math.fsum(self.low), math.fsum(self.high)
+        self.greatest = max([-v for v in self.low] + self.high, default=-math.inf)
+
+    def add(self, value: float) -> None:
+        self.greatest = max(self.greatest, value)
+        if self.low and value < -self.low[0]:
+            moved = -heapq.heappushpop(self.low, -value)
+            self.low_sum += value - moved
+        else:
+            moved = value
+        heapq.heappush(self.high, moved)
+        self.high_sum += moved
+        if len(self.low) < max(1, (len(self.low) + len(self.high)) // 10):
+            moved = heapq.heappop(self.high)
+            heapq.heappush(self.low, -moved)
+            self.low_sum, self.high_sum = self.low_sum + moved, self.high_sum - moved
+
+    def levels(self) -> tuple[float, float] | None:
+        """Enter and leave level; none before the first reading."""
+        n = len(self.low) + len(self.high)
+        if not n:
+            return None
+        if n < self.warmup:
+            mean = (self.low_sum + self.high_sum) / n
+            return mean + ENTER_FLOOR, mean + LEAVE_FLOOR
+        base = self.low_sum / len(self.low)
+        span = self.greatest - base
+        return base + max(ENTER_FLOOR, ENTER_SHARE * span), base + max(LEAVE_FLOOR, LEAVE_SHARE * span)
+
+
+def expanding_baseline(samples: DataFrame, warmup: int = WARMUP) -> DataFrame:
+    """Enter and leave levels at every row from the rows so far.
+
+    Before ``warmup`` rows the running mean plus 18 and 12; then the mean of the
+    lowest ``max(1, n div 10)`` values, plus a share of the greatest value's
+    distance from it, 18 and 12 at least.  A row without a value keeps the
+    levels before it and counts for nothing; before the first value they are null.
+    """
+    kept = samples.drop("enter", "leave")
+    key, value = kept.columns.index("recording_id"), kept.columns.index("raw")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, tail = object(), LowTail(warmup=warmup)
+        for b in batches:
+            made: list[tuple[float | None, float | None]] = []
+            for k, v in zip(b.column(key).to_pylist(), b.column(value).to_pylist()):
+                if k != at:
+                    at, tail = k, LowTail(warmup=warmup)
+                if v is not None and v == v:
+                    tail.add(float(v))
+                made.append(tail.levels() or (None, None))
+            columns = [pa.array([None if m[i] is None else round(m[i], 7) for m in made], pa.float64()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*b.columns, *columns], names=[*b.schema.names, "enter", "leave"])
+
+    return kept.repartition("recording_id").sortWithinPartitions("recording_id", "seq").mapInArrow(run, StructType(kept.schema.fields + [StructField("enter", DoubleType()), StructField("leave", DoubleType())]))
 
 
 def group_sets(summaries: DataFrame) -> DataFrame:
