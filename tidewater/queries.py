@@ -429,7 +429,10 @@ def jn_6_matched_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def str_2_set_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     readings = signals.event_recordings(spark, sf_dir, step_s=0.25).select("recording_id", F.col("time_s"), F.col("raw").alias("value"))
-    return lifecycle.replay(readings, baseline=5.0, signal_range=100.0)
+    r = _recordings(spark, sf_dir)
+    fitting = calibration.newest_compatible(r, r.filter("test_type = 'calibration'").withColumnRenamed("recording_id", "calibration_id"))
+    known = calibration.tail_calibration(_ev(spark, sf_dir)).withColumnRenamed("recording_id", "calibration_id")
+    return lifecycle.replay(lifecycle.with_calibration(readings, fitting.join(known, "calibration_id")))
 
 
 @query(_S + ", x AS (SELECT *, max(time_s) OVER (PARTITION BY recording_id) AS e FROM s1) SELECT recording_id, count(*)::BIGINT AS n, min(seq) AS first_seq FROM x WHERE round(e - time_s, 6) <= 3 GROUP BY ALL")

@@ -2,25 +2,31 @@
 
 A set is armed once enough has happened: ten seconds have passed, there was
 meaningful activity at least six seconds ago, and either three episodes or eight
-active seconds.  From then on six seconds of inactivity end it.  The machine is
-small and its state a handful of numbers, so a stream keeps it in Spark's state
-store (:func:`watch`) and a table replays it per recording (:func:`replay`);
-both run the same code.
+active seconds.  From then on six seconds of inactivity end it.  Readings are
+smoothed over the last 15.  A recording with a usable calibration has fixed
+levels; any other has levels over the lowest tenth of its readings so far, which
+change with every reading.  A stream keeps the machine in Spark's state store
+(:func:`watch`) and a table replays it per recording (:func:`replay`); both run
+the same code.  The state is a handful of numbers and the last 15 readings, and
+for a recording without calibration all its readings until its set has finished.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import asdict, dataclass
+from dataclasses import dataclass, field, fields
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators.metrics import ENTER_FLOOR, ENTER_SHARE, LEAVE_FLOOR, LEAVE_SHARE, LowTail
 
 #: Fixed: the rules of arming and ending.
 ARM_AFTER_S, MEANINGFUL_S, MEANINGFUL_AGO_S, EPISODES, ACTIVE_S = 10.0, 0.75, 6.0, 3, 8.0
 GRACE_S, FINISH_S = 1.25, 6.0
 EPISODE_S, EPISODE_GAP_S = 0.5, 0.75
-ENTER_SHARE, LEAVE_SHARE = 0.12, 0.075
+SMOOTHING = 15
 #: A first reading so much older than the next, while both came together, belongs to an earlier run.
 STALE_DEVICE_MS, STALE_HOST_MS = 5000, 1000
 
@@ -40,8 +46,9 @@ def transition(state: str, to: str) -> str:
 class SetState:
     """What is remembered of a recording between readings; times in seconds, -1 where unset."""
 
-    enter: float = 18.0
-    leave: float = 12.0
+    enter: float = ENTER_FLOOR
+    leave: float = LEAVE_FLOOR
+    calibrated: bool = False
     first: float = -1.0
     last: float = -1.0
     active: bool = False
@@ -55,11 +62,28 @@ class SetState:
     armed: bool = False
     finished_at: float = -1.0
     readings: int = 0
+    recent: list[float] = field(default_factory=list)
+    low: list[float] = field(default_factory=list)
+    high: list[float] = field(default_factory=list)
+
+    def __post_init__(self) -> None:
+        self._tail = LowTail(self.low, self.high)
+        self.low, self.high = self._tail.low, self._tail.high
+
+    def _smoothed(self, value: float) -> float:
+        """The mean of the last readings; without calibration the levels move with this one."""
+        self.recent = [*self.recent, float(value)][-SMOOTHING:]
+        if not self.calibrated:
+            self._tail.add(float(value))
+            self.enter, self.leave = self._tail.levels()
+        return sum(self.recent) / len(self.recent)
 
     def observe(self, t: float, value: float) -> None:
-        if self.finished_at >= 0:
+        """One more reading; one without a value is none."""
+        if self.finished_at >= 0 or value != value:
             return
         self.readings += 1
+        value = self._smoothed(value)
         if self.first < 0:
             self.first = t
         was, self.active = self.active, value >= self.enter if not self.active else value > self.leave
@@ -77,6 +101,8 @@ class SetState:
                     self.idle_since = t
                 elif t - self.idle_since >= FINISH_S:
                     self.finished_at = t
+                    for kept in (self.recent, self.low, self.high):
+                        kept.clear()
             else:
                 self.idle_since = -1.0
         if self.meaningful_at < 0 and self.active_time >= MEANINGFUL_S:
@@ -101,8 +127,35 @@ class SetState:
         return "finished" if self.finished_at >= 0 else "possible_end" if self.idle_since >= 0 else "recording"
 
 
-def levels(baseline: float, signal_range: float) -> dict[str, float]:
-    return {"enter": baseline + max(18.0, ENTER_SHARE * signal_range), "leave": baseline + max(12.0, LEAVE_SHARE * signal_range)}
+def levels(baseline: float, signal_range: float) -> dict[str, float | bool]:
+    """The levels of a calibrated recording."""
+    return {"enter": baseline + ENTER_SHARE * signal_range, "leave": baseline + LEAVE_SHARE * signal_range, "calibrated": True}
+
+
+def with_calibration(readings: DataFrame, calibrations: DataFrame) -> DataFrame:
+    """``readings`` with the ``baseline`` and ``signal_range`` of their recording; null where there is none, or none that is usable.
+
+    ``calibrations`` has one row a recording: ``recording_id, baseline,
+    signal_range`` and, if it is known, ``usable``.
+    """
+    c = calibrations.filter("usable") if "usable" in calibrations.columns else calibrations
+    return readings.drop("baseline", "signal_range").join(c.select("recording_id", "baseline", "signal_range"), "recording_id", "left")
+
+
+def _calibrated(readings: DataFrame, baseline: float | None, signal_range: float | None) -> DataFrame:
+    """Readings with the calibration of the call, or else that of their own columns, or none."""
+    own = {"baseline", "signal_range"} <= set(readings.columns)
+    if baseline is not None and signal_range is not None:
+        b, r = F.lit(float(baseline)), F.lit(float(signal_range))
+    else:
+        b, r = (F.col("baseline"), F.col("signal_range")) if own else (F.lit(None), F.lit(None))
+    return readings.select("recording_id", F.col("time_s").cast("double"), F.col("value").cast("double"), b.cast("double").alias("baseline"), r.cast("double").alias("signal_range"))
+
+
+def _start(rows: pd.DataFrame) -> SetState:
+    """The state before the first reading, with the levels of the calibration that comes with it."""
+    b, r = rows["baseline"].iloc[0], rows["signal_range"].iloc[0]
+    return SetState() if pd.isna(b) or pd.isna(r) else SetState(**levels(float(b), float(r)))
 
 
 _RESULT = "recording_id {id}, status string, readings long, episodes long, active_time double, armed boolean, finished_at double"
@@ -114,42 +167,48 @@ def _row(key, state: SetState) -> pd.DataFrame:
         "finished_at": pd.Series([state.finished_at if state.finished_at >= 0 else None], dtype="float64")})
 
 
-def replay(readings: DataFrame, baseline: float = 0.0, signal_range: float = 0.0) -> DataFrame:
-    """The last state of each stored recording ``recording_id, time_s, value``."""
+def replay(readings: DataFrame, baseline: float | None = None, signal_range: float | None = None) -> DataFrame:
+    """The last state of each stored recording ``recording_id, time_s, value``.
+
+    Columns ``baseline`` and ``signal_range`` (:func:`with_calibration`) are a
+    recording's calibration, null for none; ``baseline`` and ``signal_range`` of
+    the call are that of all recordings.
+    """
     kind = readings.schema["recording_id"].dataType.simpleString()
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        state = SetState(**levels(baseline, signal_range))
-        for t, v in rows.sort_values("time_s")[["time_s", "value"]].itertuples(index=False, name=None):
+        rows = rows.sort_values("time_s")
+        state = _start(rows)
+        for t, v in rows[["time_s", "value"]].itertuples(index=False, name=None):
             state.observe(t, v)
         return _row(key[0], state)
 
-    return readings.groupBy("recording_id").applyInPandas(run, _RESULT.format(id=kind))
+    return _calibrated(readings, baseline, signal_range).groupBy("recording_id").applyInPandas(run, _RESULT.format(id=kind))
 
 
-def watch(readings: DataFrame, baseline: float = 0.0, signal_range: float = 0.0) -> DataFrame:
+def watch(readings: DataFrame, baseline: float | None = None, signal_range: float | None = None) -> DataFrame:
     """The same on a stream: after every batch, the state of each recording that had readings.
 
     Readings of one batch are put in order of time; a reading older than the
-    last one seen counts as of that one's time.  State leaves the store when its
-    set has finished and another reading comes, so it does not grow with sets
-    that are over.
+    last one seen counts as of that one's time.  Calibration is that of a
+    recording's first reading.  When a set has finished, its readings leave the
+    store; the numbers of its state stay.
     """
     kind = readings.schema["recording_id"].dataType.simpleString()
-    fields = asdict(SetState())
-    types = {bool: "boolean", int: "long", float: "double"}
-    schema = ", ".join(f"{n} {types[type(v)]}" for n, v in fields.items())
+    names = [f.name for f in fields(SetState)]
+    types = {"bool": "boolean", "int": "long", "float": "double", "list[float]": "array<double>"}
+    schema = ", ".join(f"{f.name} {types[f.type]}" for f in fields(SetState))
+    plain = {"bool": bool, "int": int, "float": float, "list[float]": list}
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], store) -> Iterator[pd.DataFrame]:
-        state = SetState(**dict(zip(fields, store.get))) if store.exists else SetState(**levels(baseline, signal_range))
         rows = pd.concat(list(batches)).sort_values("time_s")
+        state = SetState(**dict(zip(names, store.get))) if store.exists else _start(rows)
         for t, v in rows[["time_s", "value"]].itertuples(index=False, name=None):
             state.observe(max(t, state.last), v)
-        values = [type(fields[n])(v) for n, v in asdict(state).items()]
-        store.update(tuple(values))
+        store.update(tuple(plain[f.type](getattr(state, f.name)) for f in fields(SetState)))
         yield _row(key[0], state)
 
-    return readings.groupBy("recording_id").applyInPandasWithState(run, _RESULT.format(id=kind), schema, "update", "NoTimeout")
+    return _calibrated(readings, baseline, signal_range).groupBy("recording_id").applyInPandasWithState(run, _RESULT.format(id=kind), schema, "update", "NoTimeout")
 
 
 def without_stale_start(readings: DataFrame) -> DataFrame:
