@@ -503,5 +503,4 @@ def fn_4_set_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def seg_11_candidate_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     signal = analysis.smoothed(signals.supplier_recordings(spark, sf_dir))
     limits = smoothing.thresholds(signal)
-    regions = detect.detect(signal, limits)
-    return hybrid.candidate_features(hybrid.detect(signal, limits, regions), regions, signal, limits)
+    return hybrid.candidate_features(signal, limits, detect.detect(signal, limits))
