@@ -13,11 +13,11 @@ pieces have is dealt over many tasks.
 from __future__ import annotations
 
 import os
-import re
+import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_arrow, materialize
+from .rolling import text_slices
 
 CAPACITY = 2048
 #: The id that ends every document.
@@ -32,9 +33,30 @@ END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 #: Buckets in which the pieces of one length are ranked.
 RANK_BUCKETS = 1024
-#: Words that a Python worker remembers, and the longest of them.
-CACHE_WORDS, CACHE_CHARS = 500_000, 40
-_LETTERS = re.compile(r"([^\W\d_]+)")
+#: Segments that a Python worker remembers in each of two generations, and the longest of them.
+CACHE_WORDS, CACHE_BYTES = 400_000, 40
+#: Bytes of text encoded at once; one longer text is encoded by itself.
+ENCODE_BYTES = 8 << 20
+_SPACE, _LETTER, _OTHER = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
+_SPACE[[32, *range(9, 14)]] = True
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_OTHER[:128] = True
+_OTHER &= ~_SPACE & ~_LETTER
+_UPPER = np.zeros(256, bool)
+_UPPER[65:91] = True
+
+
+def _two_byte_letters() -> np.ndarray:
+    """By both bytes, the characters of two bytes that are letters in every version of Unicode and stay one letter when composed and lower-cased."""
+    out = np.zeros(1 << 16, bool)
+    for c in map(chr, range(0x80, 0x800)):
+        old = unicodedata.ucd_3_2_0.category(c)[0] == "L" == unicodedata.category(c)[0]
+        if old and unicodedata.is_normalized("NFC", c) and len(c.lower()) == 1 and unicodedata.category(c.lower())[0] == "L":
+            out[int.from_bytes(c.encode(), "big")] = True
+    return out
+
+
+_TWO = _two_byte_letters()
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -43,38 +65,84 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-class WordEncoder:
-    """Token ids of texts as little-endian bytes, remembering the ids of words.
+def segments(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The segments of all texts of a slice as binary strings, and where each text's segments begin among them.
 
-    The vocabulary's rules never look across white space, so what lies between
-    two spaces or line breaks can be encoded by itself; in most texts runs of
-    letters can too.
+    The tokenizer's rules never look across white space, and a run of letters is
+    a word of its own between other ASCII characters, but for an apostrophe
+    before it.  Nothing is cut beside any other character, which may join what
+    stands before it, nor in a text that may name a special token.  Capitals that
+    nothing can join are lower-cased here already, so that fewer segments differ.
     """
+    ink, letter, other = ~_SPACE[data], _LETTER[data], _OTHER[data]
+    high = data >= 128
+    if high.any():
+        two = np.flatnonzero((data[:-1] >= 0xC3) & (data[:-1] < 0xE0))
+        two = two[_TWO[data[two].astype(np.int32) << 8 | data[two + 1]]]
+        letter[two] = letter[two + 1] = True
+    start = np.zeros(len(data) + 1, bool)
+    start[1:-1] = (~ink[:-1]) | letter[:-1] & other[1:] | other[:-1] & (data[:-1] != 39) & letter[1:]
+    lower = _UPPER[data]
+    lower[:-1] &= ~high[1:]
+    marks = np.flatnonzero((data[:-1] == 60) & (data[1:] == 124))
+    for row in np.unique(np.searchsorted(offsets, marks, "right") - 1).tolist() if len(marks) else ():
+        a, b = offsets[row], offsets[row + 1]
+        start[a + 1 : b], lower[a:b] = ~ink[a : b - 1], False
+    start[offsets] = True
+    starts = np.flatnonzero(start[:-1] & ink)
+    squeezed = np.concatenate(([0], np.cumsum(ink, dtype=np.int64)))
+    at = np.append(squeezed[starts], squeezed[-1])
+    folded = (data + lower.view(np.uint8) * np.uint8(32))[ink]
+    made = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(folded)])
+    return made, np.searchsorted(starts, offsets)
+
+
+class WordEncoder:
+    """Token ids of texts, remembering the ids of segments.  Every distinct segment is encoded by the tokenizer itself."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.model, self.known = Tokenizer.from_file(path), {"": b""}
-
-    def _learn(self, words: list[str]) -> dict[str, bytes]:
-        made = self.model.encode_batch_fast(words, add_special_tokens=False)
-        return {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(words, made)}
-
-    def encode(self, text: str) -> bytes:
-        if "'" in text or "<|" in text or not (text.isascii() or is_normalized("NFC", text)):
-            words = text.replace("\n", " ").split(" ")
-        else:  # no rule then joins a letter to what is none, so runs of letters stand alone, and case is dropped anyway
-            words = _LETTERS.split(text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass"))
-        new = list(set(words).difference(self.known))
-        if not new:
-            return b"".join(map(self.known.__getitem__, words))
-        made = self._learn(new)
-        out = b"".join([self.known[w] if w in self.known else made[w] for w in words])
+        self.model, self.known, self.older = Tokenizer.from_file(path), {}, {}
+
+    def lookup(self, segments: list[bytes]) -> list[bytes]:
+        """The ids of distinct segments, each as little-endian numbers.  What neither generation of the memory has is encoded."""
+        found = list(map(self.known.get, segments))
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        new = []
+        for i in missing:
+            found[i] = self.older.get(segments[i])
+            if found[i] is None:
+                new.append(i)
+        encoded = self.model.encode_batch_fast([segments[i].decode("utf-8", "surrogatepass") for i in new], add_special_tokens=False)
+        for i, e in zip(new, encoded):
+            found[i] = pack_ids(e.ids)
         if len(self.known) > CACHE_WORDS:
-            self.known = {"": b""}
-        self.known.update((w, b) for w, b in made.items() if len(w) <= CACHE_CHARS)
-        return out
+            self.known, self.older = {}, self.known
+        self.known.update((segments[i], found[i]) for i in missing if len(segments[i]) <= CACHE_BYTES)
+        return found
+
+    def encode_slice(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts of a slice, each with the end id, and where each text's ids begin."""
+        made, at = segments(data, offsets)
+        coded = made.dictionary_encode()
+        ids = [*self.lookup(coded.dictionary.to_pylist()), pack_ids([END_ID])]
+        size = np.fromiter(map(len, ids), np.int32, len(ids)) // 4
+        codes = np.insert(coded.indices.to_numpy(), at[1:], len(ids) - 1)
+        count = size[codes]
+        ends = np.concatenate(([0], np.cumsum(count, dtype=np.int64)))
+        first = np.cumsum(size, dtype=np.int64) - size
+        # places fit 32 bits but for a single text of some GB
+        kind = np.int32 if max(ends[-1], first[-1]) < 1 << 31 else np.int64
+        place = np.repeat((first[codes] - ends[:-1]).astype(kind), count)
+        place += np.arange(ends[-1], dtype=kind)
+        out = np.frombuffer(b"".join(ids), "<u4")[place]
+        return out, ends[at + np.arange(len(at))]
+
+
+def pack_ids(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 @lru_cache(2)
@@ -130,15 +198,16 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = N
     path = path or tokenizer_path()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        enc, end = encoder(path), int(END_ID).to_bytes(4, "little")
+        enc = encoder(path)
         row, start, length, crc, total = [], [], [], [], []
-        for i, text in enumerate(batch.column(1)):
-            ids = enc.encode(text.as_py() or "") + end
-            n, view = len(ids) // 4, memoryview(ids)
-            for s in range(0, n, capacity):
-                m = min(capacity, n - s)
-                row.append(i), start.append(s), length.append(m), total.append(n)
-                crc.append(zlib.crc32(view[4 * s : 4 * (s + m)]))
+        for first, _, data, offsets in text_slices(batch.column(1), ENCODE_BYTES):
+            ids, at = enc.encode_slice(data, offsets)
+            view = memoryview(ids.tobytes())
+            for i, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist()), first):
+                for s in range(a, b, capacity):
+                    m = min(capacity, b - s)
+                    row.append(i), start.append(s - a), length.append(m), total.append(b - a)
+                    crc.append(zlib.crc32(view[4 * s : 4 * (s + m)]))
         return pa.record_batch({id_col: batch.column(0).take(pa.array(row, pa.int64())), "start": pa.array(start, pa.int64()), "length": pa.array(length, pa.int64()), "ids_crc32": pa.array(crc, pa.int64()), "doc_tokens": pa.array(total, pa.int64())})
 
     kind = docs.schema[id_col].dataType.simpleString()
