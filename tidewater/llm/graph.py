@@ -12,9 +12,11 @@ def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     """``(node, label)`` for every node of ``links``; the label is the smallest node of its component.
 
     Large-star and small-star steps in turn: each keeps the components and
-    brings every node nearer to the smallest one, until nothing changes, in a
-    number of rounds that grows with the logarithm of the longest chain.  Every
-    round is cut by a table in the shared folder.  An empty table gives none.
+    brings every node nearer to the smallest one, until every node is linked to
+    that alone, in a number of rounds that grows with the logarithm of the longest
+    chain.  Every round is cut by a table in the shared folder.  An empty table
+    gives none; if stars are not reached in ``max_rounds``, which no chain of less
+    than ``2^max_rounds`` nodes needs, an error is raised rather than a wrong label given.
     """
     def clean(e: DataFrame) -> DataFrame:
         return e.filter(F.col("u") != F.col("v")).distinct()
@@ -30,11 +32,14 @@ def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         pairs = large.join(lower, "u")
         small = clean(pairs.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(lower.select("u", F.col("m").alias("v"))))
         new = materialize(small, "links")
-        changed = new.exceptAll(edges).limit(1).count() + edges.exceptAll(new).limit(1).count()
         discard(edges)
         edges = new
-        if not changed:
+        ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("down")), F.struct(F.col("v").alias("node"), F.lit(0).alias("down")))).alias("e")).select("e.*")
+        roles = ends.groupBy("node").agg(F.sum("down").alias("down"), F.count(F.lit(1)).alias("all"))
+        if not roles.filter("down > 1 or down = 1 and all > 1").limit(1).count():
             break
-    stars = edges.groupBy("u").agg(F.min("v").alias("label")).withColumnRenamed("u", "node")
+    else:
+        raise RuntimeError(f"no stars after {max_rounds} rounds")
+    stars = edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
     roots = edges.select(F.col("v").alias("node")).distinct()
     return stars.unionByName(roots.join(stars.select("node"), "node", "left_anti").withColumn("label", F.col("node")))
