@@ -22,9 +22,12 @@ def test_csv(spark, tmp_path):
 
 
 def test_lines(spark):
-    lines = ["", "not-a-number", "123,not-a-number", "456,789", "321", "7.9,8.9"]
-    got = signals.parse_lines(spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, line string")).orderBy("i").collect()
-    assert [(r.device_time_ms, r.value) for r in got] == [(None, None), (None, None), (None, None), (456, 789), (None, 321), (7, 8)]
+    cases = {
+        "": (None, None), "not-a-number": (None, None), "123,not-a-number": (None, None), "456,789": (456, 789.0), "321": (None, 321.0), "7.9,8.9": (7, 8.9), "x,5": (None, 5.0),
+        " 1 , , 2.5 ,": (1, 2.5), ",,": (None, None), "3d": (None, None), "4,1e2": (4, 100.0), "5,1,2": (5, 2.0),
+    }
+    got = signals.parse_lines(spark.createDataFrame([(x,) for x in cases], "line string")).collect()
+    assert {r.line: (r.device_time_ms, r.value) for r in got} == cases
 
 
 def test_clock(spark):
@@ -32,6 +35,13 @@ def test_clock(spark):
     assert [r.device_time_ms for r in signals.unwrap_clock(df).orderBy("seq").collect()] == [4294967290, 4294967300, 4294967310, 8589934591, 8589934593]
 
 
+def test_clock_steps_back(spark):
+    times = [100, 90, 95, 100, 4294967290, 4294967280, 5, 3, None, 7]
+    df = spark.createDataFrame([("a", i, t) for i, t in enumerate(times)] + [("b", 0, 50), ("b", 1, 40), ("b", 2, 60)], "recording_id string, seq long, device_time_ms long")
+    got = signals.unwrap_clock(df).orderBy("recording_id", "seq").collect()
+    assert [r.device_time_ms for r in got] == [100, None, None, 100, 4294967290, None, 4294967301, None, None, 4294967303, 50, None, 60]
+
+
 def test_write_and_metadata(spark, tmp_path):
     df = spark.createDataFrame([("a", 0, 0.0, 1.0)], "recording_id string, seq long, time_s double, raw double")
     signals.write_recordings(df, str(tmp_path / "out"), 2)

@@ -65,25 +65,49 @@ def questionable(flag: Column, status: Column) -> Column:
     return flag.eqNullSafe(True) | F.coalesce(status.rlike("questionable|stale"), F.lit(False))
 
 
-def newest_compatible(recordings: DataFrame, calibrations: DataFrame, strict: bool = False) -> DataFrame:
-    """``recording_id, calibration_id``: the newest calibration with the recording's muscle, side and setup.
+#: Names a setup's id may have, in order of preference.
+SETUP_COLUMNS = ("calibration_setup_id", "sensor_setup_id", "setup_id")
+
+
+def _matching_fields(df: DataFrame) -> list[Column]:
+    text = lambda c: F.col(c).cast("string") if c in df.columns else F.lit("")
+    setup = first_filled(*[text(c) for c in SETUP_COLUMNS if c in df.columns])
+    return [folded(text("muscle")).alias("m"), folded(text("side")).alias("s"), folded(setup).alias("u")]
 
-    A recording without muscle or side matches any in the lenient form and none
-    in the strict one.  Both forms are equi-joins: the lenient one joins what a
-    recording leaves open separately, so no join compares all pairs; only the
-    newest calibration of each key takes part.
+
+def newest_compatible(recordings: DataFrame, calibrations: DataFrame, strict: bool = False) -> DataFrame:
+    """``recording_id, calibration_id`` of recordings that have a fitting calibration.
+
+    A recording flagged as questionable has none.  One that names its
+    calibration (``calibration_csv``, a ``csv_filename`` of ``calibrations``) has
+    that one or none.  Any other has the newest with its muscle, side and setup.
+    A recording without muscle or side fits with every calibration, whatever its
+    setup; in the strict form it has none.  All are equi-joins on the newest
+    calibration of each key, and on one row for what fits with every one.
     """
-    r = recordings.select("recording_id", folded(F.col("muscle")).alias("m"), folded(F.col("side")).alias("s"), folded(F.col("setup_id")).alias("u"))
-    c = calibrations.select("calibration_id", "mtime", folded(F.col("muscle")).alias("m"), folded(F.col("side")).alias("s"), folded(F.col("setup_id")).alias("u"))
-    rank = F.struct("mtime", "calibration_id")
+    columns = [F.col("recording_id"), *_matching_fields(recordings)]
+    named = "calibration_csv" in recordings.columns and "csv_filename" in calibrations.columns
+    if {"calibration_questionable", "calibration_status"} & set(recordings.columns):
+        flag, status = (F.col(c) if c in recordings.columns else F.lit(None) for c in ("calibration_questionable", "calibration_status"))
+        recordings = recordings.filter(~questionable(flag.cast("boolean"), F.lower(status.cast("string"))))
+    r = recordings.select(*columns, (F.coalesce("calibration_csv", F.lit("")) if named else F.lit("")).alias("csv"))
+    c = calibrations.select("calibration_id", "mtime", *_matching_fields(calibrations), *(["csv_filename"] if named else []))
+    rank, free = F.struct("mtime", "calibration_id"), (F.col("m") == "") | (F.col("s") == "")
 
     def best(keys: list[str]) -> DataFrame:
         return c.groupBy(*keys).agg(F.max(rank)["calibration_id"].alias("calibration_id"))
 
-    whole = r.filter("m != '' and s != ''").join(best(["m", "s", "u"]), ["m", "s", "u"]).select("recording_id", "calibration_id")
-    if strict:
-        return whole
-    return whole.unionByName(r.filter("m = '' or s = ''").join(best(["u"]), "u").select("recording_id", "calibration_id"))
+    own = r.filter("csv = ''")
+    out = own.filter(~free).join(best(["m", "s", "u"]), ["m", "s", "u"]).select("recording_id", "calibration_id")
+    if not strict:
+        newest = F.broadcast(c.agg(F.max(rank)["calibration_id"].alias("calibration_id")).filter("calibration_id is not null"))  # one row
+        out = out.unionByName(own.filter(free).join(newest, F.lit(True)).select("recording_id", "calibration_id"))
+    if named:
+        file = c.groupBy(F.col("csv_filename").alias("csv")).agg(F.max_by(F.struct("calibration_id", "m", "s", "u"), rank).alias("c"))
+        fits = (F.col("m") == F.col("c.m")) & (F.col("s") == F.col("c.s")) & (F.col("u") == F.col("c.u"))
+        fits = ~free & fits if strict else free | fits
+        out = out.unionByName(r.filter("csv != ''").join(file, "csv").filter(fits).select("recording_id", "c.calibration_id"))
+    return out
 
 
 def saturation(samples: DataFrame, active: str | None = None) -> DataFrame:

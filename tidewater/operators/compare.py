@@ -14,23 +14,27 @@ FATIGUE_SHOWN = 5
 
 
 def newest_pair(workouts: DataFrame) -> DataFrame:
-    """Per participant, the newest two workouts that agree on muscle, side and weight (an empty one agrees with any).
+    """Per participant, the newest two workouts that agree on muscle, side and weight; the last two where none agree.
 
-    Where no pair agrees, the last two are taken.  Among pairs, the newer
-    workout decides first, then the older.  Workouts of one participant are
-    ranked first, so the join runs inside participants.
+    Muscle and side have to be the same text, an empty weight agrees with any.
+    Among pairs, the newer workout decides first, then the older.  The best
+    partner of a workout is the next older one of its key with its weight, or
+    with none, or just the next if it has none itself: three windows, no pairs.
     """
-    w = Window.partitionBy("participant_id").orderBy(F.desc("mtime"), "recording_id")
-    r = workouts.select("participant_id", "recording_id", *[folded(F.col(c)).alias(c) for c in ("muscle", "side", "weight")], F.row_number().over(w).alias("rk"))
-    a = r.select("participant_id", *[F.col(c).alias(f"a_{c}") for c in ("recording_id", "muscle", "side", "weight", "rk")])
-    b = r.select("participant_id", *[F.col(c).alias(f"b_{c}") for c in ("recording_id", "muscle", "side", "weight", "rk")])
-    same = F.lit(True)
-    for c in ("muscle", "side", "weight"):
-        same = same & ((F.col(f"a_{c}") == F.col(f"b_{c}")) | (F.col(f"a_{c}") == "") | (F.col(f"b_{c}") == ""))
-    last_two = (F.col("a_rk") == 1) & (F.col("b_rk") == 2)
-    pairs = a.join(b, "participant_id").filter((F.col("a_rk") < F.col("b_rk")) & (same | last_two))
-    best = pairs.groupBy("participant_id").agg(F.min_by(F.struct("a_recording_id", "b_recording_id", same.alias("compatible")), F.struct((~same).alias("x"), "a_rk", "b_rk")).alias("p"))
-    return best.select("participant_id", F.col("p.a_recording_id").alias("newer"), F.col("p.b_recording_id").alias("older"), F.col("p.compatible").alias("compatible"))
+    text = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))).alias(c)
+    rank = F.row_number().over(Window.partitionBy("participant_id").orderBy(F.desc("mtime"), "recording_id"))
+    r = workouts.select("participant_id", "recording_id", text("muscle"), text("side"), text("weight"), rank.alias("rk"))
+    me = F.struct("rk", "recording_id")
+    key = Window.partitionBy("participant_id", "muscle", "side").orderBy(F.desc("rk"))
+    same_weight = F.lag(me).over(Window.partitionBy("participant_id", "muscle", "side", "weight").orderBy(F.desc("rk")))
+    without = F.last(F.when(F.col("weight") == "", me), ignorenulls=True).over(key.rowsBetween(Window.unboundedPreceding, -1))
+    partner = F.when(F.col("weight") == "", F.lag(me).over(key)).otherwise(F.least(same_weight, without))
+    pairs = r.withColumn("older", partner)
+    last = F.max_by("recording_id", F.when(F.col("rk") == 1, 1)), F.max_by("recording_id", F.when(F.col("rk") == 2, 1))
+    found = F.min(F.when(F.col("older").isNotNull(), F.struct("rk", "recording_id", "older")))
+    best = pairs.groupBy("participant_id").agg(found.alias("p"), last[0].alias("first"), last[1].alias("second")).filter("second is not null")
+    return best.select(
+        "participant_id", F.coalesce("p.recording_id", "first").alias("newer"), F.coalesce("p.older.recording_id", "second").alias("older"), F.col("p").isNotNull().alias("compatible"))
 
 
 def previous_compatible(recordings: DataFrame) -> DataFrame:

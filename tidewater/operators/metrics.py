@@ -34,12 +34,19 @@ def set_activation(metrics: DataFrame) -> DataFrame:
         *rounded(
             active_time=F.sum("duration"), total_integral=F.sum("integral"), mean_activation=F.try_divide(F.sum("integral"), F.sum("duration")),
             median_mean=F.median("mean_value"), deviation=deviation, variation=F.when(mean == 0, 0.0).otherwise(deviation / mean * 100),
-            early_mean=early, late_mean=late, change=late - early, slope=F.regr_slope("mean_value", "rep_no"), min_mean=F.min("mean_value"), max_mean=F.max("mean_value"),
+            early_mean=early, late_mean=late, change=late - early, slope=_slope("rep_no", "mean_value"), min_mean=F.min("mean_value"), max_mean=F.max("mean_value"),
             duration_deviation=F.coalesce(F.stddev_pop("duration"), F.lit(0.0)), median_duration=F.median("duration"),
         ),
     )
 
 
+def _slope(x: str, y: str) -> Column:
+    """The slope of the regression line, from sums that are rounded first, so that the order of rows does not show; null for fewer than two places."""
+    n, sx, sxx = F.count(F.lit(1)), F.sum(x), F.sum(F.col(x) * F.col(x))
+    sy, sxy = F.round(F.sum(y), 6), F.round(F.sum(F.col(x) * F.col(y)), 6)
+    return F.try_divide(n * sxy - sx * sy, n * sxx - sx * sx)
+
+
 def raw_statistics(samples: DataFrame) -> DataFrame:
     """Count, extremes, mean, rate, largest and mean gap, share at the maximum, share above the middle of the range, and warnings."""
     w, by = Window.partitionBy("recording_id").orderBy("seq"), Window.partitionBy("recording_id")

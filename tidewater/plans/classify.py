@@ -18,7 +18,7 @@ FEATURES = (
 )
 FORBIDDEN = (
     "session_id", "recording_filename", "participant_id", "exercise", "side", "weight", "candidate_timestamp", "hybrid_status", "human_label",
-    "matched_human_boundary_timestamp", "matching_error", "matched_boundary_index", "annotation_confidence", "annotation_status", "actual_reps", "expected_reps",
+    "matched_human_boundary_timestamp", "matching_error", "matched_boundary_index", "annotation_confidence", "annotation_status", "actual_reps", "expected_reps", "recording_csv", "source_filename", "source_path",
 )
 
 

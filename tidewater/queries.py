@@ -85,8 +85,9 @@ sm AS (SELECT i.recording_id, coalesce(rep_count, 0)::BIGINT AS rep_count, coale
 """
 _RECS = """WITH rc0 AS (SELECT user_id AS recording_id, max(ts) AS mtime FROM events GROUP BY 1),
 rc AS (SELECT recording_id, mtime, (recording_id % 10)::BIGINT AS participant_id, CASE WHEN recording_id % 7 = 0 THEN '' WHEN recording_id % 2 = 0 THEN 'right' ELSE 'Left ' END AS side,
-  CASE WHEN recording_id % 3 = 0 THEN 'biceps' ELSE 'triceps' END AS muscle, (recording_id % 5)::VARCHAR AS weight, 'curl' AS exercise, (recording_id % 4)::VARCHAR AS setup_id,
-  CASE WHEN recording_id % 10 = 0 THEN 'calibration' ELSE 'workout_set' END AS test_type FROM rc0)
+  CASE WHEN recording_id % 3 = 0 THEN 'biceps' WHEN recording_id % 8 = 1 THEN 'Triceps' ELSE 'triceps' END AS muscle, CASE WHEN recording_id // 10 % 4 = 3 THEN '' ELSE (recording_id // 10 % 4)::VARCHAR END AS weight, 'curl' AS exercise, (recording_id % 4)::VARCHAR AS setup_id,
+  CASE WHEN recording_id % 10 = 0 THEN 'calibration' ELSE 'workout_set' END AS test_type, 'r' || recording_id || '.csv' AS csv_filename,
+  CASE WHEN recording_id % 17 = 4 THEN 'r' || (recording_id // 17 * 10) || '.csv' WHEN recording_id % 19 = 5 THEN 'r1.csv' ELSE '' END AS calibration_csv, CASE WHEN recording_id % 23 = 6 THEN 'Stale since May' END AS calibration_status FROM rc0)
 """
 
 
@@ -95,8 +96,9 @@ def _recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy(F.col("user_id").alias("recording_id")).agg(F.max("ts").alias("mtime"))
     i = F.col("recording_id")
     return r.withColumns({
-        "participant_id": i % 10, "side": F.when(i % 7 == 0, "").when(i % 2 == 0, "right").otherwise("Left "), "muscle": F.when(i % 3 == 0, "biceps").otherwise("triceps"), "weight": (i % 5).cast("string"),
-        "exercise": F.lit("curl"), "setup_id": (i % 4).cast("string"), "test_type": F.when(i % 10 == 0, "calibration").otherwise("workout_set")})
+        "participant_id": i % 10, "side": F.when(i % 7 == 0, "").when(i % 2 == 0, "right").otherwise("Left "), "muscle": F.when(i % 3 == 0, "biceps").when(i % 8 == 1, "Triceps").otherwise("triceps"), "weight": F.when(F.expr("recording_id div 10 % 4") == 3, "").otherwise(F.expr("recording_id div 10 % 4").cast("string")),
+        "exercise": F.lit("curl"), "setup_id": (i % 4).cast("string"), "test_type": F.when(i % 10 == 0, "calibration").otherwise("workout_set"), "csv_filename": F.concat(F.lit("r"), i, F.lit(".csv")),
+        "calibration_csv": F.when(i % 17 == 4, F.concat(F.lit("r"), F.expr("recording_id div 17 * 10"), F.lit(".csv"))).when(i % 19 == 5, "r1.csv").otherwise(""), "calibration_status": F.when(i % 23 == 6, "Stale since May")})
 
 
 def _ev(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,16 +114,17 @@ def src_1_recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ev(spark, sf_dir)
 
 
-@query("""SELECT event_id, CASE WHEN event_id % 17 <> 0 AND event_id % 19 <> 0 THEN (event_id * 10)::BIGINT END AS device_time_ms, CASE WHEN event_id % 17 <> 0 THEN trunc(value)::BIGINT END AS value FROM events""")
+@query("""SELECT event_id, CASE WHEN event_id % 17 <> 0 AND event_id % 19 <> 0 AND event_id % 23 <> 0 THEN (event_id * 10)::BIGINT END AS device_time_ms, CASE WHEN event_id % 17 <> 0 THEN value END AS value FROM events""")
 def src_5_serial_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     e, i = spark.read.parquet(f"{sf_dir}/events.parquet"), F.col("event_id")
-    line = F.when(i % 17 == 0, "not-a-number").when(i % 19 == 0, F.col("value").cast("string")).otherwise(F.concat_ws(",", (i * 10).cast("string"), F.col("value").cast("string")))
+    line = F.when(i % 17 == 0, "not-a-number").when(i % 19 == 0, F.col("value").cast("string")).when(i % 23 == 0, F.concat(F.lit("late, "), F.col("value").cast("string"))).when(i % 29 == 0, F.concat(F.lit(", "), (i * 10).cast("string"), F.lit(".7,, "), F.col("value").cast("string"), F.lit(" ,"))).otherwise(F.concat_ws(",", (i * 10).cast("string"), F.col("value").cast("string")))
     return signals.parse_lines(e.select("event_id", line.alias("line"))).select("event_id", "device_time_ms", "value")
 
 
-@query(_S + "SELECT recording_id, seq, 2147483648 + seq * 900000000 AS device_time_ms FROM s1")
+@query(_S + "SELECT recording_id, seq, CASE WHEN seq % 7 <> 3 THEN 2147483648 + seq * 900000000 END AS device_time_ms FROM s1")
 def src_6_clock_rollover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = _ev(spark, sf_dir).withColumn("device_time_ms", (F.lit(2147483648) + F.col("seq") * 900000000) % signals.CLOCK_PERIOD)
+    late = (F.col("seq") % 7 == 3).cast("long")  # a reading that comes a little before the one ahead of it
+    w = _ev(spark, sf_dir).withColumn("device_time_ms", F.greatest(F.lit(0), (F.lit(2147483648) + (F.col("seq") - late) * 900000000) % signals.CLOCK_PERIOD - 5 * late))
     return signals.unwrap_clock(w).select("recording_id", "seq", "device_time_ms")
 
 
@@ -135,8 +138,9 @@ def win_2_trailing_average(spark: SparkSession, sf_dir: str) -> DataFrame:
     return smoothing.trailing_average(_ev(spark, sf_dir)).select("recording_id", "seq", F.round("trailing", 6).alias("trailing"))
 
 
-@query(_S + """, w AS (SELECT *, avg(raw) OVER q AS m, max(raw) OVER q - min(raw) OVER q AS d, count(*) OVER q AS k FROM s1 WINDOW q AS (PARTITION BY recording_id ORDER BY seq ROWS UNBOUNDED PRECEDING))
-SELECT recording_id, seq, round(m + CASE WHEN k < 30 THEN 18 ELSE greatest(18, 0.12::DOUBLE * d) END, 7) AS enter, round(m + CASE WHEN k < 30 THEN 12 ELSE greatest(12, 0.075::DOUBLE * d) END, 7) AS leave FROM w""")
+@query(_S + """, w AS (SELECT recording_id, seq, list(raw) OVER q AS v, max(raw) OVER q AS hi, count(*) OVER q AS k FROM s1 WINDOW q AS (PARTITION BY recording_id ORDER BY seq ROWS UNBOUNDED PRECEDING)),
+b AS (SELECT *, CASE WHEN k < 30 THEN list_avg(v) ELSE list_avg(list_sort(v)[1:greatest(1, k // 10)]) END AS base FROM w)
+SELECT recording_id, seq, round(base + CASE WHEN k < 30 THEN 18 ELSE greatest(18, 0.12::DOUBLE * (hi - base)) END, 7) AS enter, round(base + CASE WHEN k < 30 THEN 12 ELSE greatest(12, 0.075::DOUBLE * (hi - base)) END, 7) AS leave FROM b""")
 def win_3_expanding_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.expanding_baseline(_ev(spark, sf_dir)).select("recording_id", "seq", "enter", "leave")
 
@@ -257,31 +261,37 @@ def agg_7_set_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_REPS + """, h AS (SELECT *, rep_no <= greatest(1, count(*) OVER (PARTITION BY recording_id) // 2) AS early FROM rm)
 SELECT recording_id, count(*)::BIGINT AS rep_count, round(sum(duration), 6) AS active_time, round(sum(integral) / nullif(sum(duration), 0), 4) AS mean_activation, round(median(mean_value), 6) AS median_mean, round(coalesce(stddev_pop(mean_value), 0), 4) AS deviation,
- round(avg(mean_value) FILTER (early), 4) AS early_mean, round(avg(mean_value) FILTER (NOT early), 4) AS late_mean, round(regr_slope(mean_value, rep_no), 4) AS slope, round(median(duration), 6) AS median_duration FROM h GROUP BY recording_id""")
+ round(avg(mean_value) FILTER (early), 4) AS early_mean, round(avg(mean_value) FILTER (NOT early), 4) AS late_mean, round((count(*) * round(sum(rep_no * mean_value), 6) - sum(rep_no) * round(sum(mean_value), 6)) / nullif(count(*) * sum(rep_no * rep_no) - sum(rep_no) * sum(rep_no), 0), 4) AS slope, round(median(duration), 6) AS median_duration FROM h GROUP BY recording_id""")
 def agg_10_set_activation(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = metrics.set_activation(analysis.repetitions(_ev(spark, sf_dir)))
     four = ("mean_activation", "deviation", "early_mean", "late_mean", "slope")
     return a.select("recording_id", "rep_count", "active_time", "median_mean", "median_duration", *[F.round(c, 4).alias(c) for c in four])
 
 
-@query(_RECS + """, c AS (SELECT recording_id AS calibration_id, mtime, lower(trim(muscle)) AS m, lower(trim(side)) AS s, setup_id AS u FROM rc WHERE test_type = 'calibration'),
-p AS (SELECT r.recording_id, c.calibration_id, row_number() OVER (PARTITION BY r.recording_id ORDER BY c.mtime DESC, c.calibration_id DESC) AS k FROM rc r JOIN c ON c.u = r.setup_id AND (lower(trim(r.side)) = '' OR (c.m = lower(trim(r.muscle)) AND c.s = lower(trim(r.side)))))
+_CALS = """, c AS (SELECT recording_id AS calibration_id, mtime, lower(trim(muscle)) AS m, lower(trim(side)) AS s, setup_id AS u, csv_filename FROM rc WHERE test_type = 'calibration'),
+q AS (SELECT recording_id, lower(trim(muscle)) AS m, lower(trim(side)) AS s, setup_id AS u, calibration_csv AS f FROM rc WHERE NOT coalesce(contains(lower(calibration_status), 'stale') OR contains(lower(calibration_status), 'questionable'), false))
+"""
+
+
+@query(_RECS + _CALS + """, p AS (SELECT q.recording_id, c.calibration_id, row_number() OVER (PARTITION BY q.recording_id ORDER BY c.mtime DESC, c.calibration_id DESC) AS k
+FROM q JOIN c ON (q.f = '' OR q.f = c.csv_filename) AND (q.m = '' OR q.s = '' OR (c.u = q.u AND c.m = q.m AND c.s = q.s)))
 SELECT recording_id, calibration_id FROM p WHERE k = 1""")
 def jn_2_newest_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = _recordings(spark, sf_dir)
     return calibration.newest_compatible(r, r.filter("test_type = 'calibration'").withColumnRenamed("recording_id", "calibration_id"))
 
 
-@query(_RECS + """, c AS (SELECT recording_id AS calibration_id, mtime, muscle, lower(trim(side)) AS s, setup_id AS u FROM rc WHERE test_type = 'calibration'),
-p AS (SELECT r.recording_id, c.calibration_id, row_number() OVER (PARTITION BY r.recording_id ORDER BY c.mtime DESC, c.calibration_id DESC) AS k FROM rc r JOIN c ON c.u = r.setup_id AND c.muscle = r.muscle AND c.s = lower(trim(r.side)) WHERE trim(r.side) <> '')
+@query(_RECS + _CALS + """, p AS (SELECT q.recording_id, c.calibration_id, row_number() OVER (PARTITION BY q.recording_id ORDER BY c.mtime DESC, c.calibration_id DESC) AS k
+FROM q JOIN c ON (q.f = '' OR q.f = c.csv_filename) AND c.u = q.u AND c.m = q.m AND c.s = q.s WHERE q.m <> '' AND q.s <> '')
 SELECT recording_id, calibration_id FROM p WHERE k = 1""")
 def jn_3_strict_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = _recordings(spark, sf_dir)
     return calibration.newest_compatible(r, r.filter("test_type = 'calibration'").withColumnRenamed("recording_id", "calibration_id"), strict=True)
 
 
-_PAIR = """, w AS (SELECT *, lower(trim(side)) AS sd, row_number() OVER (PARTITION BY participant_id ORDER BY mtime DESC, recording_id) AS rk FROM rc WHERE test_type = 'workout_set'),
-pp AS (SELECT a.participant_id, a.recording_id AS newer, b.recording_id AS older, a.rk AS ak, b.rk AS bk, (a.muscle = b.muscle) AND (a.sd = b.sd OR a.sd = '' OR b.sd = '') AND a.weight = b.weight AS ok FROM w a JOIN w b USING (participant_id) WHERE a.rk < b.rk),
+_PAIR = """, w AS (SELECT *, row_number() OVER (PARTITION BY participant_id ORDER BY mtime DESC, recording_id) AS rk FROM rc WHERE test_type = 'workout_set'),
+pp AS (SELECT a.participant_id, a.recording_id AS newer, b.recording_id AS older, a.rk AS ak, b.rk AS bk, trim(a.muscle) = trim(b.muscle) AND trim(a.side) = trim(b.side) AND (trim(a.weight) = '' OR trim(b.weight) = '' OR trim(a.weight) = trim(b.weight)) AS ok
+  FROM w a JOIN w b USING (participant_id) WHERE a.rk < b.rk),
 pair AS (SELECT participant_id, newer, older, ok AS compatible FROM (SELECT *, row_number() OVER (PARTITION BY participant_id ORDER BY NOT ok, ak, bk) AS k FROM pp WHERE ok OR (ak = 1 AND bk = 2)) WHERE k = 1)
 """
 
@@ -369,7 +379,7 @@ def set_1_group_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.hash_split(_candidates(spark, sf_dir), "session_id").select("doc_id", "session_id", "part")
 
 
-@query(_RECS + """, x AS (SELECT recording_id AS r, CASE WHEN trim(side) = '' THEN 'side' ELSE '' END AS missing, exercise, weight, side FROM rc)
+@query(_RECS + """, x AS (SELECT recording_id AS r, concat_ws(',', CASE WHEN trim(weight) = '' THEN 'weight' END, CASE WHEN trim(side) = '' THEN 'side' END) AS missing, exercise, weight, side FROM rc)
 SELECT exercise, weight, side, missing, count(*)::BIGINT AS sets, min(r) AS first_recording FROM x GROUP BY ALL""")
 def agg_20_group_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.group_sets(_recordings(spark, sf_dir))
@@ -377,8 +387,8 @@ def agg_20_group_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_RECS + """SELECT exercise, side, weight, count(DISTINCT participant_id)::BIGINT AS participants, count(*)::BIGINT AS recordings FROM rc GROUP BY GROUPING SETS ((exercise), (side), (weight), ())""")
 def agg_21_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _recordings(spark, sf_dir).createOrReplaceTempView("tidewater_recordings")
-    return spark.sql("SELECT exercise, side, weight, count(DISTINCT participant_id) AS participants, count(*) AS recordings FROM tidewater_recordings GROUP BY GROUPING SETS ((exercise), (side), (weight), ())")
+    r, by = _recordings(spark, sf_dir), [F.col(c) for c in ("exercise", "side", "weight")]
+    return r.groupingSets([[c] for c in by] + [[]], *by).agg(F.count_distinct("participant_id").alias("participants"), F.count(F.lit(1)).alias("recordings"))
 
 
 @query("""SELECT p_partkey, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '_', 'g'), '_') AS slug, CASE WHEN p_size * 97 < 1024 THEN (p_size * 97)::VARCHAR || ' B' ELSE format('{:.1f} KB', p_size * 97 / 1024.0) END AS size_text FROM part""")
@@ -452,7 +462,7 @@ def win_13_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return smoothing.activity(smoothing.hysteresis(_ev(spark, sf_dir), F.lit(60.0), F.lit(20.0)))
 
 
-@query(_RECS + _PAIR + """SELECT newer, older, concat_ws('; ', CASE WHEN trim(a.side) = '' OR trim(b.side) = '' THEN 'side missing' WHEN trim(a.side) <> trim(b.side) THEN 'side differs' END, CASE WHEN a.weight <> b.weight THEN 'weight differs' END) AS warnings
+@query(_RECS + _PAIR + """SELECT newer, older, concat_ws('; ', CASE WHEN trim(a.side) = '' OR trim(b.side) = '' THEN 'side missing' WHEN trim(a.side) <> trim(b.side) THEN 'side differs' END, CASE WHEN trim(a.weight) = '' OR trim(b.weight) = '' THEN 'weight missing' WHEN a.weight <> b.weight THEN 'weight differs' END) AS warnings
 FROM pair JOIN rc a ON a.recording_id = newer JOIN rc b ON b.recording_id = older""")
 def cmp_2_metadata_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = _recordings(spark, sf_dir)
@@ -473,9 +483,9 @@ def agg_24_count_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify.count_errors(_candidates(spark, sf_dir).select("session_id", F.col("truth").cast("double").alias("label"), F.col("said").alias("predicted")))
 
 
-@query(_CAND + ", x AS (SELECT session_id, CASE WHEN doc_id % 2 = 0 THEN 'train' ELSE 'test' END AS part FROM c) SELECT session_id, count(DISTINCT part) AS parts FROM x GROUP BY 1 HAVING count(DISTINCT part) > 1")
+@query(_CAND + ", x AS (SELECT session_id, CASE WHEN session_id % 3 = 0 THEN 'train' WHEN doc_id % 3 = 0 THEN 'train' ELSE 'test' END AS part FROM c) SELECT session_id, count(DISTINCT part) AS parts FROM x GROUP BY 1 HAVING count(DISTINCT part) > 1")
 def val_7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    split = _candidates(spark, sf_dir).withColumn("part", F.when(F.col("doc_id") % 2 == 0, "train").otherwise("test"))
+    split = _candidates(spark, sf_dir).withColumn("part", F.when((F.col("session_id") % 3 == 0) | (F.col("doc_id") % 3 == 0), "train").otherwise("test"))
     return matching.leaks(split, "session_id")
 
 

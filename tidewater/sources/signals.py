@@ -6,8 +6,12 @@ works on many recordings at once and shuffles them by ``recording_id`` only.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 #: Names a value column may have, in order of preference.
 VALUE_COLUMNS = ("signal_value", "emg_value")
@@ -19,7 +23,7 @@ def _raw_csv(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, str
     for name in VALUE_COLUMNS:
         if name in df.columns:
             return df, name
-    raise ValueError("CSV must contain either a signal_value or emg_value column.")
+    raise ValueError(f"no value column: expected one of {VALUE_COLUMNS}, found {df.columns}")
 
 
 def _in_file_order(df: DataFrame) -> DataFrame:
@@ -50,26 +54,55 @@ def require_rows(signals: DataFrame, recordings: DataFrame) -> DataFrame:
     return recordings.join(signals.select("recording_id").distinct(), "recording_id", "left_anti")
 
 
+#: What counts as a number in a line: a decimal number, or for the value also "inf" and "nan".
+_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+_VALUE = rf"{_NUMBER}|^[+-]?(?i:inf|infinity|nan)$"
+
+
 def parse_lines(lines: DataFrame, col: str = "line") -> DataFrame:
-    """Serial text lines, ``value`` or ``device ms,value``: adds ``device_time_ms`` and ``value``, both null if a part is no number."""
-    parts = F.split(F.trim(F.col(col)), ",")
-    number = lambda c: c.try_cast("double")
-    last, first = number(F.trim(F.element_at(parts, -1))), number(F.trim(F.element_at(parts, 1)))
-    two = F.size(parts) >= 2
-    both = last.isNotNull() & (~two | first.isNotNull())
-    return lines.withColumns({
-        "device_time_ms": F.when(two & both, first.cast("long")),
-        "value": F.when(both, last.cast("long")),
-    })
+    """Serial text lines, ``value`` or ``device ms,...,value``: adds ``device_time_ms`` and ``value``.
+
+    Empty fields don't count.  Both are null if the last field is no number; a
+    first field that is none leaves only the time null.  The time is cut to whole
+    milliseconds, the value is kept as it is.
+    """
+    parts = F.filter(F.transform(F.split(F.col(col), ","), lambda p: F.trim(p)), lambda p: p != "")
+    number = lambda c, pattern: F.when(c.rlike(pattern), c.try_cast("double"))
+    value = number(F.get(parts, F.size(parts) - 1), _VALUE)
+    time = F.when((F.size(parts) >= 2) & value.isNotNull(), number(F.get(parts, F.lit(0)), _NUMBER))
+    return lines.withColumns({"device_time_ms": time.cast("long"), "value": value})
 
 
 def unwrap_clock(readings: DataFrame, time_col: str = "device_time_ms", key: str = "recording_id", order: str = "seq", period: int = CLOCK_PERIOD) -> DataFrame:
-    """``device_time_ms`` without the rollovers of a 32-bit clock: each fall by more than half the period adds one period."""
-    w = Window.partitionBy(key).orderBy(order)
-    known = F.last(F.col(time_col), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    fell = F.when(known - F.col(time_col) > period // 2, 1).otherwise(0)
-    turns = F.sum("_fell").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return readings.withColumn("_fell", fell).withColumn(time_col, (F.col(time_col) + turns * period).cast("long")).drop("_fell")
+    """``device_time_ms`` without the rollovers of a clock: a fall by more than half the period adds one period.
+
+    A time that then still goes back is null and counts for nothing, and so is a
+    missing one.  What a reading becomes depends on the last one that counted, so
+    each recording is read once in order, with two numbers at hand.
+    """
+    at, by = readings.columns.index(time_col), readings.columns.index(key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, last, turns = object(), None, 0
+        for b in batches:
+            made: list[int | None] = []
+            for k, t in zip(b.column(by).to_pylist(), b.column(at).to_pylist()):
+                if k != now:
+                    now, last, turns = k, None, 0
+                if t is not None and last is not None and last - t > period // 2:
+                    turns += period
+                    last = None
+                if t is None or last is not None and t < last:
+                    made.append(None)
+                else:
+                    last = t
+                    made.append(int(t) + turns)
+            columns = list(b.columns)
+            columns[at] = pa.array(made, pa.int64())
+            yield pa.RecordBatch.from_arrays(columns, names=b.schema.names)
+
+    schema = StructType([StructField(time_col, LongType()) if i == at else f for i, f in enumerate(readings.schema.fields)])
+    return readings.repartition(key).sortWithinPartitions(key, order).mapInArrow(run, schema)
 
 
 def as_recordings(df: DataFrame, key: str | Column, order: list[str], value: str, step_s: float = 0.1) -> DataFrame:
