@@ -31,37 +31,57 @@ def scratch_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, label: str = "cut") -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: lineage is cut, and a lost executor costs a re-read."""
+def materialize(df: DataFrame, label: str = "cut", by: str | None = None) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back: lineage is cut, and a lost executor costs a re-read.
+
+    With ``by``, a column of few values, each value has a folder of its own.
+    """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    # shuffle files of plans that nothing refers to any more are only freed when the driver collects its garbage
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    _free_shuffles(spark)
+    made = spark.read.schema(df.schema).parquet(path)
+    made._scratch = path, None
+    return made
+
+
+def _free_shuffles(spark: SparkSession) -> None:
+    """Shuffle files of plans that nothing refers to any more are only freed when the driver collects its garbage."""
     gc.collect()
     spark._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
 
 
-def materialize_bucketed(df: DataFrame, label: str, by: str, buckets: int) -> DataFrame:
-    """Like :func:`materialize`, but as a table bucketed and sorted by ``by``, so that joins and groups by it need no shuffle.
+def materialize_bucketed(df: DataFrame, label: str, by: list[str], buckets: int) -> DataFrame:
+    """Like :func:`materialize`, but as a table bucketed and sorted by ``by``, so that joins by these columns need no shuffle.
 
-    ``df`` should already lie in ``buckets`` hash partitions of ``by``; then each task writes one file.
+    ``df`` should come from an aggregation or join by ``by``; then each bucket is written by one task.
     """
     spark = df.sparkSession
     name = f"{label}_{uuid.uuid4().hex}"
-    df.write.bucketBy(buckets, by).sortBy(by).option("path", f"{scratch_dir(spark)}/{name}").format("parquet").saveAsTable(name)
-    gc.collect()
-    spark._jvm.System.gc()
-    return spark.table(name)
+    df.write.bucketBy(buckets, *by).sortBy(*by).option("path", f"{scratch_dir(spark)}/{name}").format("parquet").saveAsTable(name)
+    _free_shuffles(spark)
+    return bucketed(spark, name)
+
+
+def bucketed(spark: SparkSession, name: str) -> DataFrame:
+    """A table made by :func:`materialize_bucketed`, by its name."""
+    made = spark.table(name)
+    made._scratch = f"{scratch_dir(spark)}/{name}", name
+    return made
+
+
+def scratch_name(df: DataFrame) -> str:
+    """The name of a table made by :func:`materialize_bucketed`."""
+    return df._scratch[1]
 
 
 def discard(df: DataFrame) -> None:
-    """Delete the files behind a table made by :func:`materialize` that nothing reads any more."""
-    spark = df.sparkSession
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = hadoop(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    """Delete a table made by :func:`materialize` or :func:`materialize_bucketed` that nothing reads any more."""
+    spark, (folder, name) = df.sparkSession, df._scratch
+    if name:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def without(df: DataFrame, *names: str) -> DataFrame:

@@ -3,7 +3,9 @@
 Every page scores its containers by the running text they hold and votes for
 the generalised tag-class paths of its best ones.  Votes are summed per host in
 Spark, and each page is read again under the path that its host has chosen.
-A page that lacks the chosen path falls back on its own best container.
+A page that lacks the chosen path falls back on its own best container.  Names
+of classes can drop a part of a page, but not what holds nearly all of its
+running text.  Pages are read in a time linear in their length.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from collections.abc import Iterator
 from html import unescape
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +45,10 @@ _NOT_WORDS = frozenset(
     "sidebar aside widget footer header masthead comment comments discussion disqus respond replies reader share sharing social related recommended newsletter subscribe signup login "
     "popup modal overlay pagination pager toolbar skip search contentinfo complementary dialog".split()
 )
+#: A part dropped by its name is taken back if it has so many times the running text of all that is left, unless its
+#: name has one of these words.
+TAKE_BACK = 5.0
+_NEVER = frozenset("comment comments discussion disqus respond replies reader cookie cookies consent gdpr notice notices popup modal overlay ad ads advert adverts advertisement".split())
 #: Words of names that speak of such a part beside the element ("with-sidebar", "no-ads").
 _BESIDE = frozenset("with without has no layout".split())
 _WORDS = re.compile(r"[a-z0-9]+")
@@ -50,28 +57,51 @@ _HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
 class _Node:
-    __slots__ = ("tag", "path", "up", "dropped", "score", "head_only")
-
-    def __init__(self, tag: str, path: str, up: "_Node | None", dropped: bool, head_only: bool):
-        self.tag, self.path, self.up, self.dropped, self.score, self.head_only = tag, path, up, dropped, 0.0, head_only
-
-
-def _attributes(attrs: str) -> tuple[str, bool]:
-    """The generalised class of an element, and whether its attributes say that it isn't the article's text."""
+    __slots__ = ("tag", "label", "key", "depth", "up", "dropped", "by_name", "score", "running", "head_only", "in_article")
+
+    def __init__(self, tag: str, name: str, up: "_Node | None", dropped: bool, by_name: "_Node | None", head_only: bool):
+        self.tag, self.label, self.up, self.dropped, self.by_name, self.head_only = tag, f"{tag}.{name}" if name else tag, up, dropped, by_name, head_only
+        self.score = self.running = 0.0
+        self.key, self.depth = (xxhash.xxh3_64_intdigest(self.label, up.key), up.depth + 1) if up is not None else (0, 0)
+        self.in_article = up is not None and (up.in_article or up.tag in ("article", "main"))
+
+    @property
+    def path(self) -> str:
+        """The generalised tag-class path, from the page's root."""
+        labels, node = [], self
+        while node.up is not None:
+            labels.append(node.label)
+            node = node.up
+        return "".join(f">{x}" for x in reversed(labels))
+
+
+def path_key(path: str) -> int:
+    """The ``key`` of nodes at a path."""
+    key = 0
+    for label in path.split(">")[1:]:
+        key = xxhash.xxh3_64_intdigest(label, key)
+    return key
+
+
+def _attributes(attrs: str) -> tuple[str, bool, frozenset[str] | None]:
+    """The generalised class of an element, whether it is hidden, and the words of a name that says it isn't the article's text."""
     if not attrs or "=" not in attrs and "hidden" not in attrs:
-        return "", False
-    name, dropped = "", False
+        return "", False, None
+    name, hidden, said = "", False, None
     for key, value in _NAMED.findall(attrs):
         key, value = key.lower(), value.strip("\"'").lower()
         if key == "class":
-            name = ".".join(sorted(_DIGITS.sub("#", value).split()))
+            name = ".".join(sorted(_DIGITS.sub("#", value.replace(">", "")).split()))
         if key == "style":
-            dropped |= "display:none" in value.replace(" ", "")
+            hidden |= "display:none" in value.replace(" ", "")
         elif key == "hidden" or key == "aria-hidden":
-            dropped |= value != "false"
+            hidden |= value != "false"
         else:
-            dropped |= any(not _NOT_WORDS.isdisjoint(words := _WORDS.findall(part)) and _BESIDE.isdisjoint(words) for part in value.split())
-    return name, dropped
+            for part in value.split():
+                words = frozenset(_WORDS.findall(part))
+                if not _NOT_WORDS.isdisjoint(words) and _BESIDE.isdisjoint(words):
+                    said = (said or frozenset()) | words
+    return name, hidden, said
 
 
 def parse(page: str) -> tuple[list[tuple[str, _Node]], list[_Node]]:
@@ -79,8 +109,10 @@ def parse(page: str) -> tuple[list[tuple[str, _Node]], list[_Node]]:
 
     Unclosed elements end with their parent; a paragraph ends at the next block.
     """
-    root = _Node("", "", None, False, False)
+    root = _Node("", "", None, False, None, False)
     top, nodes, blocks = root, [root], []
+    open_tags: dict[str, int] = {}
+    by_name: list[tuple[_Node, frozenset[str]]] = []  # parts dropped by their names, and these
     parts: list[str] = []
     linked = in_link = at = 0
     ignore = heading = False  # the current block is dropped; it is a heading
@@ -90,11 +122,9 @@ def parse(page: str) -> tuple[list[tuple[str, _Node]], list[_Node]]:
         if parts:
             text = " ".join("".join(parts).split())
             if text and not ignore and not top.dropped and (heading or not top.head_only):
-                blocks.append((text, top))
-                worth, node = max(0, len(text) - 2 * linked) * (1.0 if len(text) > 60 else 0.4), top
-                while node is not None and worth > 0.5:
-                    node.score += worth
-                    worth, node = worth * DECAY, node.up
+                worth = max(0, len(text) - 2 * linked) * (1.0 if len(text) > 60 else 0.4)
+                blocks.append((text, top, worth))
+                (top.by_name or root).running += worth
             parts, linked = [], 0
         ignore = heading = False
 
@@ -130,36 +160,48 @@ def parse(page: str) -> tuple[list[tuple[str, _Node]], list[_Node]]:
         if tag in _CONTAINERS:
             in_link = 0
             if closing:
-                node = top
-                while node.up is not None and node.tag != tag:
-                    node = node.up
-                if node.up is not None:
-                    top = node.up
+                if open_tags.get(tag):  # else it closes nothing
+                    while top.tag != tag:
+                        open_tags[top.tag] -= 1
+                        top = top.up
+                    open_tags[tag] -= 1
+                    top = top.up
                 continue
-            name, dropped = _attributes(m["attrs"] or m["attrs2"] or "")
+            name, hidden, said = _attributes(m["attrs"] or m["attrs2"] or "")
             if tag in ("html", "body"):
-                dropped = False
+                hidden, said = False, None
                 while tag == "body" and top.tag == "head":
+                    open_tags["head"] -= 1
                     top = top.up
-            inside = top
-            while inside is not None and inside.tag not in ("article", "main"):
-                inside = inside.up
             # an article's own header keeps its headings
-            head_only = top.head_only or tag == "header" and inside is not None
-            dropped = top.dropped or dropped and not head_only or tag in _NOT_TEXT and not (tag == "header" and head_only)
-            path = f"{top.path}>{tag}.{name}" if name else f"{top.path}>{tag}"
-            top = _Node(tag, path, top, dropped, head_only)
+            head_only = top.head_only or tag == "header" and (top.in_article or top.tag in ("article", "main"))
+            dropped = top.dropped or hidden and not head_only or tag in _NOT_TEXT and not (tag == "header" and head_only)
+            top = _Node(tag, name, top, dropped, top.by_name, head_only)
+            open_tags[tag] = open_tags.get(tag, 0) + 1
+            if said and not dropped and not head_only and top.by_name is None:
+                top.by_name = top
+                by_name.append((top, said))
             nodes.append(top)
         elif not closing:
             heading = tag in _HEADING
-            ignore = _attributes(m["attrs"] or m["attrs2"] or "")[1]
+            _, hidden, said = _attributes(m["attrs"] or m["attrs2"] or "")
+            ignore = hidden or bool(said)
     flush()
-    return blocks, nodes
+    most = max((x for x in by_name if _NEVER.isdisjoint(x[1])), key=lambda x: x[0].running, default=(root, None))[0]
+    kept = most if most is not root and most.running > TAKE_BACK * root.running else None
+    for node in nodes:
+        node.dropped |= node.by_name is not None and node.by_name is not kept
+    blocks = [b for b in blocks if not b[1].dropped]
+    for _, node, worth in blocks:
+        while node is not None and worth > 0.5:
+            node.score += worth
+            worth, node = worth * DECAY, node.up
+    return [(text, node) for text, node, _ in blocks], nodes
 
 
 def _best(nodes: list[_Node]) -> list[_Node]:
     scored = [x for x in nodes if x.score > 0 and not x.dropped]
-    return sorted(scored, key=lambda x: (-x.score * _FAVOUR.get(x.tag, 1.0), len(x.path), x.path))
+    return sorted(scored, key=lambda x: (-x.score * _FAVOUR.get(x.tag, 1.0), x.depth))
 
 
 def page_votes(page: str) -> list[tuple[str, float]]:
@@ -178,19 +220,21 @@ def main_text(page: str | None, path: str | None) -> str:
     if not page:
         return ""
     blocks, nodes = parse(page)
-    chosen = {id(x) for x in nodes if path is not None and x.path == path}
-    if not chosen or not any(_within(b, chosen) for _, b in blocks):
+    key = path_key(path) if path is not None else None
+    chosen = _inside(nodes, {id(x) for x in nodes if x.key == key and x.up is not None} if path else {id(nodes[0])} if path == "" else set())
+    if not any(id(b) in chosen for _, b in blocks):
         best = _best(nodes)
-        chosen = {id(best[0])} if best else {id(nodes[0])}
-    return "\n\n".join(t for t, b in blocks if _within(b, chosen))
+        chosen = _inside(nodes, {id(best[0] if best else nodes[0])})
+    return "\n\n".join(t for t, b in blocks if id(b) in chosen)
 
 
-def _within(node: _Node | None, chosen: set[int]) -> bool:
-    while node is not None:
-        if id(node) in chosen:
-            return True
-        node = node.up
-    return False
+def _inside(nodes: list[_Node], chosen: set[int]) -> set[int]:
+    """The chosen nodes and all below them; nodes come after what they lie in."""
+    out = set(chosen)
+    for node in nodes:
+        if node.up is not None and id(node.up) in out:
+            out.add(id(node))
+    return out
 
 
 def host_of(url: Column) -> Column:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import annotate, without
+from .common import annotate, map_arrow, without
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -29,7 +29,9 @@ UNKNOWN = "und"
 #: Windows run through the network at once, so that what they need stays in cache.
 CHUNK = 16
 
-_LETTER = re.compile(r"[^\W\d_]")
+_WORDISH = re.compile(r"[^\W\d_]")
+#: Labels that are learned: those with most rows, so that dirty labels don't make the network grow.
+MAX_LANGS = 256
 #: Byte classes: upper-case ASCII is read as lower case, digits and control bytes as one each.
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -120,6 +122,11 @@ class ByteCNN:
         return self
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character is a letter; signs for numbers such as "½" and "²" are none."""
+    return any(m[0].isalpha() for m in _WORDISH.finditer(text))
+
+
 def windows_of(data: bytes, size: int = WINDOW) -> np.ndarray:
     """All windows of a text's bytes, the last filled up with zeros."""
     n = max(1, -(-len(data) // size))
@@ -135,24 +142,32 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> ByteCNN:
     """A network from a sample of labelled rows outside the held-out part, at most ``2 * per_lang`` a language."""
     known = docs.filter(~held_out(F.col(id_col)) & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    counts = {r[0]: r[1] for r in known.groupBy(lang_col).count().collect()}
+    counts = {r[0]: r[1] for r in known.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(MAX_LANGS).collect()}
     if not counts:
         return ByteCNN([])
     share = F.lit(0.0)
     for lang, n in counts.items():
-        share = F.when(F.col(lang_col) == lang, F.lit(per_lang / n)).otherwise(share)
-    draw = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    rows = known.filter(draw < share).select(text_col, lang_col, draw.alias("draw")).limit(2 * per_lang * len(counts)).collect()
-    rows.sort(key=lambda r: (r.draw, r[1], r[0]))
-    net, rng = ByteCNN.start(sorted(counts)), np.random.default_rng(1)
-    x, y = [], []
-    for r in rows:
-        if not _LETTER.search(r[0]):
-            continue
-        w = windows_of(r[0].encode("utf-8", "surrogatepass"))
-        x.append(w[rng.permutation(len(w))[:WINDOWS_PER_DOC]])
-        y += [net.langs.index(r[1])] * len(x[-1])
-    return net.train(np.concatenate(x), np.array(y)) if x else ByteCNN([])
+        share = F.when(F.col("lang") == lang, F.lit(per_lang / n)).otherwise(share)
+    hashed = F.xxhash64(F.col(id_col), F.col(text_col))
+    drawn = known.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), hashed.alias("h")).filter(F.pmod("h", F.lit(1 << 30)) / F.lit(float(1 << 30)) < share)
+
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+        langs, hashes, made = [], [], []
+        for lang, text, h in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+            text = text.as_py()
+            if has_letter(text):
+                w = windows_of(text.encode("utf-8", "surrogatepass"))
+                chosen = np.random.default_rng(h % (1 << 32)).permutation(len(w))[:WINDOWS_PER_DOC]
+                langs.append(lang), hashes.append(h), made.append(w[chosen].tobytes())
+        return pa.record_batch({"lang": pa.array(langs, pa.string()), "h": pa.array(hashes, pa.int64()), "w": pa.array(made, pa.binary())})
+
+    # a few hundred bytes a document, at most twice as many documents as are wanted
+    rows = map_arrow(drawn, cut, "lang string, h long, w binary").limit(2 * per_lang * len(counts)).collect()
+    rows.sort(key=lambda r: (r.h, r.lang, bytes(r.w)))
+    langs = sorted(counts)
+    x = [np.frombuffer(r.w, np.uint8).reshape(-1, WINDOW) for r in rows]
+    y = [langs.index(r.lang) for r, w in zip(rows, x) for _ in w]
+    return ByteCNN.start(langs).train(np.concatenate(x), np.array(y)) if x else ByteCNN([])
 
 
 def predict(docs: DataFrame, net: ByteCNN, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -180,7 +195,7 @@ def predict(docs: DataFrame, net: ByteCNN, text_col: str = "text", keep: list[st
         waiting = 0
         for i, text in enumerate(batch.column(batch.schema.get_field_index(text_col))):
             text = text.as_py()
-            if not text or not net.langs or not _LETTER.search(text):
+            if not text or not net.langs or not has_letter(text):
                 continue
             w = windows_of(text.encode("utf-8", "surrogatepass"))
             pending.append((i, len(w))), held.append(w)
@@ -197,7 +212,8 @@ def predict(docs: DataFrame, net: ByteCNN, text_col: str = "text", keep: list[st
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: list[str] | None = None) -> DataFrame:
     """Train on the rows outside the held-out part and predict every row: ``held_out``, ``lang_pred`` and ``score`` are added.
 
-    Defined cases: a null text, or one without a letter, is ``und`` with score 0;
+    Defined cases: a null text, or one without a letter, is ``und`` with score 0
+    (signs for numbers are no letters); a very long text is read whole, in windows;
     so is every text if nothing is labelled; a null id is not held out; repeated
     rows are predicted alike; columns named like an added one are replaced.
     """

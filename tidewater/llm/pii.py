@@ -8,6 +8,7 @@ keys ("secret").  Labelers of three sorts vote on every proposed span: shape
 patterns estimates how often each labeler is right; the posteriors are the
 targets of a logistic classifier over votes and shape.  Votes and features are
 few and discrete, so their counts over the whole corpus have a fixed bound.
+Patterns run over very long texts in linear time.
 """
 
 from __future__ import annotations
@@ -25,8 +26,11 @@ from .common import materialize, without
 #: Fixed: the base kinds in their order, and the rules of each.
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = BASE_KINDS + ("secret",)
-_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: An address is ``[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+``, looked for at the "@" of whole runs, and an ip
+#: ``[0-9]+(\\.[0-9]+)(\\.[0-9]+)(\\.[0-9]+)``, begun at whole numbers only: the same matches, in a time linear in the text.
+_LOCAL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?=@)")
+_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+_IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
@@ -35,7 +39,7 @@ KEY_CHARS = 20
 #: Further proposals: addresses without a dotted host, national telephone numbers, long keys.
 #: A key is a whole run of its characters, looked at once from its start, so that the time is linear in the text.
 _LOOSE = (
-    ("email", re.compile(r"[A-Za-z0-9._%+-]+(?:@| ?[\[(] ?at ?[\])] ?)[A-Za-z0-9-]+(?:(?:\.| ?[\[(] ?dot ?[\])] ?)[A-Za-z0-9-]+)*"), re.compile(r"@|\bat\b")),
+    ("email", re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:@| ?[\[(] ?at ?[\])] ?)[A-Za-z0-9-]+(?:(?:\.| ?[\[(] ?dot ?[\])] ?)[A-Za-z0-9-]+)*"), re.compile(r"@|\bat\b")),
     ("phone", re.compile(r"(?<![\w+.-])(?:\(\d{2,4}\)|\d{2,4})[ .-]\d{3,4}[ .-]\d{3,4}(?![\w.-])", re.ASCII), re.compile(r"\d{3}[ .-]\d{3}", re.ASCII)),
     ("secret", re.compile(r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*+[0-9])[A-Za-z0-9_-]{20,}+"), re.compile(r"[A-Za-z0-9_-]{20}")),
 )
@@ -51,6 +55,8 @@ _BEFORE = 24
 LABELERS = ("shape", "strict", "name", "assigned", "alone", "variety")
 _ABSTAIN, _NO, _YES = 0, 1, 2
 EM_ROUNDS = 50
+#: Shapes of a span that the classifier tells apart.
+FORMS = 16
 #: A proposed span is taken if the classifier gives it at least this.
 ACCEPT = 0.5
 
@@ -67,10 +73,16 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     """``(start, kind, end)`` of the base kinds, in order."""
     out = []
     if "@" in text:
-        out += [(m.start(), 0, m.end()) for m in _EMAIL.finditer(text)]
+        last = 0
+        for m in _LOCAL.finditer(text):
+            start, at = max(m.start(), last), m.end()  # a match before it may have taken the first part of the run
+            domain = _DOMAIN.match(text, at + 1) if start < at else None
+            if domain:
+                last = domain.end()
+                out.append((start, 0, last))
     if _HAS_DIGIT.search(text):
         for m in _IP.finditer(text):
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split(".")):
+            if all(len(d := p.lstrip("0") or "0") <= 3 and int(d) <= 255 for p in m.group().split(".")):
                 out.append((m.start(), 1, m.end()))
         for m in _CARD.finditer(text):
             digits = m.group().replace(" ", "").replace("-", "")
@@ -88,7 +100,7 @@ _WORDISH = re.compile(r"[\w-]+")
 
 
 def votes(text: str, kind: int, start: int, end: int, strict: bool) -> int:
-    """The labelers' votes on a span as a number in base 3, the first labeler lowest."""
+    """The labelers' votes on a span as a number in base 3, the first labeler lowest, and above them its :func:`form`."""
     body, before, after = text[start:end], text[max(0, start - _BEFORE) : start], text[end : end + 1]
     digits = sum("0" <= c <= "9" for c in body)
     letters = sum(c.isalpha() for c in body)
@@ -104,19 +116,28 @@ def votes(text: str, kind: int, start: int, end: int, strict: bool) -> int:
     alone = _YES if (not before or before[-1] in " \t\n\"'(<:=,;") and (not after or after in " \t\n\"').,;>:!?#*%$&|") else _NO
     variety = len(set(body.lower()))
     spread = _YES if variety >= (8 if kind == 4 else 5) else _NO
-    out = 0
+    out = form(body, digits, letters)
     for v in reversed((shape, _YES if strict else _NO, name, assigned, alone, spread)):
         out = out * 3 + v
     return out
 
 
-def _outside(start: int, end: int, spans: list[tuple[int, int]]) -> int:
-    """How many characters from ``start`` to ``end`` lie in none of the spans."""
-    free = 0
+def form(body: str, digits: int, letters: int) -> int:
+    """The span's own shape for the classifier: its length and what it is made of, each one of four."""
+    size = sum(len(body) >= n for n in (12, 24, 48))
+    mixture = 2 * (digits * 2 >= len(body)) + (letters * 2 >= len(body)) if digits and letters else 3 * bool(digits)
+    return 4 * size + mixture
+
+
+def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Sorted spans with those that meet or overlap made one."""
+    out: list[tuple[int, int]] = []
     for a, b in sorted(spans):
-        free += max(0, min(a, end) - start)
-        start = max(start, b)
-    return free + max(0, end - start)
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out
 
 
 def proposals(text: str) -> list[tuple[int, int, int, bool, int]]:
@@ -127,7 +148,7 @@ def proposals(text: str) -> list[tuple[int, int, int, bool, int]]:
     """
     spans = base_spans(text)
     out = [(s, k, e, True, votes(text, k, s, e, True)) for s, k, e in spans]
-    covered = [(s, e) for s, _, e in spans]
+    covered = _union([(s, e) for s, _, e in spans])
     for kind, pattern, hint in _LOOSE:
         if kind == "email" and "@" not in text and "[at]" not in text and "(at)" not in text and " at " not in text:
             continue
@@ -135,13 +156,19 @@ def proposals(text: str) -> list[tuple[int, int, int, bool, int]]:
             continue
         if kind == "email" and "@" not in text and not _OBFUSCATED.search(text):
             continue
-        k = KINDS.index(kind)
+        k, new, at = KINDS.index(kind), [], 0
         for m in pattern.finditer(text):
             s, e = m.span()
-            over = [(a, b) for a, b in covered if a < e and b > s]
-            if not over or kind == "secret" and _outside(s, e, over) >= KEY_CHARS:
-                covered.append((s, e))
+            while at < len(covered) and covered[at][1] <= s:
+                at += 1
+            j, inside = at, 0
+            while j < len(covered) and covered[j][0] < e:
+                inside += min(e, covered[j][1]) - max(s, covered[j][0])
+                j += 1
+            if not inside or kind == "secret" and e - s - inside >= KEY_CHARS:
+                new.append((s, e))
                 out.append((s, k, e, False, votes(text, k, s, e, False)))
+        covered = _union(covered + new)
     return sorted(out)
 
 
@@ -181,13 +208,14 @@ def reliabilities(kinds: np.ndarray, patterns: np.ndarray, counts: np.ndarray, r
 
 
 def features(kinds: np.ndarray, patterns: np.ndarray) -> np.ndarray:
-    v = decode(patterns)
-    return np.concatenate([(v == _YES), (v == _NO), kinds[:, None] == np.arange(len(KINDS)), np.ones((len(v), 1))], 1).astype(float)
+    v, shape = decode(patterns), patterns // 3 ** len(LABELERS)
+    return np.concatenate([(v == _YES), (v == _NO), kinds[:, None] == np.arange(len(KINDS)), (shape // 4)[:, None] == np.arange(4), (shape % 4)[:, None] == np.arange(4), np.ones((len(v), 1))], 1).astype(float)
 
 
 def train(kinds: np.ndarray, patterns: np.ndarray, counts: np.ndarray, target: np.ndarray, steps: int = 400, l2: float = 1e-3) -> np.ndarray:
     """Weights of the span classifier: logistic regression on soft targets, weighted by the square root of counts."""
-    x, w = features(kinds, patterns), np.zeros(2 * len(LABELERS) + len(KINDS) + 1)
+    x = features(kinds, patterns)
+    w = np.zeros(x.shape[1])
     share = np.sqrt(counts) / np.sqrt(counts).sum() if len(counts) else counts
     for _ in range(steps):
         p = 1 / (1 + np.exp(-x @ w))
@@ -214,21 +242,23 @@ def find_proposals(docs: DataFrame, text_col: str = "text", keep: list[str] | No
 
 
 def fit(found: DataFrame) -> np.ndarray:
-    """The classifier, from the counts of all proposed spans by kind and votes: at most 5 x 3^6 rows."""
+    """The classifier, from the counts of all proposed spans by kind, votes and form: at most 5 x 3^6 x 16 rows."""
     counts = found.select(F.explode("_found").alias("s")).groupBy("s.kind", "s.votes").agg(F.count(F.lit(1)).alias("n")).orderBy("kind", "votes").collect()
     if not counts:
-        return np.zeros(2 * len(LABELERS) + len(KINDS) + 1)
+        return np.zeros(features(np.zeros(1, np.int64), np.zeros(1, np.int64)).shape[1])
     kinds, patterns, n = (np.array([r[i] for r in counts], np.int64) for i in range(3))
     return train(kinds, patterns, n, reliabilities(kinds, patterns, n))
 
 
 def accepted(found: DataFrame, weights: np.ndarray, name: str = "spans") -> DataFrame:
     """``found`` with the column ``name``: base spans and those others that the classifier takes, by start and then kind."""
-    kinds, patterns = (a.ravel() for a in np.meshgrid(np.arange(len(KINDS)), np.arange(3 ** len(LABELERS)), indexing="ij"))
+    every = FORMS * 3 ** len(LABELERS)
+    kinds, patterns = (a.ravel() for a in np.meshgrid(np.arange(len(KINDS)), np.arange(every), indexing="ij"))
     good = 1 / (1 + np.exp(-features(kinds, patterns) @ weights)) >= ACCEPT
-    taken = [int(k * 3 ** len(LABELERS) + p) for k, p, g in zip(kinds, patterns, good) if g]
-    code = lambda s: s["kind"] * F.lit(3 ** len(LABELERS)) + s["votes"]
-    keep = F.filter("_found", lambda s: s["base"] | code(s).isin(taken) if taken else s["base"])
+    bits = np.packbits(good, bitorder="little").tobytes()  # one bit for each kind, votes and form
+    place = lambda s: s["kind"] * F.lit(every) + s["votes"]
+    byte = lambda s: F.conv(F.hex(F.substring(F.lit(bits), (place(s) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    keep = F.filter("_found", lambda s: s["base"] | F.getbit(byte(s), F.pmod(place(s), F.lit(8)).cast("int")).eqNullSafe(1))
     return found.withColumn(name, F.transform(keep, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["base"].alias("base")))).drop("_found")
 
 
