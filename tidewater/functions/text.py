@@ -33,13 +33,36 @@ def labelled_value(c: Column, label: str) -> Column:
 
 
 def duration_line(n: Column, average: Column, deviation: Column) -> Column:
-    return F.when(n < 2, "Not enough reps").when(average == 0, "Not available").otherwise(F.format_string("%.1f%% duration CV", deviation / average * 100))
+    return F.when(n < 2, "too few repetitions").when(average == 0, "no duration").otherwise(F.format_string("durations vary by %.1f%%", deviation / average * 100))
 
 
 def trend_line(early: Column, late: Column, within: float = 5.0) -> Column:
     """Direction of a change in percent; at most ``within`` either way is consistent."""
     change = F.try_divide(late - early, early) * 100
-    return F.when(change.isNull(), "Not enough reps").when(F.abs(change) <= within, "consistent").when(change > 0, F.format_string("rose by %.1f%%", change)).otherwise(F.format_string("fell by %.1f%%", -change))
+    return F.when(change.isNull(), "too few repetitions").when(F.abs(change) <= within, "consistent").when(change > 0, F.format_string("rose by %.1f%%", change)).otherwise(F.format_string("fell by %.1f%%", -change))
+
+
+def stamp(c: Column) -> Column:
+    """A time as ``20240131_235959``."""
+    return F.date_format(c, "yyyyMMdd_HHmmss")
+
+
+def date_time(c: Column) -> Column:
+    """A time as ``2024-01-31 11:59 PM``."""
+    return F.date_format(c, "yyyy-MM-dd hh:mm a")
+
+
+def session_ids(sessions: DataFrame) -> DataFrame:
+    """``session_id`` from the time of making, the participant and the exercise; equal ones get ``_2``, ``_3`` and so on in the order of ``row_no``."""
+    base = F.concat_ws("_", stamp(F.col("created_at")), slug(F.col("participant_id").cast("string")), slug(F.col("exercise")))
+    n = F.row_number().over(Window.partitionBy("_base").orderBy("row_no"))
+    named = sessions.withColumn("_base", base).withColumn("_n", n)
+    return named.withColumn("session_id", F.when(F.col("_n") == 1, F.col("_base")).otherwise(F.concat_ws("_", "_base", F.col("_n").cast("string")))).drop("_base", "_n")
+
+
+def section(c: Column, header: str) -> Column:
+    """The lines of a text between a line that is ``header`` and the next empty line or the end; null without it."""
+    return F.nullif(F.regexp_extract(c, rf"(?ms)^{header}[ \t]*\n(.*?)(?=\n[ \t]*\n|\Z)", 1), F.lit(""))
 
 
 def category(data_type: Column, test_type: Column) -> Column:

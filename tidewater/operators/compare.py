@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .calibration import folded
@@ -90,3 +90,95 @@ def matched_reps(pairs: DataFrame, metrics: DataFrame) -> DataFrame:
     sides = c.select("newer", "older", "m", F.explode(F.array(F.struct(F.lit(1).alias("side"), F.col("newer").alias("recording_id")), F.struct(F.lit(2).alias("side"), F.col("older").alias("recording_id")))).alias("s")).select("newer", "older", "m", "s.side", "s.recording_id")
     return sides.join(metrics, "recording_id").filter("rep_no <= m").groupBy("newer", "older", "side").agg(
         F.count(F.lit(1)).cast("long").alias("reps"), F.round(F.avg("peak_value"), 6).alias("avg_peak"), F.round(F.avg("mean_value"), 6).alias("avg_value"))
+
+
+#: Fixed: a change of activation that still counts as steady, differences that are worth a word, an activation that asks for another calibration.
+STEADY, NOTABLE_PERCENT, NOTABLE_POINTS, TOO_HIGH = 5.0, 5.0, 5.0, 110.0
+
+
+def normalised_gate(pairs: DataFrame) -> DataFrame:
+    """Whether the normalised values of two sets may be compared: ``allowed``, ``exploratory`` and ``gate``, the reason.
+
+    Columns ``a_`` and ``b_``: ``usable``, ``cross_session``, ``side``,
+    ``calibration_side``, ``signature``; and ``compatible_metadata``.  Sets of
+    two sides are compared on trial only, and not if a calibration is of the
+    other side; sets of one side need the same calibration and no warning about
+    their metadata.
+    """
+    yes = lambda c: F.coalesce(F.col(f"a_{c}") & F.col(f"b_{c}"), F.lit(False))
+    text = lambda c: F.trim(F.coalesce(F.col(c), F.lit("")))
+    apart = (text("a_side") != "") & (text("b_side") != "") & (text("a_side") != text("b_side"))
+    other = lambda s: (text(f"{s}_calibration_side") != "") & (text(f"{s}_calibration_side") != text(f"{s}_side"))
+    gate = (
+        F.when(~yes("usable"), "no usable calibration").when(~yes("cross_session"), "calibration too poor")
+        .when(apart, F.when(other("a") | other("b"), "calibration of the other side").otherwise("sides on trial"))
+        .when(~F.col("a_signature").eqNullSafe(F.col("b_signature")), "different calibrations").when(~F.coalesce("compatible_metadata", F.lit(False)), "metadata differs").otherwise("ok")
+    )
+    reached = yes("usable") & yes("cross_session") & apart
+    return pairs.withColumn("gate", gate).withColumns({"allowed": F.col("gate").isin("ok", "sides on trial"), "exploratory": reached})
+
+
+def trend(drop: Column) -> Column:
+    """What activation does over a set, from its fall in percent."""
+    return F.when(F.abs(drop) <= STEADY, "steady").when(drop > 0, "falling").otherwise("rising")
+
+
+def trends(pairs: DataFrame, a: str = "a_peak_drop", b: str = "b_peak_drop") -> DataFrame:
+    """``trend``: how the activation of two sets changes, as ``both steady``, one steady and one not, opposite, or alike with the stronger one named."""
+    x, y = F.col(a), F.col(b)
+    gap = F.abs(F.abs(x) - F.abs(y))
+    size = lambda c: F.format_string("%.1f%%", F.abs(c))
+    strongest = F.when(gap == 0, "alike").otherwise(F.concat(winner(F.abs(x), F.abs(y)), F.when(gap >= NOTABLE_POINTS, " clearly more").otherwise(" slightly more")))
+    one = lambda name, c: F.concat(F.lit(f"{name} "), trend(c), F.when(trend(c) != "steady", F.concat(F.lit(" by "), size(c))).otherwise(""))
+    mixed = F.concat_ws(", ", one("Set 1", x), one("Set 2", y))
+    opposite = F.concat_ws(", ", F.concat(F.lit("Set 1 "), trend(x)), F.concat(F.lit("Set 2 "), trend(y)))
+    said = (
+        F.when((trend(x) == "steady") & (trend(y) == "steady"), "both steady").when((trend(x) == "steady") | (trend(y) == "steady"), mixed)
+        .when(trend(x) != trend(y), opposite).otherwise(F.concat(F.lit("both "), trend(x), F.lit(": "), strongest))
+    )
+    return pairs.withColumn("trend", said)
+
+
+def insights(pairs: DataFrame) -> DataFrame:
+    """``insights``: short remarks on compared sets, in a fixed order.
+
+    Columns: those of :func:`compare_pairs`, ``trend``, and, null where there is
+    none, ``normalised_activation`` and ``normalised_difference`` (winner and
+    percent), the same of peaks, ``matched_reps``, ``matched_activation`` and
+    ``matched_difference``.  Calibrated values speak before raw ones.
+    """
+    def remark(what: str, who: Column, percent: Column) -> Column:
+        same = (F.coalesce(percent, F.lit(0.0)) < NOTABLE_PERCENT) | (who == "Tie")
+        return F.concat(F.lit(f"{what}: "), F.when(same, "about the same").otherwise(F.concat(who, F.lit(" higher"))))
+
+    calibrated = F.col("normalised_activation").isNotNull()
+    activation = F.when(calibrated, remark("calibrated activation", F.col("normalised_activation"), F.col("normalised_difference"))).otherwise(remark("activation", F.col("higher_activation"), F.col("activation_difference")))
+    reps = F.concat(F.lit("repetitions: "), F.when(F.col("newer_reps") == F.col("older_reps"), "equal").when(F.col("newer_reps") > F.col("older_reps"), "Set 1 more").otherwise("Set 2 more"))
+    matched = F.when(F.col("matched_reps").isNotNull(), F.concat(F.lit("first "), F.col("matched_reps").cast("string"), F.lit(" of each, "), remark("activation", F.col("matched_activation"), F.col("matched_difference"))))
+    peak = remark("peak", F.coalesce("normalised_peak", "higher_peak"), F.coalesce("normalised_peak_difference", "peak_difference"))
+    return pairs.withColumn("insights", F.array_compact(F.array(activation, F.col("trend"), reps, matched, peak)))
+
+
+def agreement(threshold_reps: DataFrame, valley_reps: DataFrame, recordings: DataFrame) -> DataFrame:
+    """Counts of both detectors next to what was expected (``expected_reps``), whether they agree, and their intervals as text."""
+    def side(reps: DataFrame, name: str) -> DataFrame:
+        shown = F.transform(F.sort_array(F.collect_list(F.struct("start_time", "end_time"))), lambda x: F.concat_ws("-", F.round(x["start_time"], 2).cast("decimal(18,2)").cast("string"), F.round(x["end_time"], 2).cast("decimal(18,2)").cast("string")))
+        return reps.groupBy("recording_id").agg(F.count(F.lit(1)).alias(f"{name}_reps"), F.array_join(shown, ", ").alias(f"{name}_intervals"))
+
+    j = recordings.select("recording_id", "expected_reps").join(side(threshold_reps, "threshold"), "recording_id", "left").join(side(valley_reps, "valley"), "recording_id", "left")
+    count = lambda n: F.coalesce(f"{n}_reps", F.lit(0)).cast("long").alias(f"{n}_reps")
+    j = j.select("recording_id", "expected_reps", count("threshold"), count("valley"), *[F.coalesce(f"{n}_intervals", F.lit("")).alias(f"{n}_intervals") for n in ("threshold", "valley")])
+    return j.withColumn("agree", F.col("threshold_reps") == F.col("valley_reps"))
+
+
+def normalised_block(pairs: DataFrame, summaries: DataFrame) -> DataFrame:
+    """Winners and percents of two calibrated sets' normalised values (``norm_avg_value``, ``norm_peak``; null without calibration); null unless both are calibrated."""
+    cols = ("norm_avg_value", "norm_peak")
+    side = lambda k, p: summaries.select(F.col("recording_id").alias(k), *[F.col(c).alias(f"{p}_{c}") for c in cols])
+    j = pairs.join(side("newer", "a"), "newer", "left").join(side("older", "b"), "older", "left")
+    both = F.col("a_norm_avg_value").isNotNull() & F.col("b_norm_avg_value").isNotNull()
+    out = {}
+    for c, who, percent in (("norm_avg_value", "normalised_activation", "normalised_difference"), ("norm_peak", "normalised_peak", "normalised_peak_difference")):
+        a, b = F.col(f"a_{c}"), F.col(f"b_{c}")
+        out |= {who: F.when(both, winner(a, b)), percent: F.when(both, F.round(difference_over_lower(a, b), 6))}
+    return j.withColumns(out).drop(*[f"{p}_{c}" for p in "ab" for c in cols])

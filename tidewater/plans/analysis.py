@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import detect, hybrid, smoothing
+from ..operators import calibration, detect, hybrid, smoothing
 
 #: A prefix that finds more repetitions is still refused if its first one begins so much earlier.
 EARLIER_S = 0.25
@@ -56,6 +56,22 @@ def summaries(samples: DataFrame, adaptive: bool = False) -> DataFrame:
     return detect.set_summary(repetitions(samples, adaptive), samples)
 
 
+def normalised_summaries(samples: DataFrame, calibrations: DataFrame) -> DataFrame:
+    """Mean and peak activation, in percent of the calibrated range, of the repetitions of each recording that has a usable calibration.
+
+    Repetitions are found on the raw signal; each one's mean counts once,
+    ``norm_peak`` is the highest of all, ``norm_avg_peak`` their mean.
+    """
+    usable = calibrations.filter("usable") if "usable" in calibrations.columns else calibrations
+    signal = smoothed(samples)
+    reps = detect.detect(signal, full_thresholds(signal))
+    activation = calibration.normalise(samples, usable).withColumn("raw", F.col("activation")).drop("activation")
+    m = detect.rep_metrics(activation, reps).groupBy("recording_id").agg(
+        detect.steady_mean("mean_value").alias("norm_avg_value"), F.max("peak_value").alias("norm_peak"), detect.steady_mean("peak_value").alias("norm_avg_peak"), F.sum("integral").alias("norm_integral"))
+    zero = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 6).alias(c)
+    return usable.select("recording_id").join(m, "recording_id", "left").select("recording_id", *[zero(c) for c in ("norm_avg_value", "norm_peak", "norm_avg_peak", "norm_integral")])
+
+
 def valley_detection(samples: DataFrame) -> DataFrame:
     """Repetitions, candidates and quality rows of the valley detector."""
     signal = smoothed(samples)

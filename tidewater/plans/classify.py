@@ -89,3 +89,11 @@ def count_errors(scored: DataFrame) -> DataFrame:
     """Per session the true and predicted number of boundaries and the error."""
     g = scored.groupBy("session_id").agg(F.count_if(F.col("label") == 1).cast("long").alias("true_count"), F.count_if(F.col("predicted")).cast("long").alias("predicted_count"))
     return g.withColumn("error", F.col("predicted_count") - F.col("true_count")).withColumn("absolute_error", F.abs("error"))
+
+
+def count_error_summary(errors: DataFrame, *keys: str) -> DataFrame:
+    """Over sessions: mean and median absolute error, the share of exact counts, and how many have too many or too few."""
+    n = lambda c: F.count_if(c).cast("long")
+    return errors.groupBy(*keys).agg(
+        F.round(F.avg("absolute_error"), 6).alias("mean_absolute_error"), F.round(F.median("absolute_error"), 6).alias("median_absolute_error"),
+        F.round(F.avg((F.col("error") == 0).cast("int")), 6).alias("exact_share"), n(F.col("error") > 0).alias("too_many"), n(F.col("error") < 0).alias("too_few"))

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text
-from .operators import calibration, compare, detect, hybrid, matching, metrics, smoothing
+from .operators import calibration, compare, detect, hybrid, matching, metrics, quality, smoothing
 from .plans import analysis
-from .sources import signals
-from .streaming import lifecycle
+from .sources import catalog, sessions, signals
+from .streaming import lifecycle, timing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -514,3 +514,200 @@ def seg_11_candidate_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     signal = analysis.smoothed(signals.supplier_recordings(spark, sf_dir))
     limits = smoothing.thresholds(signal)
     return hybrid.candidate_features(signal, limits, detect.detect(signal, limits))
+
+
+_FILES = _RECS + """, fl AS (SELECT recording_id, mtime, CASE WHEN recording_id % 5 = 2 THEN 'fake' ELSE 'real' END AS data_type, test_type, CASE WHEN recording_id % 9 = 4 THEN 'Excluded' END AS status,
+ CASE WHEN recording_id % 11 = 3 THEN 'a Diagnostic run' WHEN recording_id % 11 = 5 THEN 'not excluded' END AS notes FROM rc)
+"""
+
+
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("recording_id")
+    return _recordings(spark, sf_dir).select("recording_id", "mtime", "participant_id", F.when(i % 5 == 2, "fake").otherwise("real").alias("data_type"), "test_type", F.when(i % 9 == 4, "Excluded").alias("status"), F.when(i % 11 == 3, "a Diagnostic run").when(i % 11 == 5, "not excluded").alias("notes"))
+
+
+@query(_FILES + "SELECT recording_id, mtime FROM fl WHERE data_type = 'real' AND test_type = 'workout_set' AND status IS NULL AND NOT coalesce(contains(lower(notes), 'diagnostic'), false)")
+def src_8_workouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.workouts(_files(spark, sf_dir)).select("recording_id", "mtime")
+
+
+@query(_FILES + ", x AS (SELECT recording_id % 10 AS participant_id, recording_id, row_number() OVER (PARTITION BY recording_id % 10 ORDER BY mtime DESC, recording_id) AS k FROM fl WHERE data_type = 'real' AND test_type = 'workout_set' AND status IS NULL AND NOT coalesce(contains(lower(notes), 'diagnostic'), false)) SELECT participant_id, recording_id FROM x WHERE k = 1")
+def src_8_newest_workout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.newest(catalog.workouts(_files(spark, sf_dir)), "participant_id")
+
+
+@query(_RECS + "SELECT recording_id, CASE WHEN recording_id % 4 <> 0 THEN muscle ELSE '' END AS muscle, CASE WHEN recording_id % 4 <> 0 AND recording_id % 6 <> 1 THEN side ELSE '' END AS side, recording_id % 4 <> 0 AS has_metadata FROM rc")
+def jn_1_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = _recordings(spark, sf_dir)
+    entry = lambda c: F.create_map(F.lit(c), F.col(c))
+    said = r.filter("recording_id % 4 != 0").select("recording_id", F.when(F.col("recording_id") % 6 == 1, entry("muscle")).otherwise(F.map_concat(entry("muscle"), entry("side"))).alias("metadata"))
+    return catalog.with_metadata(r.select("recording_id"), said, ("muscle", "side"))
+
+
+@query(_S + "SELECT recording_id, seq, round((seq + recording_id % 3) * 0.1::DOUBLE - first_value((seq + recording_id % 3) * 0.1::DOUBLE) OVER (PARTITION BY recording_id ORDER BY seq), 6) AS time_s FROM s1")
+def prj_1_relative_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shifted = _ev(spark, sf_dir).withColumn("time_s", (F.col("seq") + F.col("recording_id") % 3) * F.lit(0.1))
+    return timing.relative_time(shifted).select("recording_id", "seq", F.round("time_s", 6).alias("time_s"))
+
+
+@query(_RECS + "SELECT recording_id, recording_id % 3 = 1 AS is_current FROM rc")
+def prj_9_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r, i = _recordings(spark, sf_dir), F.col("recording_id")
+    made = r.filter(i % 3 != 0).select(i, (F.col("mtime") - F.when(i % 3 == 2, F.expr("interval 1 second")).otherwise(F.expr("interval 0 second"))).alias("mtime"))
+    return catalog.freshness(r, made)
+
+
+@query(_S + """, d AS (SELECT recording_id, seq, seq * 100 + (seq // 10) * 40 AS host_ms, CASE WHEN seq % 6 <> 4 THEN 5000 + seq * 100 + CASE WHEN seq >= 25 THEN 7000 ELSE 0 END END AS device_ms FROM s1),
+e AS (SELECT *, host_ms - first_value(host_ms) OVER w AS host_elapsed_ms, first_value(device_ms IGNORE NULLS) OVER w AS f, last_value(device_ms IGNORE NULLS) OVER (PARTITION BY recording_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM d WINDOW w AS (PARTITION BY recording_id ORDER BY seq ROWS UNBOUNDED PRECEDING)),
+g AS (SELECT *, host_elapsed_ms - (device_ms - f) AS drift_ms FROM e)
+SELECT recording_id, seq, host_elapsed_ms, coalesce(device_ms - f, host_elapsed_ms) AS time_ms, drift_ms, CASE WHEN device_ms - p > 5000 THEN device_ms - p END AS gap_ms, coalesce(bool_or(abs(drift_ms) >= 1000) OVER (PARTITION BY recording_id ORDER BY seq ROWS UNBOUNDED PRECEDING), false) AS drift_warning FROM g""")
+def str_3_sample_timing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = F.col("seq")
+    r = _ev(spark, sf_dir).select("recording_id", "seq", (s * 100 + F.floor(s / 10) * 40).alias("host_ms"), F.when(s % 6 != 4, 5000 + s * 100 + F.when(s >= 25, 7000).otherwise(0)).alias("device_ms"))
+    return timing.sample_timing(r).drop("host_ms", "device_ms")
+
+
+_GATE = _RECS + _PAIR + """, gq AS (SELECT recording_id, recording_id % 9 <> 2 AS usable, recording_id % 8 <> 3 AS cross_session, trim(side) AS side, CASE WHEN recording_id % 5 = 1 THEN 'right' ELSE trim(side) END AS calibration_side, setup_id || 'x' || (recording_id % 2) AS signature FROM rc),
+gp AS (SELECT newer, older, compatible, a.usable AND b.usable AS us, a.cross_session AND b.cross_session AS cs, a.side <> '' AND b.side <> '' AND a.side <> b.side AS ap, (a.calibration_side <> '' AND a.calibration_side <> a.side) OR (b.calibration_side <> '' AND b.calibration_side <> b.side) AS ot,
+  a.signature IS NOT DISTINCT FROM b.signature AS sg FROM pair JOIN gq a ON a.recording_id = newer JOIN gq b ON b.recording_id = older),
+gg AS (SELECT *, CASE WHEN NOT us THEN 'no usable calibration' WHEN NOT cs THEN 'calibration too poor' WHEN ap AND ot THEN 'calibration of the other side' WHEN ap THEN 'sides on trial' WHEN NOT sg THEN 'different calibrations' WHEN NOT compatible THEN 'metadata differs' ELSE 'ok' END AS gate FROM gp)
+"""
+
+
+@query(_GATE + "SELECT newer, older, gate, gate IN ('ok', 'sides on trial') AS allowed, us AND cs AND ap AS exploratory FROM gg")
+def cmp_3_normalised_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r, i, side = _recordings(spark, sf_dir), F.col("recording_id"), F.trim("side")
+    facts = r.select("recording_id", (i % 9 != 2).alias("usable"), (i % 8 != 3).alias("cross_session"), side.alias("side"), F.when(i % 5 == 1, "right").otherwise(side).alias("calibration_side"), F.concat("setup_id", F.lit("x"), i % 2).alias("signature"))
+    of = lambda p, k: facts.select(i.alias(k), *[F.col(c).alias(f"{p}_{c}") for c in facts.columns[1:]])
+    pairs = compare.newest_pair(r.filter("test_type = 'workout_set'")).withColumnRenamed("compatible", "compatible_metadata")
+    return compare.normalised_gate(pairs.join(of("a", "newer"), "newer").join(of("b", "older"), "older")).select("newer", "older", "gate", "allowed", "exploratory")
+
+
+_TREND = _SUMMARY + _RECS.replace("WITH ", ", ", 1) + _PAIR + """, tp AS (SELECT newer, older, a.peak_drop AS x, b.peak_drop AS y, a.rep_count AS na, b.rep_count AS nb, a.avg_value AS va, b.avg_value AS vb, a.highest_peak AS pa, b.highest_peak AS pb, a.avg_peak AS qa, b.avg_peak AS qb
+  FROM pair JOIN sm a ON a.recording_id = newer JOIN sm b ON b.recording_id = older),
+td AS (SELECT *, CASE WHEN abs(x) <= 5 THEN 'steady' WHEN x > 0 THEN 'falling' ELSE 'rising' END AS dx, CASE WHEN abs(y) <= 5 THEN 'steady' WHEN y > 0 THEN 'falling' ELSE 'rising' END AS dy, abs(abs(x) - abs(y)) AS gap FROM tp),
+tt AS (SELECT *, CASE WHEN dx = 'steady' AND dy = 'steady' THEN 'both steady'
+  WHEN dx = 'steady' OR dy = 'steady' THEN 'Set 1 ' || dx || CASE WHEN dx <> 'steady' THEN ' by ' || printf('%.1f%%', abs(x)) ELSE '' END || ', Set 2 ' || dy || CASE WHEN dy <> 'steady' THEN ' by ' || printf('%.1f%%', abs(y)) ELSE '' END
+  WHEN dx <> dy THEN 'Set 1 ' || dx || ', Set 2 ' || dy
+  ELSE 'both ' || dx || ': ' || CASE WHEN gap = 0 THEN 'alike' ELSE CASE WHEN abs(x) > abs(y) THEN 'Set 1' ELSE 'Set 2' END || CASE WHEN gap >= 5 THEN ' clearly more' ELSE ' slightly more' END END END AS trend FROM td)
+"""
+
+
+def _compared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of sets with their comparison and trend."""
+    pairs = compare.newest_pair(_recordings(spark, sf_dir).filter("test_type = 'workout_set'"))
+    sets = analysis.summaries(_ev(spark, sf_dir))
+    drop = lambda k, p: sets.select(F.col("recording_id").alias(k), F.col("peak_drop").alias(f"{p}_peak_drop"))
+    both = compare.compare_pairs(pairs, sets).join(drop("newer", "a"), "newer").join(drop("older", "b"), "older")
+    return compare.trends(both)
+
+
+@query(_TREND + "SELECT newer, older, trend FROM tt")
+def cmp_5_trends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _compared(spark, sf_dir).select("newer", "older", "trend")
+
+
+@query(_TREND + """, ti AS (SELECT *, CASE WHEN va > vb THEN 'Set 1' WHEN vb > va THEN 'Set 2' ELSE 'Tie' END AS wv, CASE WHEN pa > pb THEN 'Set 1' WHEN pb > pa THEN 'Set 2' ELSE 'Tie' END AS wp,
+  round(CASE WHEN least(abs(va), abs(vb)) <= 1e-9 THEN 0 ELSE abs(va - vb) / least(abs(va), abs(vb)) * 100 END, 6) AS dv, round(CASE WHEN least(qa, qb) = 0 THEN 0 ELSE (greatest(qa, qb) - least(qa, qb)) / least(qa, qb) * 100 END, 6) AS dp FROM tt)
+SELECT newer, older, concat_ws('; ', 'activation: ' || CASE WHEN dv < 5 OR wv = 'Tie' THEN 'about the same' ELSE wv || ' higher' END, trend, 'repetitions: ' || CASE WHEN na = nb THEN 'equal' WHEN na > nb THEN 'Set 1 more' ELSE 'Set 2 more' END,
+  CASE WHEN na <> nb THEN 'first ' || least(na, nb) || ' of each, activation: about the same' END, 'peak: ' || CASE WHEN dp < 5 OR wp = 'Tie' THEN 'about the same' ELSE wp || ' higher' END) AS insights FROM ti""")
+def cmp_6_insights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    none, n = F.lit(None).cast("string"), F.when(F.col("newer_reps") != F.col("older_reps"), F.least("newer_reps", "older_reps"))
+    rows = _compared(spark, sf_dir).withColumns({"normalised_activation": none, "normalised_difference": none.cast("double"), "normalised_peak": none, "normalised_peak_difference": none.cast("double"), "matched_reps": n, "matched_activation": F.lit("Tie"), "matched_difference": F.lit(0.0)})
+    return compare.insights(rows).select("newer", "older", F.array_join("insights", "; ").alias("insights"))
+
+
+@query(_REPS + """, i AS (SELECT DISTINCT recording_id FROM s1), a AS (SELECT recording_id, count(*) AS n, string_agg(printf('%.2f-%.2f', round(start_time, 2), round(end_time, 2)), ', ' ORDER BY start_time) AS t FROM reps0 GROUP BY 1),
+b AS (SELECT recording_id, count(*) AS n, string_agg(printf('%.2f-%.2f', round(start_time, 2), round(end_time, 2)), ', ' ORDER BY start_time) AS t FROM reps GROUP BY 1)
+SELECT recording_id, (recording_id % 4)::VARCHAR AS expected_reps, coalesce(a.n, 0)::BIGINT AS threshold_reps, coalesce(b.n, 0)::BIGINT AS valley_reps, coalesce(a.t, '') AS threshold_intervals, coalesce(b.t, '') AS valley_intervals, coalesce(a.n, 0) = coalesce(b.n, 0) AS agree
+FROM i LEFT JOIN a USING (recording_id) LEFT JOIN b USING (recording_id)""")
+def cmp_7_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The threshold detector with and without its opening transients; the valley detector has no SQL."""
+    s = _smooth(spark, sf_dir)
+    limits = smoothing.thresholds(s)
+    r = _recordings(spark, sf_dir).withColumn("expected_reps", (F.col("recording_id") % 4).cast("string"))
+    return compare.agreement(detect.threshold_reps(s, limits), detect.detect(s, limits), r)
+
+
+_NORM = _REPS + """, nr AS (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY raw) AS u, row_number() OVER (PARTITION BY recording_id ORDER BY raw DESC) AS d FROM s1),
+cal AS (SELECT recording_id, round(avg(raw) FILTER (u <= greatest(1, floor(n * 10 / 100.0))), 9) AS baseline, round(avg(raw) FILTER (d <= greatest(1, floor(n * 10 / 100.0))), 9) AS max_flex FROM nr GROUP BY ALL),
+na AS (SELECT s1.recording_id, seq, time_s, round(greatest(0, (raw - baseline) / round(max_flex - baseline, 9) * 100), 6) AS raw FROM s1 JOIN cal USING (recording_id) WHERE round(max_flex - baseline, 9) >= 1),
+ni AS (SELECT p.*, s.raw, s.time_s - lag(s.time_s) OVER w AS dt, (s.raw + lag(s.raw) OVER w) / 2 AS pr FROM reps p JOIN na s ON s.recording_id = p.recording_id AND s.time_s BETWEEN p.start_time AND p.end_time WINDOW w AS (PARTITION BY p.recording_id, p.rep_no ORDER BY s.seq)),
+nm AS (SELECT recording_id, rep_no, round(round(sum(raw), 6) / count(raw), 6) AS m, round(max(raw), 6) AS p, round(CASE WHEN count(*) = 1 THEN round(sum(raw), 6) / count(raw) * (end_time - start_time) ELSE coalesce(sum(pr * dt) FILTER (dt > 0), 0) END, 6) AS i FROM ni GROUP BY recording_id, rep_no, start_time, end_time),
+nn AS (SELECT c.recording_id, round(coalesce(round(sum(m), 6) / count(m), 0), 6) AS norm_avg_value, round(coalesce(max(p), 0), 6) AS norm_peak, round(coalesce(round(sum(p), 6) / count(p), 0), 6) AS norm_avg_peak, round(coalesce(sum(i), 0), 6) AS norm_integral
+  FROM cal c LEFT JOIN nm USING (recording_id) WHERE round(c.max_flex - c.baseline, 9) >= 1 GROUP BY 1)
+"""
+
+
+@query(_NORM + "SELECT * FROM nn")
+def agg_7_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = _ev(spark, sf_dir)
+    return analysis.normalised_summaries(ev, calibration.tail_calibration(ev))
+
+
+@query(_NORM + _RECS.replace("WITH ", ", ", 1) + _PAIR + """SELECT newer, older, CASE WHEN a.norm_avg_value > b.norm_avg_value THEN 'Set 1' WHEN b.norm_avg_value > a.norm_avg_value THEN 'Set 2' WHEN a.norm_avg_value = b.norm_avg_value THEN 'Tie' END AS normalised_activation,
+ round(CASE WHEN least(a.norm_avg_value, b.norm_avg_value) = 0 THEN 0 ELSE abs(a.norm_avg_value - b.norm_avg_value) / least(a.norm_avg_value, b.norm_avg_value) * 100 END, 6) AS normalised_difference,
+ CASE WHEN a.norm_peak > b.norm_peak THEN 'Set 1' WHEN b.norm_peak > a.norm_peak THEN 'Set 2' WHEN a.norm_peak = b.norm_peak THEN 'Tie' END AS normalised_peak,
+ round(CASE WHEN least(a.norm_peak, b.norm_peak) = 0 THEN 0 ELSE abs(a.norm_peak - b.norm_peak) / least(a.norm_peak, b.norm_peak) * 100 END, 6) AS normalised_peak_difference FROM pair JOIN nn a ON a.recording_id = newer JOIN nn b ON b.recording_id = older""")
+def cmp_4_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = _ev(spark, sf_dir)
+    pairs = compare.newest_pair(_recordings(spark, sf_dir).filter("test_type = 'workout_set'")).select("newer", "older")
+    return compare.normalised_block(pairs, analysis.normalised_summaries(ev, calibration.tail_calibration(ev)))
+
+
+@query("""SELECT s_suppkey AS session_id, CASE WHEN s_suppkey % 3 = 0 THEN CASE WHEN s_suppkey % 2 = 0 THEN 'locked' ELSE 'saved' END WHEN s_suppkey % 5 = 0 THEN 'no reason' ELSE 'saved' END AS outcome,
+ CASE WHEN s_suppkey % 3 = 0 THEN CASE WHEN s_suppkey % 2 = 0 THEN 'locked' ELSE 'draft' END WHEN s_suppkey % 5 = 0 THEN CASE WHEN s_suppkey % 2 = 0 THEN 'locked' WHEN s_suppkey % 7 = 1 THEN 'unreviewed' ELSE 'reviewed' END WHEN s_suppkey % 3 = 1 THEN 'draft' ELSE 'reviewed' END AS annotation_status FROM supplier""")
+def val_4_annotation_locks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("s_suppkey")
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    old = s.filter((i % 2 == 0) | (i % 7 != 1)).select(i.alias("session_id"), F.when(i % 2 == 0, "locked").otherwise("reviewed").alias("annotation_status"))
+    new = s.select(i.alias("session_id"), F.when(i % 3 == 0, "save").when(i % 3 == 1, "override").otherwise("unlock").alias("kind"), F.when(i % 5 != 0, "typo").alias("reason"), F.lit("draft").alias("new_status"))
+    return quality.apply_updates(old, new)
+
+
+@query(_S + _RECS.replace("WITH ", ", ", 1) + """, x AS (SELECT recording_id, max(raw) - min(raw) AS rg FROM s1 GROUP BY 1), nm AS (SELECT recording_id, round(avg((raw >= hi - greatest(2, (hi - lo) * 0.01::DOUBLE))::INT) * 100, 6) AS p FROM (SELECT *, max(raw) OVER w AS hi, min(raw) OVER w AS lo FROM s1 WINDOW w AS (PARTITION BY recording_id)) GROUP BY 1)
+SELECT recording_id, concat_ws(';', CASE WHEN rg <= 2 THEN 'flat_signal' WHEN rg <= 20 THEN 'small_range' END, CASE WHEN recording_id % 4 <> 0 AND recording_id % 4 <> recording_id % 3 THEN 'rep_count_differs' END,
+ CASE WHEN recording_id % 5 = 0 THEN 'no_calibration' WHEN trim(side) <> '' AND trim(side) <> 'right' THEN 'calibration_of_other_side' END, CASE WHEN recording_id % 6 = 0 THEN 'no_graph' WHEN recording_id % 6 = 1 THEN 'graph_older_than_summary' END,
+ CASE WHEN recording_id % 13 = 2 THEN 'diagnostic_or_excluded' END, CASE WHEN p >= 3 THEN 'saturated' END) AS warnings FROM rc JOIN x USING (recording_id) JOIN nm USING (recording_id)""")
+def val_6_recording_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev, i = _ev(spark, sf_dir), F.col("recording_id")
+    ranges = ev.groupBy("recording_id").agg((F.max("raw") - F.min("raw")).alias("signal_range"))
+    facts = _recordings(spark, sf_dir).select(
+        "recording_id", F.when(i % 4 == 0, "").otherwise((i % 4).cast("string")).alias("expected_reps"), (i % 3).alias("detected_reps"), (i % 5 != 0).alias("has_calibration"), F.lit("right").alias("calibration_side"), F.col("side").alias("required_side"),
+        F.when(i % 6 != 0, F.when(i % 6 == 1, 1).otherwise(3)).alias("graph_mtime"), F.lit(2).alias("summary_mtime"), (i % 13 == 2).alias("is_excluded"))
+    rows = facts.join(ranges, "recording_id").join(calibration.saturation(ev), "recording_id")
+    return quality.recording_warnings(rows).select("recording_id", F.array_join("warnings", ";").alias("warnings"))
+
+
+@query("""WITH b AS (SELECT s_suppkey AS session_id, 10.0::DOUBLE + s_suppkey AS b, (10.0::DOUBLE + s_suppkey) * CASE s_suppkey % 3 WHEN 0 THEN 1000 WHEN 1 THEN 1 ELSE 0.001::DOUBLE END AS c FROM supplier)
+SELECT session_id, round(c / b, 6) AS ratio FROM b WHERE session_id % 3 <> 1 AND session_id % 7 <> 0""")
+def seg_12_unit_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("session_id"), (F.lit(10.0) + F.col("s_suppkey")).alias("boundary_time"))
+    times = s.select("session_id", (F.col("boundary_time") * F.when(F.col("session_id") % 3 == 0, 1000.0).when(F.col("session_id") % 3 == 1, 1.0).otherwise(0.001)).alias("time_s"))
+    return quality.unit_warnings(times, s, s.filter("session_id % 7 = 0"))
+
+
+@query(_CAND + """, g AS (SELECT session_id, count(*) FILTER (said) - count(*) FILTER (truth) AS e FROM c GROUP BY 1)
+SELECT round(avg(abs(e)), 6) AS mean_absolute_error, round(median(abs(e)), 6) AS median_absolute_error, round(avg((e = 0)::INT), 6) AS exact_share, count(*) FILTER (e > 0) AS too_many, count(*) FILTER (e < 0) AS too_few FROM g""")
+def agg_24_error_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .plans import classify
+
+    return classify.count_error_summary(agg_24_count_errors(spark, sf_dir))
+
+
+@query("""WITH b AS (SELECT o_orderkey, strftime(o_orderdate, '%Y%m%d_%H%M%S') || '_' || (o_custkey % 3)::VARCHAR || '_' || trim(regexp_replace(lower(o_orderpriority), '[^a-z0-9]+', '_', 'g'), '_') AS base, strftime(o_orderdate, '%Y-%m-%d %I:%M %p') AS shown FROM orders),
+n AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY o_orderkey) AS k FROM b) SELECT o_orderkey AS row_no, CASE WHEN k = 1 THEN base ELSE base || '_' || k END AS session_id, shown FROM n""")
+def fn_2_session_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("row_no"), F.col("o_orderdate").alias("created_at"), (F.col("o_custkey") % 3).alias("participant_id"), F.col("o_orderpriority").alias("exercise"))
+    return text.session_ids(o).select("row_no", "session_id", text.date_time(F.col("created_at")).alias("shown"))
+
+
+@query("SELECT p_partkey, round((p_size - avg(p_size) OVER ()) / stddev_pop(p_size) OVER (), 6) AS p_size, round((p_retailprice - avg(p_retailprice) OVER ()) / stddev_pop(p_retailprice) OVER (), 6) AS p_retailprice FROM part")
+def fn_8_z_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_size", "p_retailprice")
+    return quality.z_scores(p, "p_size", "p_retailprice").select("p_partkey", F.round("p_size", 6).alias("p_size"), F.round("p_retailprice", 6).alias("p_retailprice"))
+
+
+@query(_CAND + "SELECT doc_id, session_id || ':' || (row_number() OVER (PARTITION BY session_id ORDER BY doc_id) - 1) || ':' || score AS row_key FROM c")
+def set_5_row_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions.row_keys(_candidates(spark, sf_dir).withColumn("candidate_timestamp", F.col("score")), "doc_id").select("doc_id", "row_key")
