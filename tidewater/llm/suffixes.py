@@ -258,28 +258,38 @@ def _window_rows(batch: pa.RecordBatch, length: int = LENGTH) -> pa.RecordBatch
     return pa.record_batch({"u1": batch.column(0).take(pa.array(row)), "i": pa.array(i, pa.int32()), "w1": pa.array(w1.view(np.int64)), "w2": pa.array(w2.view(np.int64))})
 
 
-def _partly_repeated(index: DataFrame, seen: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(key, seg, r)``: ranges of repeated windows in segments that share a head with a different segment."""
+def _edges(index: DataFrame, seen: DataFrame) -> DataFrame:
+    """``id, h, wanted``: by document, one occurrence of every segment that shares its head with a different one."""
     several = index.groupBy("key").agg(F.min("seg").alias("lo"), F.max("seg").alias("hi")).filter("lo != hi").select("key")
     edge = index.select("key", "seg", "ref", "place").join(several, "key", "left_semi")
     wanted = edge.groupBy("ref").agg(F.collect_list(F.struct("key", "seg", "place")).alias("wanted"))  # at most a document's own segments
-    wanted = wanted.join(seen.select("ref", "id", "h"), "ref").select("id", "h", "wanted")
+    return wanted.join(seen.select("ref", "id", "h"), "ref").select("id", "h", "wanted")
+
+
+def _partly_repeated(wanted: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(key, seg, r)``: ranges of repeated windows in segments that share a head with a different segment.  Every step is a table that goes as soon as it has been read."""
     texts = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col)).alias("_h"), F.col(text_col).alias("text"))
     joined = texts.join(wanted, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_h") == F.col("h"))).select("text", "wanted")
     cut = materialize(map_arrow(joined, _cut_out, "key long, seg long, lead int, bytes binary"), "edges")
+    discard(wanted)
     blocks = materialize(map_arrow(cut, _block_rows, "key long, seg long, ckey long, u1 long, u2 long, first int, last int"), "blocks")
-    unions = materialize(blocks.groupBy("ckey", "u1", "u2").agg(F.min("seg").alias("lo"), F.max("seg").alias("hi"), *[F.first(c).alias(c) for c in ("first", "last", "key", "seg")]), "unions")
-    whole = unions.filter("lo != hi").select("ckey", "u1", F.array(F.struct(F.lit(0).alias("f"), (F.col("last") - F.col("first")).alias("t"))).alias("runs"))
+    twice = (F.min("seg") != F.max("seg")).alias("twice")
+    unions = blocks.groupBy("ckey", "u1", "u2").agg(twice, *[F.first(c).alias(c) for c in ("first", "last", "key", "seg")])
+    unions = materialize(unions.drop("u2"), "unions")
     open_ = unions.groupBy("ckey").agg(F.min("u1").alias("lo1"), F.max("u1").alias("hi1")).filter("lo1 != hi1").select("ckey")
     compare = unions.join(open_, "ckey", "left_semi").select("key", "seg", "u1", "first", "last")
     windows = materialize(map_arrow(compare.join(cut.dropDuplicates(["key", "seg"]), ["key", "seg"]).select("u1", "first", "last", "bytes"), _window_rows, "u1 long, i int, w1 long, w2 long"), "windows")
-    twice = windows.groupBy("w1", "w2").agg(F.min("u1").alias("lo"), F.max("u1").alias("hi")).filter("lo != hi").select("w1", "w2")
-    runs = windows.join(twice, ["w1", "w2"], "left_semi").groupBy("u1").agg(F.transform(F.array_sort(F.collect_set("i")), lambda i: F.struct(i.alias("f"), i.alias("t"))).alias("runs"))  # at most BLOCK entries
-    part = unions.filter("lo = hi").select("ckey", "u1").join(runs, "u1").select("ckey", "u1", "runs")
-    found = blocks.select("key", "seg", "ckey", "u1", "first").join(whole.unionByName(part), ["ckey", "u1"])
+    discard(cut)
+    again = windows.groupBy("w1", "w2").agg(F.min("u1").alias("lo"), F.max("u1").alias("hi")).filter("lo != hi").select("w1", "w2")
+    run = F.transform(F.array_sort(F.collect_set("i")), lambda i: F.struct(i.alias("f"), i.alias("t")))  # at most BLOCK entries
+    runs = materialize(windows.join(again, ["w1", "w2"], "left_semi").groupBy("u1").agg(run.alias("runs")), "runs")
+    discard(windows)
+    part = unions.filter("not twice").select("ckey", "u1").join(runs, "u1").select("ckey", "u1", "runs")
+    all_of = unions.filter("twice").select("ckey", "u1", F.array(F.struct(F.lit(0).alias("f"), (F.col("last") - F.col("first")).alias("t"))).alias("runs"))
+    found = blocks.select("key", "seg", "ckey", "u1", "first").join(all_of.unionByName(part), ["ckey", "u1"])
     ranges = found.select("key", "seg", F.col("first").alias("at"), F.explode("runs").alias("r")).select("key", "seg", (F.col("at") + F.col("r.f")).alias("first"), (F.col("at") + F.col("r.t")).alias("last"))
     each = materialize(ranges.groupBy("key", "seg").agg(F.collect_set(F.struct("first", "last")).alias("r")), "partly")  # at most a segment's windows
-    for used in (cut, blocks, unions, windows):
+    for used in (blocks, unions, runs):
         discard(used)
     return each
 
@@ -292,10 +302,12 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     index = SuffixIndex(spark, int(spark.conf.get("spark.sql.shuffle.partitions")))
     for b in range(batches):
         index.add(_exploded(seen.filter(F.col("batch") == b)))
-    part = _partly_repeated(index.all(), seen, docs, id_col, text_col)
-    whole = index.repeated().withColumn("whole", F.lit(True))
+    wanted = materialize(_edges(index.all(), seen), "wanted")
+    whole = materialize(index.repeated().withColumn("whole", F.lit(True)), "whole")
+    index.close()
+    part = _partly_repeated(wanted, docs, id_col, text_col)
     marks = materialize(whole.join(part, ["key", "seg"], "full"), "marks")
-    index.close(), discard(part)
+    discard(whole), discard(part)
     span = lambda s, e: F.shiftleft(s, 32).bitwiseOR(e)
     start, size = F.shiftright("place", 20), F.col("place").bitwiseAND(1023)
     some = F.transform("r", lambda r: span(start + r["first"], start + r["last"] + LENGTH))
