@@ -17,7 +17,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field, fields
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.metrics import ENTER_FLOOR, ENTER_SHARE, LEAVE_FLOOR, LEAVE_SHARE, LowTail
@@ -27,6 +27,8 @@ ARM_AFTER_S, MEANINGFUL_S, MEANINGFUL_AGO_S, EPISODES, ACTIVE_S = 10.0, 0.75, 6.
 GRACE_S, FINISH_S = 1.25, 6.0
 EPISODE_S, EPISODE_GAP_S = 0.5, 0.75
 SMOOTHING = 15
+#: How long a stream remembers that a set has finished.
+FORGET_MS = 3_600_000
 #: A first reading so much older than the next, while both came together, belongs to an earlier run.
 STALE_DEVICE_MS, STALE_HOST_MS = 5000, 1000
 
@@ -186,13 +188,15 @@ def replay(readings: DataFrame, baseline: float | None = None, signal_range: flo
     return _calibrated(readings, baseline, signal_range).groupBy("recording_id").applyInPandas(run, _RESULT.format(id=kind))
 
 
-def watch(readings: DataFrame, baseline: float | None = None, signal_range: float | None = None) -> DataFrame:
-    """The same on a stream: after every batch, the state of each recording that had readings.
+def watch(readings: DataFrame, baseline: float | None = None, signal_range: float | None = None, forget_ms: int = FORGET_MS) -> DataFrame:
+    """The same on a stream: after every batch, the state of each recording that had readings and was not finished before it.
 
-    Readings of one batch are put in order of time; a reading older than the
-    last one seen counts as of that one's time.  Calibration is that of a
-    recording's first reading.  When a set has finished, its readings leave the
-    store; the numbers of its state stay.
+    So a finished set is given once, by the batch that ends it.  Readings of one
+    batch are put in order of time; a reading older than the last one seen counts
+    as of that one's time.  Calibration is that of a recording's first reading.
+    When a set has finished, its readings leave the store at once, and what is
+    left of its state when no reading has come for ``forget_ms`` of processing
+    time; a reading after that begins another set.
     """
     kind = readings.schema["recording_id"].dataType.simpleString()
     names = [f.name for f in fields(SetState)]
@@ -201,14 +205,21 @@ def watch(readings: DataFrame, baseline: float | None = None, signal_range: floa
     plain = {"bool": bool, "int": int, "float": float, "list[float]": list}
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], store) -> Iterator[pd.DataFrame]:
+        if store.hasTimedOut:
+            store.remove()
+            return
         rows = pd.concat(list(batches)).sort_values("time_s")
         state = SetState(**dict(zip(names, store.get))) if store.exists else _start(rows)
+        over = state.finished_at >= 0
         for t, v in rows[["time_s", "value"]].itertuples(index=False, name=None):
             state.observe(max(t, state.last), v)
         store.update(tuple(plain[f.type](getattr(state, f.name)) for f in fields(SetState)))
-        yield _row(key[0], state)
+        if state.finished_at >= 0:
+            store.setTimeoutDuration(forget_ms)
+        if not over:
+            yield _row(key[0], state)
 
-    return _calibrated(readings, baseline, signal_range).groupBy("recording_id").applyInPandasWithState(run, _RESULT.format(id=kind), schema, "update", "NoTimeout")
+    return _calibrated(readings, baseline, signal_range).groupBy("recording_id").applyInPandasWithState(run, _RESULT.format(id=kind), schema, "update", "ProcessingTimeTimeout")
 
 
 def without_stale_start(readings: DataFrame) -> DataFrame:
@@ -218,9 +229,6 @@ def without_stale_start(readings: DataFrame) -> DataFrame:
     ``STALE_DEVICE_MS`` after it within ``STALE_HOST_MS`` of host time; what
     comes next is then the opening one, and may be stale too.
     """
-    from pyspark.sql import Window
-    from pyspark.sql import functions as F
-
     w = Window.partitionBy("recording_id").orderBy("seq")
     jump = (F.lead("device_ms").over(w) - F.col("device_ms") > STALE_DEVICE_MS) & (F.lead("host_ms").over(w) - F.col("host_ms") <= STALE_HOST_MS)
     rows = readings.withColumn("_stale", F.coalesce(jump, F.lit(False)))
@@ -230,8 +238,6 @@ def without_stale_start(readings: DataFrame) -> DataFrame:
 
 def write_once(stream: DataFrame, path: str, checkpoint: str, available_now: bool = True):
     """Each finished set is written once: a batch has a folder of its own, which a repeated batch overwrites."""
-    from pyspark.sql import functions as F
-
     def save(batch: DataFrame, number: int) -> None:
         batch.filter(F.col("status") == "finished").write.mode("overwrite").parquet(f"{path}/batch={number}")
 
