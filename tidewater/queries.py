@@ -260,8 +260,8 @@ def agg_7_set_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(_REPS + """, h AS (SELECT *, rep_no <= greatest(1, count(*) OVER (PARTITION BY recording_id) // 2) AS early FROM rm)
-SELECT recording_id, count(*)::BIGINT AS rep_count, round(sum(duration), 6) AS active_time, round(sum(integral) / nullif(sum(duration), 0), 4) AS mean_activation, round(median(mean_value), 6) AS median_mean, round(coalesce(stddev_pop(mean_value), 0), 4) AS deviation,
- round(avg(mean_value) FILTER (early), 4) AS early_mean, round(avg(mean_value) FILTER (NOT early), 4) AS late_mean, round((count(*) * round(sum(rep_no * mean_value), 6) - sum(rep_no) * round(sum(mean_value), 6)) / nullif(count(*) * sum(rep_no * rep_no) - sum(rep_no) * sum(rep_no), 0), 4) AS slope, round(median(duration), 6) AS median_duration FROM h GROUP BY recording_id""")
+SELECT recording_id, count(*)::BIGINT AS rep_count, round(sum(duration), 6) AS active_time, round(round(sum(integral) / nullif(sum(duration), 0), 6), 4) AS mean_activation, round(median(mean_value), 6) AS median_mean, round(round(coalesce(stddev_pop(mean_value), 0), 6), 4) AS deviation,
+ round(round(avg(mean_value) FILTER (early), 6), 4) AS early_mean, round(round(avg(mean_value) FILTER (NOT early), 6), 4) AS late_mean, round(round((count(*) * round(sum(rep_no * mean_value), 6) - sum(rep_no) * round(sum(mean_value), 6)) / nullif(count(*) * sum(rep_no * rep_no) - sum(rep_no) * sum(rep_no), 0), 6), 4) AS slope, round(median(duration), 6) AS median_duration FROM h GROUP BY recording_id""")
 def agg_10_set_activation(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = metrics.set_activation(analysis.repetitions(_ev(spark, sf_dir)))
     four = ("mean_activation", "deviation", "early_mean", "late_mean", "slope")
@@ -639,20 +639,22 @@ nn AS (SELECT c.recording_id, round(coalesce(round(sum(m), 6) / count(m), 0), 6)
 """
 
 
-@query(_NORM + "SELECT * FROM nn")
+@query(_NORM + "SELECT recording_id, round(norm_avg_value, 3) AS norm_avg_value, round(norm_peak, 3) AS norm_peak, round(norm_avg_peak, 3) AS norm_avg_peak, round(norm_integral, 3) AS norm_integral FROM nn")
 def agg_7_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = _ev(spark, sf_dir)
-    return analysis.normalised_summaries(ev, calibration.tail_calibration(ev))
+    n = analysis.normalised_summaries(ev, calibration.tail_calibration(ev))
+    return n.select("recording_id", *[F.round(c, 3).alias(c) for c in n.columns[1:]])
 
 
 @query(_NORM + _RECS.replace("WITH ", ", ", 1) + _PAIR + """SELECT newer, older, CASE WHEN a.norm_avg_value > b.norm_avg_value THEN 'Set 1' WHEN b.norm_avg_value > a.norm_avg_value THEN 'Set 2' WHEN a.norm_avg_value = b.norm_avg_value THEN 'Tie' END AS normalised_activation,
- round(CASE WHEN least(a.norm_avg_value, b.norm_avg_value) = 0 THEN 0 ELSE abs(a.norm_avg_value - b.norm_avg_value) / least(a.norm_avg_value, b.norm_avg_value) * 100 END, 6) AS normalised_difference,
+ round(CASE WHEN least(a.norm_avg_value, b.norm_avg_value) = 0 THEN 0 ELSE abs(a.norm_avg_value - b.norm_avg_value) / least(a.norm_avg_value, b.norm_avg_value) * 100 END, 3) AS normalised_difference,
  CASE WHEN a.norm_peak > b.norm_peak THEN 'Set 1' WHEN b.norm_peak > a.norm_peak THEN 'Set 2' WHEN a.norm_peak = b.norm_peak THEN 'Tie' END AS normalised_peak,
- round(CASE WHEN least(a.norm_peak, b.norm_peak) = 0 THEN 0 ELSE abs(a.norm_peak - b.norm_peak) / least(a.norm_peak, b.norm_peak) * 100 END, 6) AS normalised_peak_difference FROM pair JOIN nn a ON a.recording_id = newer JOIN nn b ON b.recording_id = older""")
+ round(CASE WHEN least(a.norm_peak, b.norm_peak) = 0 THEN 0 ELSE abs(a.norm_peak - b.norm_peak) / least(a.norm_peak, b.norm_peak) * 100 END, 3) AS normalised_peak_difference FROM pair JOIN nn a ON a.recording_id = newer JOIN nn b ON b.recording_id = older""")
 def cmp_4_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = _ev(spark, sf_dir)
     pairs = compare.newest_pair(_recordings(spark, sf_dir).filter("test_type = 'workout_set'")).select("newer", "older")
-    return compare.normalised_block(pairs, analysis.normalised_summaries(ev, calibration.tail_calibration(ev)))
+    both = compare.normalised_block(pairs, analysis.normalised_summaries(ev, calibration.tail_calibration(ev)))
+    return both.withColumns({c: F.round(c, 3) for c in ("normalised_difference", "normalised_peak_difference")})
 
 
 @query("""SELECT s_suppkey AS session_id, CASE WHEN s_suppkey % 3 = 0 THEN CASE WHEN s_suppkey % 2 = 0 THEN 'locked' ELSE 'saved' END WHEN s_suppkey % 5 = 0 THEN 'no reason' ELSE 'saved' END AS outcome,
