@@ -34,7 +34,7 @@ TOKENIZER = "word_bpe_49k.json"
 #: Buckets in which the pieces of one length are ranked.
 RANK_BUCKETS = 1024
 #: Segments that a Python worker remembers in each of two generations, and the longest of them.
-CACHE_WORDS, CACHE_BYTES = 250_000, 40
+CACHE_WORDS, CACHE_BYTES = 100_000, 40
 #: Bytes of text encoded at once; one longer text is encoded by itself.
 ENCODE_BYTES = 4 << 20
 _SPACE, _LETTER, _OTHER = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
