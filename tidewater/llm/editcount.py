@@ -232,7 +232,8 @@ def count_edits(docs: DataFrame, edits_col: str = "edits", text_col: str = "text
 
     Returns the columns in ``keep`` with ``n_tokens``, ``n_tokens_after``,
     ``n_pieces`` (pre-tokens before) and ``n_encoded`` (pre-tokens cut anew for
-    the edits).  Defined cases: a null text is empty and edits may fill it; null
+    the edits).  Defined cases: a null text is empty and edits may fill it; very
+    long texts are read whole, and an edit costs what its region does; null
     edits are none; repeated rows count alike; an empty table stays empty.
     """
     names = [c for c in (keep or []) if c.lower() not in ("n_tokens", "n_tokens_after", "n_pieces", "n_encoded")]

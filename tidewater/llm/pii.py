@@ -266,7 +266,7 @@ def find_pii(docs: DataFrame, text_col: str = "text", keep: list[str] | None = N
     """The columns in ``keep`` (all by default) with ``spans``: array of start, kind, end (code points, end exclusive) and base.
 
     ``kind`` is a place in ``KINDS``.  Defined cases: a null or empty text has no
-    spans; repeated rows have the same spans; a table without proposed spans, or
+    spans; very long texts are read whole; repeated rows have the same spans; a table without proposed spans, or
     an empty one, trains nothing and adds none; a column named ``spans`` or
     ``_found`` is replaced.
     """

@@ -188,7 +188,8 @@ def quality_rules(docs: DataFrame, refs: References | None = None, keep: list[st
 
     Defined cases: a null or empty text has no words and fails; without any
     labelled document there are no references and only the base rules speak;
-    repeated rows are judged alike; an empty table stays empty; input columns
+    repeated rows are judged alike; very long texts are read whole, in a time
+    linear in them; an empty table stays empty; input columns
     named like an added one are replaced.
     """
     refs = refs or language_references(docs)

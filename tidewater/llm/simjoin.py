@@ -180,8 +180,9 @@ def near_duplicates(docs: DataFrame, percent: int = THRESHOLD_PERCENT, width: in
 
     Defined cases: a null, empty or blank text has an empty set and is its own
     component; repeated rows and equal texts fall together; a null id takes part
-    in linking but never names a component that has another id; other columns
-    are not read, so their names cannot clash; an empty table gives an empty one.
+    in linking but never names a component that has another id; very long texts
+    are read whole; other columns are not read, so their names cannot clash; an
+    empty table gives an empty one.
     """
     labelled = _labelled(docs.select(id_col, text_col), percent, width, id_col, text_col)
     least = labelled.filter(F.col("label").isNotNull()).groupBy("label").agg(F.min("id").alias("least"))
