@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import editcount, hamming, html, langid, mixing, packing, pii, quality, simjoin, suffixes
+from . import editcount, hamming, html, langid, lexical, mixing, packing, pii, quality, simjoin, suffixes
 from .common import table
 
 
@@ -53,6 +53,11 @@ def op10_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return editcount.count_edits(editcount.sample_edits(docs), keep=["doc_id"])
 
 
-QUERIES = {f.__name__: f for f in (op1_html, op2_language, op3_suffix_dedup, op4_pii, op5_quality_rules, op6_pack, op7_ngram_jaccard_join, op8_hamming_search, op9_mix_sources, op10_edit_counts)}
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items, docs = table(spark, sf_dir, "benchmark").select("item_id", "text"), table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lexical.search(items, docs)
 
-ORACLE_SQL = {"op8_hamming_search": hamming.ORACLE_SQL, "op9_mix_sources": mixing.ORACLE_SQL}
+
+QUERIES = {f.__name__: f for f in (op1_html, op2_language, op3_suffix_dedup, op4_pii, op5_quality_rules, op6_pack, op7_ngram_jaccard_join, op8_hamming_search, op9_mix_sources, op10_edit_counts, op11_lexical_search)}
+
+ORACLE_SQL = {"op8_hamming_search": hamming.ORACLE_SQL, "op9_mix_sources": mixing.ORACLE_SQL, "op11_lexical_search": lexical.ORACLE_SQL}
