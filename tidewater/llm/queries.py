@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import editcount, hamming, html, langid, lexical, mixing, packing, pii, quality, simjoin, suffixes, turns
+from . import editcount, hamming, html, langid, lexical, mixing, packing, pii, quality, simjoin, suffixes, turns, warc
 from .common import table
 
 
@@ -62,6 +62,10 @@ def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.repair(turns.damage(table(spark, sf_dir, "conversations")))
 
 
-QUERIES = {f.__name__: f for f in (op1_html, op2_language, op3_suffix_dedup, op4_pii, op5_quality_rules, op6_pack, op7_ngram_jaccard_join, op8_hamming_search, op9_mix_sources, op10_edit_counts, op11_lexical_search, op12_turn_repair)}
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
-ORACLE_SQL = {"op8_hamming_search": hamming.ORACLE_SQL, "op9_mix_sources": mixing.ORACLE_SQL, "op11_lexical_search": lexical.ORACLE_SQL, "op12_turn_repair": turns.ORACLE_SQL}
+
+QUERIES = {f.__name__: f for f in (op1_html, op2_language, op3_suffix_dedup, op4_pii, op5_quality_rules, op6_pack, op7_ngram_jaccard_join, op8_hamming_search, op9_mix_sources, op10_edit_counts, op11_lexical_search, op12_turn_repair, op13_warc)}
+
+ORACLE_SQL = {"op8_hamming_search": hamming.ORACLE_SQL, "op9_mix_sources": mixing.ORACLE_SQL, "op11_lexical_search": lexical.ORACLE_SQL, "op12_turn_repair": turns.ORACLE_SQL, "op13_warc": warc.ORACLE_SQL}
