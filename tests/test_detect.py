@@ -1,5 +1,9 @@
 """Detectors on signals with known repetitions."""
 
+import math
+import random
+import statistics
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,32 +16,71 @@ def frame(spark, signals, step=0.1):
     return spark.createDataFrame(rows, "recording_id string, seq long, time_s double, raw double")
 
 
-def runs(*parts):
-    return [v for value, n in parts for v in [value] * n]
-
-
-OPENING = {
-    "a": (runs((0, 5), (20, 5), (0, 8), (100, 12), (0, 8), (90, 12), (0, 8)), [(1.8, 3.0), (3.8, 5.0)]),
-    "b": (runs((0, 1), (90, 12), (0, 8), (100, 12), (0, 8)), [(0.1, 1.3), (2.1, 3.3)]),
-    "c": (runs((0, 8), (100, 12), (0, 8), (90, 12), (0, 8)), [(0.8, 2.0), (2.8, 4.0)]),
-    "d": (runs((0, 5), (90, 12), (0, 8)), [(0.5, 1.7)]),
-    "e": (runs((0, 5), (80, 12), (0, 8), (100, 12), (0, 8)), [(0.5, 1.7), (2.5, 3.7)]),
-    "f": (runs((0, 5), (20, 5), (0, 8), (25, 5), (0, 8)), [(0.5, 1.0), (1.8, 2.3)]),
-}
+def plain_detect(times, values, start, end):
+    """The threshold detector by its definition, one sample after the other; (start, end) of each repetition."""
+    reps, opened, quiet_until = [], None, None
+    for i, (t, v) in enumerate(zip(times, values)):
+        rises = v >= start if i == 0 else values[i - 1] <= start < v
+        if opened is None and rises and (quiet_until is None or round(t, 6) >= round(quiet_until, 6)):
+            opened = i
+        if opened is not None and (v <= end or i == len(values) - 1):
+            if round(t - times[opened], 6) >= 0.35:
+                reps.append((opened, i))
+                quiet_until = t + 0.25
+            opened = None
+
+    def facts(a, b):
+        over = [max(0.0, v - start) for v in values[a : b + 1]]
+        step = (times[b] - times[a]) / (b - a) if b > a else 0
+        return times[b] - times[a], sum(over) * step, max(values[a : b + 1]) - start
+
+    if len(reps) > 1:
+        first, usual = facts(*reps[0]), [statistics.median(x) for x in zip(*[facts(*r) for r in reps[1:]])]
+        if all(u > 0 and f < u * share for f, u, share in zip(first, usual, (0.55, 0.35, 0.55))):
+            reps = reps[1:]
+    return [(times[a], times[b]) for a, b in reps]
+
+
+def blocks(rng, opening):
+    """Plateaus of random height and length with pauses between them; a small first one if there is an ``opening``."""
+    out = [0.0] * rng.randint(0, 6)
+    for k in range(rng.randint(1, 6)):
+        small = opening and k == 0
+        out += [rng.uniform(12, 30) if small else rng.uniform(40, 120)] * (rng.randint(2, 6) if small else rng.randint(3, 25))
+        out += [rng.choice([0.0, 4.0, 6.0, 9.0])] * rng.randint(1, 12)
+    return out
 
 
-def test_opening_transients(spark):
-    df = frame(spark, {k: v for k, (v, _) in OPENING.items()}).withColumn("smooth", F.col("raw"))
-    limits = spark.createDataFrame([(k, 10.0, 5.0) for k in OPENING], "recording_id string, start_threshold double, end_threshold double")
-    got = {k: [] for k in OPENING}
+def test_threshold_detector_on_random_plateaus(spark):
+    rng = random.Random(7)
+    made = {f"{i}": blocks(rng, i % 2 == 0) for i in range(60)}
+    df = frame(spark, made).withColumn("smooth", F.col("raw"))
+    limits = spark.createDataFrame([(k, 10.0, 5.0) for k in made], "recording_id string, start_threshold double, end_threshold double")
+    got = {k: [] for k in made}
     for r in detect.detect(df, limits).orderBy("recording_id", "rep_no").collect():
         got[r.recording_id].append((r.start_time, r.end_time))
-    assert got == {k: [pytest.approx(x) for x in v] for k, (_, v) in OPENING.items()}
-
-
-TAIL = runs((100, 10), *[x for p in (520, 560, 430, 410, 450, 540) for x in ((160, 4), (p, 12), (150, 4), (100, 16))])
-SETS = {"tail": TAIL, "quiet_end": TAIL + [30] * 200, "flat": [120] * 42, "single": runs((80, 10), (450, 14), (80, 10), (30, 80)), "low_start": runs((100, 8), (30, 30), *[(400, 12), (30, 15)] * 6)}
-SUSTAINED = runs((20, 20), (120, 5), (310, 12), (210, 5), *[x for v, p in zip((90, 82, 88, 84, 86), (325, 300, 315, 305, 320)) for x in ((v, 18), (120, 5), (p, 12), (210, 5))], (85, 80), (20, 20))
+    want = {k: plain_detect([round(i * 0.1, 9) for i in range(len(v))], v, 10.0, 5.0) for k, v in made.items()}
+    assert got == {k: [pytest.approx(x) for x in v] for k, v in want.items()}
+    found = {k: sum(len(plain_detect([round(i * 0.1, 9) for i in range(len(v))], v, 10.0, 5.0)) for v in made.values()) for k in "x"}
+    assert found["x"] > 60
+
+
+def bumps(heights, low, seconds, rest=0.0, step=0.1):
+    """One rise and fall for each of ``heights`` over ``low``, ``seconds`` long, with ``rest`` seconds at ``low`` between them."""
+    n = round(seconds / step)
+    one = lambda h: [low + (h - low) * (1 - math.cos(2 * math.pi * i / n)) / 2 for i in range(n)]
+    return [v for h in heights for v in one(h) + [low] * round(rest / step)]
+
+
+HEIGHTS = (610, 580, 640, 560, 600, 630, 590)
+REST = [70.0] * 20
+SETS = {
+    "apart": REST + bumps(HEIGHTS, 70, 2.4, 1.8) + REST,
+    # a long time at a level that is far below the pauses, so that thresholds over the whole are too low to tell repetitions apart
+    "quiet_end": [15.0] * 10 + [210.0] * 20 + bumps(HEIGHTS * 3, 210, 3.0, 1.8) + [15.0] * 260,
+    "one": REST + bumps((500,), 70, 3.0) + REST,
+    "flat": [33.0] * 60,
+}
 
 
 def counts(spark, signals, limits_of):
@@ -55,12 +98,23 @@ def counts(spark, signals, limits_of):
 
 def test_adaptive_thresholds_ignore_a_quiet_end(spark):
     got = counts(spark, SETS, analysis.adaptive_thresholds)
-    assert got["tail"] == [6, 6] and got["quiet_end"] == [6, 6] and got["flat"] == [0, 0] and got["single"] == [1, 1] and got["low_start"] == [6, 6]
-    assert counts(spark, {"quiet_end": SETS["quiet_end"]}, analysis.full_thresholds)["quiet_end"][0] == 1
+    n = len(HEIGHTS)
+    assert got == {"apart": [n, n], "quiet_end": [3 * n, 3 * n], "one": [1, 1], "flat": [0, 0]}
+    assert counts(spark, {"quiet_end": SETS["quiet_end"]}, analysis.full_thresholds)["quiet_end"][0] < n
 
 
 def test_valley_detector_splits_sustained_tension(spark):
-    assert counts(spark, {"s": SUSTAINED}, analysis.adaptive_thresholds)["s"] == [1, 6]
+    # repetitions that never fall back to rest: one region for thresholds, as many as there are bumps for valleys
+    held = {f"{n}": [30.0] * 20 + bumps([900 + 40 * (i % 3) for i in range(n)], 320, 4.0) + [30.0] * 20 for n in (3, 5, 8)}
+    got = counts(spark, held, analysis.full_thresholds)
+    assert got == {k: [1, int(k)] for k in held}
+    smooth = analysis.smoothed(frame(spark, held))
+    limits = analysis.full_thresholds(smooth)
+    ends = {k: [] for k in held}
+    for r in hybrid.detect(smooth, limits, detect.detect(smooth, limits)).filter("kind = 'rep'").orderBy("start_time").collect():
+        ends[r.recording_id].append(r.end_time)
+    for k, v in ends.items():
+        assert v[:-1] == [pytest.approx(2.0 + 4.0 * (i + 1), abs=0.35) for i in range(int(k) - 1)]  # the bumps' ends
 
 
 def test_summary_of_no_repetitions(spark):

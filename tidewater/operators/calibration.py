@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .intervals import held_counts
 from .smoothing import tail_means
 
 MIN_RANGE = 1.0
@@ -44,19 +45,49 @@ def normalise(samples: DataFrame, calibrations: DataFrame, value: str = "raw") -
     return samples.join(c, "recording_id").withColumn("activation", F.round(normalised(F.col(value), F.col("_b"), F.col("_r")), 6)).drop("_b", "_r")
 
 
+#: Fixed: from which share of samples, or which multiple of the reference, an excess is moderate and severe.
+MODERATE, SEVERE = (0.25, 2.0), (0.50, 3.0)
+
+
+def is_usable() -> Column:
+    """Whether a calibration's range is wide enough and it isn't said to be unusable; an unknown ``usable`` counts as usable."""
+    return F.coalesce(F.col("usable"), F.lit(True)) & (F.coalesce(F.col("signal_range"), F.lit(0.0)) >= MIN_RANGE)
+
+
+def signature() -> Column:
+    """What has to agree for two calibrations to be the same: source, baseline and range; null for one that is not usable."""
+    return F.when(is_usable(), F.struct(F.coalesce("source_csv", F.lit("")).alias("source_csv"), F.round("baseline", 6).alias("baseline"), F.round("signal_range", 6).alias("signal_range")))
+
+
+def use_of(samples: DataFrame, reps: DataFrame) -> DataFrame:
+    """How far the samples of each recording (``activation``, percent of the calibrated range) go above the reference.
+
+    ``max_activation``, and the shares of samples above 100 among all
+    (``over_fraction``) and among those of repetitions (``rep_over_fraction``, 0
+    without any); a sample on an end that two repetitions share counts for both.
+    """
+    over, n = (F.col("activation") > 100).cast("int"), F.col("n_held")
+    g = held_counts(samples, reps).groupBy("recording_id").agg(F.max("activation").alias("max_activation"), F.avg(over).alias("_all"), F.sum(over * n).alias("_over"), F.sum(n).alias("_held"))
+    share = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 6)
+    return g.select("recording_id", "max_activation", share(F.col("_all")).alias("over_fraction"), share(F.try_divide(F.col("_over"), F.col("_held"))).alias("rep_over_fraction"))
+
+
 def grade(stats: DataFrame) -> DataFrame:
-    """Quality of a calibration from its use: ``max_activation`` (percent) and ``over_fraction`` (share of samples above 100).
+    """Quality of a calibration from its use (:func:`use_of`): ``level``, ``cross_session`` and ``reasons``.
 
-    Levels are missing, unusable, ok, mild, moderate and severe; a severe one
-    can't be compared across sessions.  An unknown ``usable`` counts as usable.
+    ``baseline`` is null where there is no calibration.  An excess is mild as soon
+    as the peak is above the reference, and moderate or severe by the multiple of
+    the reference that the peak reaches or by the larger of the two shares.
+    Reasons add up from level to level.  A severe one can't be compared across
+    sessions, nor can one that is missing or unusable.
     """
-    ratio, over = F.col("max_activation") / 100, F.col("over_fraction")
-    usable = F.coalesce(F.col("usable"), F.lit(True))
-    level = (
-        F.when(F.col("baseline").isNull(), "missing").when(~usable, "unusable").when((ratio >= 3) | (over >= 0.5), "severe")
-        .when((ratio >= 2) | (over >= 0.25), "moderate").when((ratio > 1.1) | (over > 0.05), "mild").otherwise("ok")
-    )
-    reasons = F.array_compact(F.array(F.when(ratio >= 2, "peak far above calibration"), F.when(over >= 0.25, "many samples above calibration"), F.when(~usable, "calibration range too small")))
+    ratio, over = F.col("max_activation") / 100, F.greatest(F.coalesce("over_fraction", F.lit(0.0)), F.coalesce("rep_over_fraction", F.lit(0.0)))
+    missing, mild = F.col("baseline").isNull(), F.coalesce(ratio > 1, F.lit(False))
+    reaches = lambda limits: (over >= limits[0]) | F.coalesce(ratio >= limits[1], F.lit(False))
+    level = F.when(missing, "missing").when(~is_usable(), "unusable").when(reaches(SEVERE), "severe").when(reaches(MODERATE), "moderate").when(mild, "mild").otherwise("ok")
+    graded = ~missing & is_usable()
+    reasons = F.array_compact(F.array(
+        F.when(missing, "missing calibration"), F.when(~missing & ~is_usable(), "calibration range too small"), F.when(graded & mild, "above the reference"), F.when(graded & reaches(MODERATE), "moderately above"), F.when(graded & reaches(SEVERE), "severely above")))
     return stats.withColumns({"level": level, "cross_session": ~level.isin("missing", "unusable", "severe"), "reasons": reasons})
 
 
@@ -118,7 +149,3 @@ def saturation(samples: DataFrame, active: str | None = None) -> DataFrame:
     marked = samples.select("recording_id", near.cast("int").alias("near"), (F.col(active) if active else F.lit(None).cast("boolean")).alias("on"))
     share = lambda c: F.round(F.avg(c) * 100, 6)
     return marked.groupBy("recording_id").agg(share("near").alias("near_max_percent"), share(F.when(F.col("on"), F.col("near"))).alias("near_max_active_percent"))
-
-
-def over_fraction(activation: DataFrame) -> DataFrame:
-    return activation.groupBy("recording_id").agg(F.round(F.coalesce(F.avg((F.col("activation") > 100).cast("int")), F.lit(0.0)), 6).alias("over_fraction"), F.max("activation").alias("max_activation"))

@@ -8,8 +8,12 @@ from pyspark.sql import functions as F
 from .calibration import folded
 from .metrics import difference, difference_over_lower, winner
 
-STRICT_FIELDS = ("exercise", "muscle", "side", "weight", "setup_id")
-OPTIONAL_FIELDS = ("placement_id", "sensor", "notes", "participant_id")
+#: Fixed: metadata that two sets must have and share, and metadata that must not differ where both have it.
+STRICT_FIELDS = ("participant_id", "muscle", "side", "exercise_name", "weight")
+OPTIONAL_FIELDS = ("source_type", "test_type", "set_end_rule", "comparison_target")
+#: What is compared of two sets, by its name in :func:`~tidewater.operators.metrics.set_metrics`.
+RAW_COMPARED = ("mean_activation", "median_activation", "peak_activation", "total_integral", "active_time", "mean_duration", "duration_variation", "change", "slope")
+NORM_COMPARED = ("norm_mean_activation", "norm_median_activation", "norm_peak_activation", "norm_integral", "norm_change", "norm_slope")
 FATIGUE_SHOWN = 5
 
 
@@ -53,43 +57,84 @@ def previous_compatible(recordings: DataFrame) -> DataFrame:
     return both.select("recording_id", other.alias("previous_id"))
 
 
+def side_by_side(pairs: DataFrame, sets: DataFrame, columns: tuple[str, ...], missing: bool = False) -> DataFrame:
+    """``pairs`` (``newer, older``) with the ``columns`` of both sets as ``a_`` and ``b_``; pairs that lack one go, unless ``missing``.
+
+    Both sets of a pair are looked up in one join, so ``sets`` is computed once.
+    """
+    own = [c for c in pairs.columns]
+    sides = pairs.withColumn("_side", F.explode(F.array(F.struct(F.lit("a").alias("s"), F.col("newer").alias("recording_id")), F.struct(F.lit("b").alias("s"), F.col("older").alias("recording_id")))))
+    found = sides.select(F.struct(*own).alias("_pair"), F.col("_side.s").alias("_s"), F.col("_side.recording_id").alias("recording_id")).join(sets.select("recording_id", F.struct(*columns).alias("_set")), "recording_id", "left" if missing else "inner")
+    of = lambda s: F.max(F.when(F.col("_s") == s, F.struct(F.lit(1).alias("_there"), F.col("_set").alias("v"))))
+    both = found.groupBy("_pair").agg(of("a").alias("_a"), of("b").alias("_b"))
+    both = both if missing else both.filter("_a is not null and _b is not null")
+    return both.select("_pair.*", *[F.col(f"_{s}.v.{c}").alias(f"{s}_{c}") for s in "ab" for c in columns])
+
+
 def metadata_warnings(pairs: DataFrame) -> DataFrame:
-    """Warnings on pairs with columns ``a_<field>`` and ``b_<field>``: strict fields must be there and equal, optional ones equal if both are there."""
-    def clean(side: str, c: str):
-        return F.trim(F.coalesce(F.col(f"{side}_{c}"), F.lit("")))
+    """Warnings on pairs with columns ``a_<field>`` and ``b_<field>``; a column that is not there counts as empty.
+
+    Strict fields must be there and equal, optional ones equal if both are there.
+    """
+    def clean(side: str, c: str) -> Column:
+        return F.trim(F.coalesce(F.col(f"{side}_{c}").cast("string"), F.lit(""))) if f"{side}_{c}" in pairs.columns else F.lit("")
 
     said = []
-    for c in STRICT_FIELDS:
-        if f"a_{c}" in pairs.columns:
-            said.append(F.when((clean("a", c) == "") | (clean("b", c) == ""), f"{c} missing").when(clean("a", c) != clean("b", c), f"{c} differs"))
-    for c in OPTIONAL_FIELDS:
-        if f"a_{c}" in pairs.columns:
-            said.append(F.when((clean("a", c) != "") & (clean("b", c) != "") & (clean("a", c) != clean("b", c)), f"{c} differs"))
+    for c in STRICT_FIELDS + OPTIONAL_FIELDS:
+        a, b = clean("a", c), clean("b", c)
+        differs = F.concat(F.lit(f"{c} differs: "), a, F.lit(" / "), b)
+        said.append(F.when((a == "") | (b == ""), f"{c} missing" if c in STRICT_FIELDS else None).when(a != b, differs))
     out = pairs.withColumn("warnings", F.array_join(F.array_compact(F.array(*said)), "; "))
     return out.withColumn("compatible_metadata", F.col("warnings") == "")
 
 
+def metric_differences(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``newer, older, metric, a, b, delta, percent`` for every metric of two sets; normalised ones only where ``allowed`` (see :func:`normalised_gate`) is true."""
+    columns = (*RAW_COMPARED, *(c for c in NORM_COMPARED if c in sets.columns))
+    j = side_by_side(pairs, sets, columns)
+    rows = F.array(*[F.struct(F.lit(c).alias("metric"), F.lit(c in NORM_COMPARED).alias("norm"), F.col(f"a_{c}").alias("a"), F.col(f"b_{c}").alias("b")) for c in columns])
+    long = j.select("newer", "older", F.coalesce("allowed", F.lit(False)).alias("allowed") if "allowed" in j.columns else F.lit(False).alias("allowed"), F.explode(rows).alias("m")).filter("allowed or not m.norm")
+    a, b = F.col("m.a"), F.col("m.b")
+    return long.select("newer", "older", "m.metric", a.alias("a"), b.alias("b"), F.round(b - a, 6).alias("delta"), F.round(difference(a, b), 6).alias("percent"))
+
+
 def compare_pairs(pairs: DataFrame, summaries: DataFrame) -> DataFrame:
     """Counts, means and winners of each pair ``newer, older`` of summarised sets."""
     cols = ("rep_count", "avg_value", "avg_peak", "highest_peak", "peak_drop", "set_duration")
-    a = summaries.select(F.col("recording_id").alias("newer"), *[F.col(c).alias(f"a_{c}") for c in cols])
-    b = summaries.select(F.col("recording_id").alias("older"), *[F.col(c).alias(f"b_{c}") for c in cols])
-    j = pairs.join(a, "newer").join(b, "older")
+    return compared(side_by_side(pairs, summaries, cols)).select("newer", "older", "newer_reps", "older_reps", "higher_activation", "higher_peak", "more_fatigue", "activation_difference", "peak_difference")
+
+
+def compared(both: DataFrame) -> DataFrame:
+    """Pairs with both sets' summaries (:func:`side_by_side`) and the comparison's columns."""
     fatigue = F.when(F.greatest("a_peak_drop", "b_peak_drop") <= FATIGUE_SHOWN, "Neither").otherwise(winner(F.col("a_peak_drop"), F.col("b_peak_drop")))
-    return j.select(
-        "newer", "older", F.col("a_rep_count").alias("newer_reps"), F.col("b_rep_count").alias("older_reps"), winner(F.col("a_avg_value"), F.col("b_avg_value")).alias("higher_activation"),
-        winner(F.col("a_highest_peak"), F.col("b_highest_peak")).alias("higher_peak"), fatigue.alias("more_fatigue"),
-        F.round(difference(F.col("a_avg_value"), F.col("b_avg_value")), 6).alias("activation_difference"), F.round(difference_over_lower(F.col("a_avg_peak"), F.col("b_avg_peak")), 6).alias("peak_difference"))
+    return both.withColumns({
+        "newer_reps": F.col("a_rep_count"), "older_reps": F.col("b_rep_count"), "higher_activation": winner(F.col("a_avg_value"), F.col("b_avg_value")), "higher_peak": winner(F.col("a_highest_peak"), F.col("b_highest_peak")), "more_fatigue": fatigue,
+        "activation_difference": F.round(difference(F.col("a_avg_value"), F.col("b_avg_value")), 6), "peak_difference": F.round(difference_over_lower(F.col("a_avg_peak"), F.col("b_avg_peak")), 6)})
 
 
 def matched_reps(pairs: DataFrame, metrics: DataFrame) -> DataFrame:
-    """Both sets of a pair cut to the number of repetitions of the shorter one; pairs of equal counts give none."""
+    """Both sets of a pair cut to the number of repetitions of the shorter one, and how they compare then; pairs of equal counts give none.
+
+    ``matched_reps``; per set the means of peaks and means (``a_``, ``b_``) and the
+    fall of the peak from the first half to the second in percent; winners, the
+    percents by which peaks and means differ over the lower, and which set tires more.
+    """
     counts = metrics.groupBy("recording_id").agg(F.max("rep_no").alias("n"))
-    c = pairs.join(counts.select(F.col("recording_id").alias("newer"), F.col("n").alias("na")), "newer").join(counts.select(F.col("recording_id").alias("older"), F.col("n").alias("nb")), "older")
-    c = c.filter("na != nb").withColumn("m", F.least("na", "nb"))
-    sides = c.select("newer", "older", "m", F.explode(F.array(F.struct(F.lit(1).alias("side"), F.col("newer").alias("recording_id")), F.struct(F.lit(2).alias("side"), F.col("older").alias("recording_id")))).alias("s")).select("newer", "older", "m", "s.side", "s.recording_id")
-    return sides.join(metrics, "recording_id").filter("rep_no <= m").groupBy("newer", "older", "side").agg(
-        F.count(F.lit(1)).cast("long").alias("reps"), F.round(F.avg("peak_value"), 6).alias("avg_peak"), F.round(F.avg("mean_value"), 6).alias("avg_value"))
+    c = side_by_side(pairs.select("newer", "older"), counts, ("n",)).filter("a_n != b_n").withColumn("m", F.least("a_n", "b_n"))
+    sides = c.select("newer", "older", "m", F.explode(F.array(F.struct(F.lit("a").alias("side"), F.col("newer").alias("recording_id")), F.struct(F.lit("b").alias("side"), F.col("older").alias("recording_id")))).alias("s")).select("newer", "older", "m", "s.side", "s.recording_id")
+    mean = lambda x: F.round(F.sum(x), 6) / F.count(x)
+    first = F.col("rep_no") <= F.floor(F.col("m") / 2)
+    cut = sides.join(metrics, "recording_id").filter("rep_no <= m").groupBy("newer", "older", "m", "side").agg(
+        mean("peak_value").alias("avg_peak"), mean("mean_value").alias("avg_value"), mean(F.when(first, F.col("peak_value"))).alias("_first"), mean(F.when(~first, F.col("peak_value"))).alias("_second"))
+    cut = cut.withColumn("peak_drop", F.coalesce(F.when(F.col("_first") > 0, (F.col("_first") - F.col("_second")) / F.col("_first") * 100), F.lit(0.0)))
+    names = ("avg_peak", "avg_value", "peak_drop")
+    of = [F.max(F.when(F.col("side") == s, F.col(x))).alias(f"{s}_{x}") for s in "ab" for x in names]
+    g = cut.groupBy("newer", "older", F.col("m").alias("matched_reps")).agg(*of)
+    a, b = ({x: F.col(f"{s}_{x}") for x in names} for s in "ab")
+    fatigue = F.when(F.greatest(a["peak_drop"], b["peak_drop"]) <= FATIGUE_SHOWN, "Neither").otherwise(winner(a["peak_drop"], b["peak_drop"]))
+    return g.select(
+        "newer", "older", "matched_reps", *[F.round(F.col(f"{s}_{x}"), 6).alias(f"{s}_{x}") for s in "ab" for x in names], winner(a["avg_value"], b["avg_value"]).alias("matched_activation"), winner(a["avg_peak"], b["avg_peak"]).alias("matched_peak"), fatigue.alias("matched_fatigue"),
+        F.round(difference_over_lower(a["avg_value"], b["avg_value"]), 6).alias("matched_difference"), F.round(difference_over_lower(a["avg_peak"], b["avg_peak"]), 6).alias("matched_peak_difference"), F.round(F.abs(a["peak_drop"] - b["peak_drop"]), 6).alias("matched_fatigue_points"))
 
 
 #: Fixed: a change of activation that still counts as steady, differences that are worth a word, an activation that asks for another calibration.
@@ -160,7 +205,10 @@ def insights(pairs: DataFrame) -> DataFrame:
 
 
 def agreement(threshold_reps: DataFrame, valley_reps: DataFrame, recordings: DataFrame) -> DataFrame:
-    """Counts of both detectors next to what was expected (``expected_reps``), whether they agree, and their intervals as text."""
+    """Counts of both detectors next to what was expected (``expected_reps``, a text), whether they agree with each other and with it, and their intervals as text.
+
+    An expectation that is unknown or empty differs from nothing.
+    """
     def side(reps: DataFrame, name: str) -> DataFrame:
         shown = F.transform(F.sort_array(F.collect_list(F.struct("start_time", "end_time"))), lambda x: F.concat_ws("-", F.round(x["start_time"], 2).cast("decimal(18,2)").cast("string"), F.round(x["end_time"], 2).cast("decimal(18,2)").cast("string")))
         return reps.groupBy("recording_id").agg(F.count(F.lit(1)).alias(f"{name}_reps"), F.array_join(shown, ", ").alias(f"{name}_intervals"))
@@ -168,14 +216,15 @@ def agreement(threshold_reps: DataFrame, valley_reps: DataFrame, recordings: Dat
     j = recordings.select("recording_id", "expected_reps").join(side(threshold_reps, "threshold"), "recording_id", "left").join(side(valley_reps, "valley"), "recording_id", "left")
     count = lambda n: F.coalesce(f"{n}_reps", F.lit(0)).cast("long").alias(f"{n}_reps")
     j = j.select("recording_id", "expected_reps", count("threshold"), count("valley"), *[F.coalesce(f"{n}_intervals", F.lit("")).alias(f"{n}_intervals") for n in ("threshold", "valley")])
-    return j.withColumn("agree", F.col("threshold_reps") == F.col("valley_reps"))
+    said = F.trim(F.coalesce("expected_reps", F.lit("")))
+    met = lambda n: (said == "") | (said == F.col(n).cast("string"))
+    return j.withColumns({"agree": F.col("threshold_reps") == F.col("valley_reps"), "threshold_as_expected": met("threshold_reps"), "valley_as_expected": met("valley_reps")})
 
 
 def normalised_block(pairs: DataFrame, summaries: DataFrame) -> DataFrame:
     """Winners and percents of two calibrated sets' normalised values (``norm_avg_value``, ``norm_peak``; null without calibration); null unless both are calibrated."""
     cols = ("norm_avg_value", "norm_peak")
-    side = lambda k, p: summaries.select(F.col("recording_id").alias(k), *[F.col(c).alias(f"{p}_{c}") for c in cols])
-    j = pairs.join(side("newer", "a"), "newer", "left").join(side("older", "b"), "older", "left")
+    j = side_by_side(pairs, summaries, cols, missing=True)
     both = F.col("a_norm_avg_value").isNotNull() & F.col("b_norm_avg_value").isNotNull()
     out = {}
     for c, who, percent in (("norm_avg_value", "normalised_activation", "normalised_difference"), ("norm_peak", "normalised_peak", "normalised_peak_difference")):

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .intervals import held_points
+
 MIN_DURATION_S, MIN_GAP_S = 0.35, 0.25
 #: An opening repetition is dropped if it falls short of all three shares of the others' medians.
 TRANSIENT = {"duration": 0.55, "area": 0.35, "peak_excess": 0.55}
@@ -22,9 +24,13 @@ def steady_mean(c: Column | str) -> Column:
     return F.round(F.sum(c), 6) / F.count(c)
 
 
-def _edges(smoothed: DataFrame, limits: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+def with_limits(smoothed: DataFrame, limits: DataFrame | None, keys: tuple[str, ...]) -> DataFrame:
+    """``smoothed`` with the thresholds of its recordings; without ``limits`` it has them already."""
+    return smoothed if limits is None else smoothed.drop("start_threshold", "end_threshold").join(limits.select(*keys, "start_threshold", "end_threshold"), list(keys))
+
+
+def _edges(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy("seq")
-    rows = smoothed.join(limits.select(*keys, "start_threshold", "end_threshold"), list(keys))
     rows = rows.withColumns({"_before": F.lag("smooth").over(w), "_next": F.lead("seq").over(w)})
     first, cur, before = F.col("_before").isNull(), F.col("smooth"), F.col("_before")
     up = F.when(first, cur >= F.col("start_threshold")).otherwise((before <= F.col("start_threshold")) & (cur > F.col("start_threshold")))
@@ -46,7 +52,7 @@ def _step(state: Column, e: Column) -> Column:
     ).cast(_STATE)
 
 
-def threshold_reps(smoothed: DataFrame, limits: DataFrame, keys: tuple[str, ...] = ("recording_id",)) -> DataFrame:
+def threshold_reps(smoothed: DataFrame, limits: DataFrame | None, keys: tuple[str, ...] = ("recording_id",)) -> DataFrame:
     """``rep_no, start_time, end_time`` of each recording.
 
     A repetition opens where the signal rises over the start threshold (or opens
@@ -54,7 +60,7 @@ def threshold_reps(smoothed: DataFrame, limits: DataFrame, keys: tuple[str, ...]
     counts from ``MIN_DURATION_S`` on; after one that counts, rises within
     ``MIN_GAP_S`` are not heard.
     """
-    events = _edges(smoothed, limits, keys)
+    events = _edges(with_limits(smoothed, limits, keys), keys)
     start = F.struct(F.lit(False).alias("inside"), F.lit(None).cast("double").alias("start"), F.lit(None).cast("double").alias("until"), F.array().alias("reps")).cast(_STATE)
     folded = events.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("seq", "time_s", "up", "down", "last"))).alias("e"))
     reps = folded.select(*keys, F.aggregate("e", start, _step)["reps"].alias("reps"))
@@ -63,51 +69,70 @@ def threshold_reps(smoothed: DataFrame, limits: DataFrame, keys: tuple[str, ...]
 
 def samples_in_reps(samples: DataFrame, reps: DataFrame, keys: tuple[str, ...] = ("recording_id",)) -> DataFrame:
     """Samples with the repetitions that hold them; both bounds belong to a repetition."""
-    r = reps.withColumnsRenamed({k: f"_{k}" for k in keys})
-    on = F.col("time_s").between(F.col("start_time"), F.col("end_time"))
-    for k in keys:
-        on = on & (F.col(k) == F.col(f"_{k}"))
-    return samples.join(r, on).drop(*[f"_{k}" for k in keys])
+    return held_points(samples, reps, keys)
 
 
-def rep_evidence(smoothed: DataFrame, reps: DataFrame, limits: DataFrame, keys: tuple[str, ...] = ("recording_id",)) -> DataFrame:
-    """Duration, smoothed peak over the start threshold and area above it, per repetition."""
-    inside = samples_in_reps(smoothed, reps, keys).join(limits.select(*keys, "start_threshold"), list(keys))
-    above = F.greatest(F.lit(0.0), F.col("smooth") - F.col("start_threshold"))
-    span = F.col("end_time") - F.col("start_time")
-    sums = inside.groupBy(*keys, "rep_no", "start_time", "end_time").agg(F.max(F.col("smooth") - F.col("start_threshold")).alias("peak_excess"), F.sum(above).alias("_sum"), F.count(F.lit(1)).alias("_n"))
-    step = F.when(F.col("_n") > 1, span / (F.col("_n") - 1)).otherwise(0.0)
-    return sums.select(*keys, "rep_no", "start_time", "end_time", F.round(span, 9).alias("duration"), F.round("peak_excess", 9).alias("peak_excess"), F.round(F.col("_sum") * step, 9).alias("area"))
+def measure(rows: DataFrame, reps: DataFrame, keys: tuple[str, ...] = ("recording_id",)) -> DataFrame:
+    """What there is to tell of every repetition, in one sweep over its samples.
+
+    Of ``raw``: mean, median, peak, the first time of the peak, the trapezoid
+    integral and ``mean_activation``, the integral over the duration.  Of
+    ``activation``, if ``rows`` have it, the same but for the time.  Of ``smooth``
+    and ``start_threshold`` what the rejection of opening transients looks at.
+    """
+    w = Window.partitionBy(*keys, "rep_no").orderBy("seq")
+    inside = held_points(rows, reps, keys).withColumn("_dt", F.col("time_s") - F.lag("time_s").over(w))
+    span, n = F.col("end_time") - F.col("start_time"), F.count(F.lit(1))
+    sums, out = [n.cast("long").alias("n_samples"), F.min_by("time_s", F.struct(-F.col("raw"), F.col("seq"))).alias("peak_time")], {}
+    for value, prefix in (("raw", ""), ("activation", "norm_")):
+        if value not in rows.columns:
+            continue
+        inside = inside.withColumn(f"_{prefix}pair", (F.col(value) + F.lag(value).over(w)) / 2)
+        sums += [
+            steady_mean(value).alias(f"_{prefix}mean"), F.median(value).alias(f"_{prefix}median"), F.max(value).alias(f"_{prefix}peak"), F.sum(F.when(F.col("_dt") > 0, F.col(f"_{prefix}pair") * F.col("_dt"))).alias(f"_{prefix}area"),
+        ]
+        area = F.when(span <= 0, 0.0).when(F.col("n_samples") == 1, F.col(f"_{prefix}mean") * span).otherwise(F.coalesce(F.col(f"_{prefix}area"), F.lit(0.0)))
+        names = ("mean_value", "median_value", "peak_value", "integral", "mean_activation")
+        out |= dict(zip([prefix + x for x in names], (F.col(f"_{prefix}mean"), F.col(f"_{prefix}median"), F.col(f"_{prefix}peak"), area, F.when(span > 0, F.round(area, 6) / span).otherwise(0.0))))
+    evidence = []
+    if {"smooth", "start_threshold"} <= set(rows.columns):
+        over = F.col("smooth") - F.col("start_threshold")
+        sums += [F.max(over).alias("_excess"), F.sum(F.greatest(F.lit(0.0), over)).alias("_above")]
+        step = F.when(F.col("n_samples") > 1, span / (F.col("n_samples") - 1)).otherwise(0.0)
+        evidence = [F.round("_excess", 9).alias("peak_excess"), F.round(F.col("_above") * step, 9).alias("area")]
+    g = inside.groupBy(*keys, "rep_no", "start_time", "end_time").agg(*sums)
+    return g.select(*keys, "rep_no", "start_time", "end_time", F.round(span, 9).alias("duration"), "peak_time", *[F.round(c, 6).alias(k) for k, c in out.items()], *evidence, "n_samples")
 
 
 def reject_opening_transient(evidence: DataFrame, keys: tuple[str, ...] = ("recording_id",)) -> DataFrame:
     """Repetitions without a first one that is far shorter, smaller and lower than the others; numbers run from 1 again."""
-    rest = evidence.filter("rep_no > 1").groupBy(*keys).agg(*[F.median(c).alias(f"_{c}") for c in TRANSIENT])
-    joined = evidence.join(rest, list(keys), "left")
-    weak = F.lit(True)
+    by, weak = Window.partitionBy(*keys), F.lit(True)
     for c, share in TRANSIENT.items():
-        weak = weak & (F.col(f"_{c}") > 0) & (F.col(c) < F.col(f"_{c}") * share)
-    kept = joined.filter((F.col("rep_no") > 1) | ~F.coalesce(weak, F.lit(False)))
-    number = F.row_number().over(Window.partitionBy(*keys).orderBy("rep_no")).cast("long")
-    return kept.select(*keys, number.alias("rep_no"), "start_time", "end_time")
+        usual = F.median(F.when(F.col("rep_no") > 1, F.col(c))).over(by)
+        weak = weak & (usual > 0) & (F.col(c) < usual * share)
+    kept = evidence.withColumn("_weak", F.coalesce(weak, F.lit(False))).filter((F.col("rep_no") > 1) | ~F.col("_weak")).drop("_weak")
+    return kept.withColumn("rep_no", F.row_number().over(by.orderBy("rep_no")).cast("long"))
 
 
-def detect(smoothed: DataFrame, limits: DataFrame, keys: tuple[str, ...] = ("recording_id",)) -> DataFrame:
+def measured_reps(smoothed: DataFrame, limits: DataFrame | None = None, keys: tuple[str, ...] = ("recording_id",)) -> DataFrame:
+    """The whole threshold detector, and what is measured in each repetition (:func:`measure`)."""
+    rows = with_limits(smoothed, limits, keys)
+    return reject_opening_transient(measure(rows, threshold_reps(rows, None, keys), keys), keys)
+
+
+def detect(smoothed: DataFrame, limits: DataFrame | None = None, keys: tuple[str, ...] = ("recording_id",)) -> DataFrame:
     """The whole threshold detector: fold, then rejection of an opening transient."""
-    reps = threshold_reps(smoothed, limits, keys)
-    return reject_opening_transient(rep_evidence(smoothed, reps, limits, keys), keys)
+    return measured_reps(smoothed, limits, keys).select(*keys, "rep_no", "start_time", "end_time")
+
+
+def shown(measured: DataFrame) -> DataFrame:
+    """The columns of :func:`measure` that callers see, to six decimals."""
+    return measured.select("recording_id", "rep_no", *[F.round(c, 6).alias(c) for c in ("start_time", "end_time", "duration", "mean_value", "peak_value", "peak_time", "integral", "mean_activation")], "n_samples")
 
 
 def rep_metrics(samples: DataFrame, reps: DataFrame) -> DataFrame:
-    """Per repetition: duration, mean and peak of the raw samples, the first time of the peak, and the trapezoid integral."""
-    w = Window.partitionBy("recording_id", "rep_no").orderBy("seq")
-    inside = samples_in_reps(samples, reps).withColumns({"_dt": F.col("time_s") - F.lag("time_s").over(w), "_pair": (F.col("raw") + F.lag("raw").over(w)) / 2})
-    g = inside.groupBy("recording_id", "rep_no", "start_time", "end_time").agg(
-        steady_mean("raw").alias("mean_value"), F.max("raw").alias("peak_value"), F.min_by("time_s", F.struct(-F.col("raw"), F.col("seq"))).alias("peak_time"),
-        F.sum(F.when(F.col("_dt") > 0, F.col("_pair") * F.col("_dt"))).alias("_area"), F.count(F.lit(1)).cast("long").alias("n_samples"))
-    span = F.col("end_time") - F.col("start_time")
-    integral = F.when(F.col("n_samples") == 1, F.col("mean_value") * span).otherwise(F.coalesce("_area", F.lit(0.0)))
-    return g.select("recording_id", "rep_no", *[F.round(c, 6).alias(n) for n, c in (("start_time", F.col("start_time")), ("end_time", F.col("end_time")), ("duration", span), ("mean_value", F.col("mean_value")), ("peak_value", F.col("peak_value")), ("peak_time", F.col("peak_time")), ("integral", integral))], "n_samples")
+    """Per repetition: duration, mean and peak of the raw samples, the first time of the peak, the trapezoid integral and its mean over time."""
+    return shown(measure(samples.drop("smooth", "activation"), reps))
 
 
 def set_summary(metrics: DataFrame, recordings: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ import random
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .intervals import first_interval
+
 TOLERANCE_S = 0.25
 
 
@@ -42,12 +44,13 @@ def match_candidates(candidates: DataFrame, boundaries: DataFrame, tolerance: fl
     return folded.select("session_id", F.explode("m").alias("m")).select("session_id", "m.cand_index", "m.boundary_index", "m.error")
 
 
-def first_region(points: DataFrame, regions: DataFrame) -> DataFrame:
-    """The first region (by ``region_no``) whose closed span holds each point; null where none does."""
-    r = regions.select(F.col("recording_id").alias("_id"), "region_no", "start_time", "end_time")
-    inside = points.join(r, (F.col("recording_id") == F.col("_id")) & F.col("time_s").between(F.col("start_time"), F.col("end_time")))
-    hit = inside.groupBy("recording_id", "seq").agg(F.min("region_no").alias("region_no"))
-    return points.select("recording_id", "seq", "time_s").join(hit, ["recording_id", "seq"], "left")
+def first_region(points: DataFrame, regions: DataFrame, whole: DataFrame | None = None) -> DataFrame:
+    """The first region (by ``region_no``) whose closed span holds each point, with its bounds; null where none does.
+
+    With ``whole`` (``recording_id, start_time, end_time``) a point outside all
+    regions has the bounds of its recording.
+    """
+    return first_interval(points.select("recording_id", "seq", "time_s"), regions.select("recording_id", "region_no", "start_time", "end_time"), "region_no", whole=whole)
 
 
 def annotation_errors(annotations: DataFrame, max_time: str = "max_time") -> DataFrame:

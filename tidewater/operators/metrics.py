@@ -19,25 +19,43 @@ def rounded(**columns: Column) -> list[Column]:
     return [F.round(c, 6).alias(n) for n, c in columns.items()]
 
 
-def set_activation(metrics: DataFrame) -> DataFrame:
-    """Per set, from its repetitions: spread, median, early and late means, trend over the repetitions.
-
-    The early part has ``max(1, n div 2)`` repetitions; what has no rows is
-    null; the spread of fewer than two repetitions is 0.
+def _set_values(prefix: str) -> list[tuple[str, Column]]:
+    """Of a set's repetitions: the median of their time-weighted means, the means of the early and the late ones, their change and trend."""
+    value = f"{prefix}mean_activation"
+    mean = lambda c: F.round(F.sum(c), 6) / F.count(c)
+    early, late = mean(F.when(F.col("_early"), F.col(value))), mean(F.when(~F.col("_early"), F.col(value)))
+    return [(f"{prefix}median_activation", F.median(value)), (f"{prefix}early_mean", early), (f"{prefix}late_mean", late), (f"{prefix}change", late - early), (f"{prefix}slope", _slope("rep_no", value)), (f"{prefix}peak_activation", F.max(f"{prefix}peak_value")), (f"_{prefix}integral", F.round(F.sum(f"{prefix}integral"), 6))]
+
+
+def set_metrics(measured: DataFrame, recordings: DataFrame) -> DataFrame:
+    """One row for every recording of ``recordings``: extremes and length of the recording, and what its repetitions add up to.
+
+    ``measured`` comes from :func:`~tidewater.operators.detect.measured_reps`;
+    ``recordings`` has ``recording_id, raw_min, raw_max, recording_duration`` and
+    ``calibration_usable``.  A repetition's mean is its integral over its
+    duration.  The early part has ``max(1, n div 2)`` repetitions.  Spread and its
+    share of the mean are those of durations, 0 for fewer than two.  A set without
+    repetitions has the recording's length, zeros, and nothing to tell of early,
+    late and trend.  Columns from ``norm_`` on are null without a usable calibration.
     """
     n = F.count(F.lit(1)).over(Window.partitionBy("recording_id"))
-    split = metrics.withColumn("_early", F.col("rep_no") <= F.greatest(F.lit(1), F.floor(n / 2)))
-    mean, early, late = F.avg("mean_value"), F.avg(F.when(F.col("_early"), F.col("mean_value"))), F.avg(F.when(~F.col("_early"), F.col("mean_value")))
-    deviation = F.coalesce(F.stddev_pop("mean_value"), F.lit(0.0))
-    return split.groupBy("recording_id").agg(
-        F.count(F.lit(1)).cast("long").alias("rep_count"),
-        *rounded(
-            active_time=F.sum("duration"), total_integral=F.sum("integral"), mean_activation=F.try_divide(F.sum("integral"), F.sum("duration")),
-            median_mean=F.median("mean_value"), deviation=deviation, variation=F.when(mean == 0, 0.0).otherwise(deviation / mean * 100),
-            early_mean=early, late_mean=late, change=late - early, slope=_slope("rep_no", "mean_value"), min_mean=F.min("mean_value"), max_mean=F.max("mean_value"),
-            duration_deviation=F.coalesce(F.stddev_pop("duration"), F.lit(0.0)), median_duration=F.median("duration"),
-        ),
-    )
+    split = measured.withColumn("_early", F.col("rep_no") <= F.greatest(F.lit(1), F.floor(n / 2)))
+    norm = "norm_mean_activation" in measured.columns
+    active, mean_duration = F.round(F.sum("duration"), 6), F.round(F.sum("duration"), 6) / F.count(F.lit(1))
+    deviation = F.coalesce(F.stddev_pop("duration"), F.lit(0.0))
+    g = split.groupBy("recording_id").agg(
+        F.count(F.lit(1)).cast("long").alias("rep_count"), active.alias("active_time"), (F.max_by("end_time", "rep_no") - F.min_by("start_time", "rep_no")).alias("set_duration"), mean_duration.alias("mean_duration"), F.median("duration").alias("median_duration"),
+        deviation.alias("duration_deviation"), F.when(mean_duration == 0, 0.0).otherwise(deviation / mean_duration * 100).alias("duration_variation"), *[c.alias(k) for prefix in ("", *(["norm_"] if norm else [])) for k, c in _set_values(prefix)])
+    j = recordings.join(g, "recording_id", "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    per_second = lambda c: F.try_divide(F.col(c), F.nullif(F.col("active_time"), F.lit(0.0)))
+    plain = {k: zero(k) for k in ("active_time", "mean_duration", "median_duration", "duration_deviation", "duration_variation", "median_activation", "peak_activation")}
+    plain |= {"set_duration": F.coalesce("set_duration", "recording_duration"), "total_integral": zero("_integral"), "mean_activation": F.coalesce(per_second("_integral"), F.lit(0.0)), **{k: F.col(k) for k in ("early_mean", "late_mean", "change", "slope")}}
+    if norm:
+        usable = lambda c: F.when(F.col("calibration_usable"), c)
+        plain |= {f"norm_{k}": usable(c) for k, c in (
+            ("mean_activation", per_second("_norm_integral")), ("median_activation", zero("norm_median_activation")), ("integral", zero("_norm_integral")), *[(k, F.col(f"norm_{k}")) for k in ("peak_activation", "early_mean", "late_mean", "change", "slope")])}
+    return j.select("recording_id", F.coalesce("rep_count", F.lit(0).cast("long")).alias("rep_count"), "raw_min", "raw_max", "recording_duration", "calibration_usable", *[F.round(c, 6).alias(k) for k, c in plain.items()])
 
 
 def _slope(x: str, y: str) -> Column:

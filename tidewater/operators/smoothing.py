@@ -43,11 +43,11 @@ def tail_means(signals: DataFrame, value: str = "smooth", percent: int = LOW_PER
     """Per recording: the mean of its lowest and of its highest ``max(1, n * percent / 100)`` values, ``n``, and the extremes."""
     by = Window.partitionBy(*keys)
     k = F.greatest(F.lit(1), F.floor(F.count(F.lit(1)).over(by) * percent / 100))
-    up, down = F.row_number().over(by.orderBy(F.col(value))), F.row_number().over(by.orderBy(F.col(value).desc()))
-    ranked = signals.select(*keys, value, "time_s", "seq", k.alias("_k"), up.alias("_up"), down.alias("_down"))
-    mean = lambda r: F.avg(F.when(F.col(r) <= F.col("_k"), F.col(value)))
+    up = F.row_number().over(by.orderBy(F.col(value)))  # equal values weigh alike, so one order serves both ends
+    ranked = signals.select(*keys, value, "time_s", "seq", k.alias("_k"), up.alias("_up"), F.count(F.lit(1)).over(by).alias("_n"))
+    mean = lambda near: F.avg(F.when(near, F.col(value)))
     return ranked.groupBy(*keys).agg(
-        F.round(mean("_up"), 9).alias("low_mean"), F.round(mean("_down"), 9).alias("high_mean"), F.count(F.lit(1)).cast("long").alias("n"),
+        F.round(mean(F.col("_up") <= F.col("_k")), 9).alias("low_mean"), F.round(mean(F.col("_up") > F.col("_n") - F.col("_k")), 9).alias("high_mean"), F.count(F.lit(1)).cast("long").alias("n"),
         F.min(value).alias("lowest"), F.max(value).alias("highest"), F.max_by("time_s", "seq").alias("end_time"))
 
 
@@ -61,6 +61,17 @@ def thresholds(smoothed: DataFrame, keys: tuple[str, ...] = ("recording_id",)) -
         F.col("n").alias("reference_count"), F.col("end_time").alias("reference_end_time"))
 
 
+def with_thresholds(smoothed: DataFrame, keys: tuple[str, ...] = ("recording_id",)) -> DataFrame:
+    """``smoothed`` with its recordings' ``start_threshold`` and ``end_threshold``: :func:`thresholds` beside every row, without a join."""
+    by = Window.partitionBy(*keys)
+    n = F.count(F.lit(1)).over(by)
+    ranked = smoothed.withColumns({"_up": F.row_number().over(by.orderBy("smooth")), "_k": F.greatest(F.lit(1), F.floor(n * LOW_PERCENT / 100)), "_high": F.max("smooth").over(by)})
+    low = F.round(F.avg(F.when(F.col("_up") <= F.col("_k"), F.col("smooth"))).over(by), 9)
+    rows = ranked.withColumn("_low", low)
+    limit = lambda share: F.round(F.col("_low") + share * (F.col("_high") - F.col("_low")), 9)
+    return rows.withColumns({"start_threshold": limit(START_FRACTION), "end_threshold": limit(END_FRACTION)}).drop("_up", "_k", "_high", "_low")
+
+
 def active_prefix(smoothed: DataFrame) -> DataFrame:
     """Rows up to the last one above the end threshold of the whole recording; all rows if none is above it or the signal is flat."""
     joined = smoothed.join(thresholds(smoothed).select("recording_id", F.col("end_threshold").alias("_end"), F.col("signal_range").alias("_range")), "recording_id")

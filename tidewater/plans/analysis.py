@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import calibration, detect, hybrid, smoothing
+from ..operators import calibration, detect, hybrid, metrics, smoothing
 
 #: A prefix that finds more repetitions is still refused if its first one begins so much earlier.
 EARLIER_S = 0.25
@@ -47,8 +47,8 @@ def adaptive_thresholds(signal: DataFrame) -> DataFrame:
 def repetitions(samples: DataFrame, adaptive: bool = False) -> DataFrame:
     """Measured repetitions of every recording by the threshold detector."""
     signal = smoothed(samples)
-    limits = adaptive_thresholds(signal) if adaptive else full_thresholds(signal)
-    return detect.rep_metrics(samples, detect.detect(signal, limits))
+    rows = detect.with_limits(signal, adaptive_thresholds(signal), ("recording_id",)) if adaptive else smoothing.with_thresholds(signal)
+    return detect.shown(detect.measured_reps(rows))
 
 
 def summaries(samples: DataFrame, adaptive: bool = False) -> DataFrame:
@@ -62,16 +62,50 @@ def normalised_summaries(samples: DataFrame, calibrations: DataFrame) -> DataFra
     Repetitions are found on the raw signal; each one's mean counts once,
     ``norm_peak`` is the highest of all, ``norm_avg_peak`` their mean.
     """
-    usable = calibrations.filter("usable") if "usable" in calibrations.columns else calibrations
-    signal = smoothed(samples)
-    reps = detect.detect(signal, full_thresholds(signal))
-    activation = calibration.normalise(samples, usable).withColumn("raw", F.col("activation")).drop("activation")
-    m = detect.rep_metrics(activation, reps).groupBy("recording_id").agg(
-        detect.steady_mean("mean_value").alias("norm_avg_value"), F.max("peak_value").alias("norm_peak"), detect.steady_mean("peak_value").alias("norm_avg_peak"), F.sum("integral").alias("norm_integral"))
+    usable = calibrations.filter(calibration.is_usable())
+    rows = calibration.normalise(smoothing.with_thresholds(smoothed(samples)), usable)
+    m = detect.measured_reps(rows).groupBy("recording_id").agg(
+        detect.steady_mean("norm_mean_value").alias("norm_avg_value"), F.max("norm_peak_value").alias("norm_peak"), detect.steady_mean("norm_peak_value").alias("norm_avg_peak"), F.sum("norm_integral").alias("norm_integral"))
     zero = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 6).alias(c)
     return usable.select("recording_id").join(m, "recording_id", "left").select("recording_id", *[zero(c) for c in ("norm_avg_value", "norm_peak", "norm_avg_peak", "norm_integral")])
 
 
+def calibrated_rows(samples: DataFrame, calibrations: DataFrame) -> DataFrame:
+    """Smoothed samples with thresholds, and with ``activation`` where their recording has a usable calibration, null elsewhere."""
+    usable = calibrations.filter(calibration.is_usable()).select("recording_id", F.col("baseline").alias("_b"), F.col("signal_range").alias("_r"))
+    rows = smoothing.with_thresholds(smoothed(samples)).join(usable, "recording_id", "left")
+    return rows.withColumn("activation", F.when(F.col("_r").isNotNull(), F.round(calibration.normalised(F.col("raw"), F.col("_b"), F.col("_r")), 6))).drop("_b", "_r")
+
+
+def recording_facts(samples: DataFrame, calibrations: DataFrame) -> DataFrame:
+    """Extremes and length of every recording, and whether its calibration is usable."""
+    span = F.round(F.max_by("time_s", "seq") - F.min_by("time_s", "seq"), 6)
+    g = samples.groupBy("recording_id").agg(F.min("raw").alias("raw_min"), F.max("raw").alias("raw_max"), span.alias("recording_duration"))
+    usable = calibrations.filter(calibration.is_usable()).select("recording_id", F.lit(True).alias("_usable"))
+    return g.join(usable, "recording_id", "left").select(*g.columns, F.coalesce("_usable", F.lit(False)).alias("calibration_usable"))
+
+
+def set_analysis(samples: DataFrame, calibrations: DataFrame) -> DataFrame:
+    """Every recording with its set's metrics, raw and normalised (:func:`~tidewater.operators.metrics.set_metrics`).
+
+    ``calibrations``: ``recording_id, baseline, signal_range, usable``, at most
+    one row a recording; thresholds are those of the whole recording.
+    """
+    measured = detect.measured_reps(calibrated_rows(samples, calibrations))
+    return metrics.set_metrics(measured, recording_facts(samples, calibrations))
+
+
+def calibration_quality(samples: DataFrame, calibrations: DataFrame) -> DataFrame:
+    """How well each recording's calibration suits it: level, reasons, whether it may be compared across sessions, and its signature.
+
+    Besides the columns of :func:`set_analysis`, ``calibrations`` have ``source_csv``.
+    """
+    rows = calibrated_rows(samples, calibrations)
+    use = calibration.use_of(rows, detect.detect(rows))
+    graded = calibration.grade(use.join(calibrations, "recording_id", "left"))
+    return graded.withColumn("signature", calibration.signature())
+
+
 def valley_detection(samples: DataFrame) -> DataFrame:
     """Repetitions, candidates and quality rows of the valley detector."""
     signal = smoothed(samples)
