@@ -29,15 +29,16 @@ def side(values, start):
 
 def test_evidence_of_both_sides_of_each_candidate():
     v = np.array(curve((900, 1500, 700, 1200)))
-    t, start, span = np.arange(len(v)) * STEP, 250.0, (3.0, 18.9)
-    _, candidates, _ = hybrid.detect_valleys(t, v, v, start, 120.0, [span], features=True)
-    a, b = 30, 189
+    a, b, start = 30, 189, 250.0
+    t, v = np.arange(len(v))[a : b + 1] * STEP, v[a : b + 1]
+    rows = [r for r in hybrid.split_region(t, v, v, start, 120.0, float(v.max()), features=True) if r["kind"] == "candidate"]
+    candidates = [{"i": round((r["start_time"] - t[0]) / STEP), "features": r, "reasons": r["reasons"]} for r in rows]
     assert len({c["i"] for c in candidates}) >= 3
     for c in candidates:
-        left, right = side(v[a : c["i"] + 1], start), side(v[c["i"] : b + 1], start)
+        left, right = side(v[: c["i"] + 1], start), side(v[c["i"] :], start)
         got = c["features"]
         assert np.isclose(got["plateau_support"], left[0] + right[0]) and np.isclose(got["high_activation_area"], left[1] + right[1])
-        assert np.isclose(got["left_segment_duration"], (c["i"] - a) * STEP) and np.isclose(got["right_segment_duration"], (b - c["i"]) * STEP)
+        assert np.isclose(got["left_segment_duration"], c["i"] * STEP) and np.isclose(got["right_segment_duration"], (b - a - c["i"]) * STEP)
     assert len({c["features"]["high_activation_area"] for c in candidates if not c["reasons"]}) > 1
     assert all(3.9 <= c["features"]["local_cycle_duration_estimate"] <= 4.1 for c in candidates)
 
