@@ -87,3 +87,60 @@ def test_stale_openings(spark):
     df = spark.createDataFrame(rows, "recording_id string, seq long, host_ms long, device_ms long")
     got = sorted((r.recording_id, r.seq) for r in lifecycle.without_stale_start(df).collect())
     assert got == [("a", 1), ("a", 2), ("b", 0), ("b", 1), ("c", 2)]
+
+
+SCHEMA = "recording_id string, time_s double, value double"
+
+
+def streamed(spark, tmp_path, make, rows):
+    """What a query gives for more ``rows``; it goes on from where it stopped before."""
+    source, out = tmp_path / "in", []
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(str(source))
+    stream = spark.readStream.schema(SCHEMA).parquet(str(source))
+    q = make(stream).writeStream.outputMode("update").foreachBatch(lambda df, i: out.extend(df.collect())).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    assert q.awaitTermination(60) and q.exception() is None
+    return out
+
+
+def test_sets_whose_readings_stop_leave_the_store(spark, tmp_path):
+    rows = lambda k, readings: [(k, t, v) for t, v in readings]
+    armed, never, done = feed([*THREE, (100, 3)]), feed([(100, 5)]), CASES["finished"]
+    make = lambda s: lifecycle.watch(s, 100, 1000, forget_ms=1, idle_ms=1)
+    first = streamed(spark, tmp_path, make, rows("armed", armed) + rows("never", never) + rows("done", done))
+    later = [r for r in streamed(spark, tmp_path, make, [("other", 0.0, 100.0)]) if r.recording_id != "other"]
+    told = lambda out: {r.recording_id: (r.status, r.finished_at) for r in out}
+    assert len(first) == 3 and told(first) == {"never": ("recording", None), "armed": ("possible_end", None), "done": ("finished", smoothed_end(done))}
+    assert len(later) == 2 and told(later) == {"never": ("cancelled", never[-1][0]), "armed": ("finished", armed[-1][0])}
+    again = [r for r in streamed(spark, tmp_path, make, [("never", 100.0, 100.0)]) if r.recording_id == "never"]
+    assert [(r.status, r.readings) for r in again] == [("recording", 1)]  # nothing is left of the first
+
+
+def test_counts_of_a_growing_set_are_those_of_the_batch_detectors(spark, tmp_path):
+    from tidewater.operators import detect, hybrid
+    from tidewater.plans import analysis
+
+    from .test_detect import HEIGHTS, REST, bumps
+
+    made = {"apart": REST + bumps(HEIGHTS, 70, 2.4, 1.8) + REST, "held": [30.0] * 20 + bumps((900, 940, 980, 900), 320, 4.0) + [30.0] * 20, "flat": [5.0] * 90}
+    cuts = (0, 2, 45, 120, 200, 400)
+    batches = [[(k, round(i * 0.1, 9), v) for k, vs in made.items() for i, v in enumerate(map(float, vs)) if a <= i < b] for a, b in zip(cuts, cuts[1:])]
+    for end, rows in zip(cuts[1:], batches):
+        batch = streamed(spark, tmp_path, lifecycle.provisional_counts, rows)
+        prefix = [(k, i, round(i * 0.1, 9), v) for k, vs in made.items() for i, v in enumerate(map(float, vs[:end]))]
+        rows = analysis.smoothed(spark.createDataFrame(prefix, "recording_id string, seq long, time_s double, raw double"))
+        limits = analysis.full_thresholds(rows)
+        regions = detect.detect(rows, limits)
+        want = {k: [0, 0] for k in made}
+        for i, d in enumerate((regions, hybrid.detect(rows, limits, regions).filter("kind = 'rep'"))):
+            for r in d.groupBy("recording_id").count().collect():
+                want[r[0]][i] = r[1]
+        for r in batch:
+            assert [r.threshold_reps, r.valley_reps] == want[r.recording_id] and r.samples == len(made[r.recording_id][:end])
+    assert want["apart"] == [7, 7] and want["held"] == [1, 4]
+
+
+def test_state_holds_values_not_readings():
+    state = lifecycle.SetState()
+    for i in range(20_000):
+        state.observe(i / 100, float(i * 7 % 50))
+    assert len(state.counts) == 50 and sum(state.counts.values()) == 20_000 and len(state.recent) == 15

@@ -7,7 +7,7 @@ import random
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .intervals import first_interval
+from .intervals import first_interval, held_points
 
 TOLERANCE_S = 0.25
 
@@ -21,26 +21,36 @@ def human_boundaries(intervals: DataFrame) -> DataFrame:
     return rows.select("session_id", number.alias("boundary_index"), F.least("end_time", "_start").alias("lo"), F.greatest("end_time", "_start").alias("hi"), F.round((F.col("end_time") + F.col("_start")) / 2, 6).alias("boundary_time"), conf.alias("confidence"))
 
 
+def reach_components(boundaries: DataFrame, tolerance: float) -> DataFrame:
+    """``boundaries`` with ``component``: those whose reach, their span and ``tolerance`` either way, overlaps are in one."""
+    w = Window.partitionBy("session_id").orderBy("lo", "hi", "boundary_index")
+    far = F.max(F.col("hi") + tolerance).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = F.when(F.col("lo") - tolerance <= far, 0).otherwise(1)
+    return boundaries.withColumn("_fresh", fresh).withColumn("component", F.sum("_fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long")).drop("_fresh")
+
+
 def match_candidates(candidates: DataFrame, boundaries: DataFrame, tolerance: float = TOLERANCE_S) -> DataFrame:
     """One-to-one assignment of candidates (``cand_index, time_s``) to boundaries, nearest first.
 
     The error is the distance from the candidate to the boundary's span.  Pairs
     within the tolerance are put in order of error, distance to the middle, times
-    and places, and are taken while both sides are free.  Time is cut into cells
-    of the largest reach, so the band join is an equi-join; the greedy pass folds
-    a session's few pairs.
+    and places, and are taken while both sides are free.  Pairs can only compete
+    within one component of overlapping reaches, so each is decided by itself:
+    a sweep finds the component of every candidate, and the greedy pass folds the
+    few pairs of a component, never those of a session.
     """
-    cell = 1.0
-    b = boundaries.withColumn("cell", F.explode(F.sequence(F.floor((F.col("lo") - tolerance) / cell), F.floor((F.col("hi") + tolerance) / cell))))
-    c = candidates.withColumn("cell", F.floor(F.col("time_s") / cell))
+    marked = reach_components(boundaries.select("session_id", "boundary_index", "lo", "hi", "boundary_time"), tolerance)
+    slack = tolerance + 1e-6  # ends count, whatever the last digits of a sum
+    spans = marked.groupBy("session_id", "component").agg((F.min("lo") - slack).alias("start_time"), (F.max("hi") + slack).alias("end_time"))
+    near = held_points(candidates.select("session_id", "cand_index", "time_s"), spans, ("session_id",)).drop("start_time", "end_time")
     error = F.greatest(F.lit(0.0), F.col("lo") - F.col("time_s"), F.col("time_s") - F.col("hi"))
-    pairs = c.join(b, ["session_id", "cell"]).withColumns({"error": F.round(error, 6), "off": F.round(F.abs(F.col("time_s") - F.col("boundary_time")), 6)}).filter(F.col("error") <= tolerance)
+    pairs = near.join(marked, ["session_id", "component"]).withColumns({"error": F.round(error, 6), "off": F.round(F.abs(F.col("time_s") - F.col("boundary_time")), 6)}).filter(F.col("error") <= tolerance)
     entry = F.struct("error", "off", "time_s", "boundary_time", "cand_index", "boundary_index")
     kind = "array<struct<cand_index:bigint,boundary_index:bigint,error:double>>"
     take = lambda acc, p: F.when(
         F.exists(acc, lambda x: (x["cand_index"] == p["cand_index"]) | (x["boundary_index"] == p["boundary_index"])), acc
     ).otherwise(F.concat(acc, F.array(F.struct(p["cand_index"].cast("long").alias("cand_index"), p["boundary_index"].cast("long").alias("boundary_index"), p["error"].alias("error")))))
-    folded = pairs.groupBy("session_id").agg(F.array_sort(F.collect_list(entry)).alias("p")).select("session_id", F.aggregate("p", F.array().cast(kind), take).alias("m"))
+    folded = pairs.groupBy("session_id", "component").agg(F.array_sort(F.collect_list(entry)).alias("p")).select("session_id", F.aggregate("p", F.array().cast(kind), take).alias("m"))
     return folded.select("session_id", F.explode("m").alias("m")).select("session_id", "m.cand_index", "m.boundary_index", "m.error")
 
 

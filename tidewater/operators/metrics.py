@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import heapq
 import math
-from collections.abc import Iterable, Iterator
+from bisect import bisect_left, insort
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -84,41 +84,61 @@ def raw_statistics(samples: DataFrame) -> DataFrame:
 
 
 class LowTail:
-    """Levels of a recording from its readings so far: a heap of the lowest tenth, a heap of the rest, the greatest.
+    """Levels of a recording from its readings so far: how often each value came, the sum of the lowest tenth, the greatest.
 
-    Every reading costs a logarithm of their number.  ``low`` holds negated
-    values, so that its first is the highest of the lowest.
+    Memory is that of the different values, a thousand or so for a sensor's
+    converter, not of the readings; a reading costs a search among them.
+    ``edge`` is the highest value of the lowest tenth, ``taken`` how many of it
+    belong there.
     """
 
-    def __init__(self, low: Iterable[float] = (), high: Iterable[float] = (), warmup: int = WARMUP):
-        self.low, self.high, self.warmup = list(low), list(high), warmup
-        self.low_sum, self.high_sum = -math.fsum(self.low), math.fsum(self.high)
-        self.greatest = max([-v for v in self.low] + self.high, default=-math.inf)
+    def __init__(self, counts: dict[float, int] | None = None, warmup: int = WARMUP):
+        self.counts, self.warmup = dict(counts or {}), warmup
+        self.values = sorted(self.counts)
+        self.n = sum(self.counts.values())
+        self.total = math.fsum(v * c for v, c in self.counts.items())
+        self.k, self.edge, self.taken, self.low_sum = max(1, self.n // 10), -math.inf, 0, 0.0
+        left = self.k
+        for v in self.values:
+            self.edge, self.taken = v, min(left, self.counts[v])
+            self.low_sum += v * self.taken
+            left -= self.taken
+            if not left:
+                break
 
     def add(self, value: float) -> None:
-        self.greatest = max(self.greatest, value)
-        if self.low and value < -self.low[0]:
-            moved = -heapq.heappushpop(self.low, -value)
-            self.low_sum += value - moved
+        if value in self.counts:
+            self.counts[value] += 1
         else:
-            moved = value
-        heapq.heappush(self.high, moved)
-        self.high_sum += moved
-        if len(self.low) < max(1, (len(self.low) + len(self.high)) // 10):
-            moved = heapq.heappop(self.high)
-            heapq.heappush(self.low, -moved)
-            self.low_sum, self.high_sum = self.low_sum + moved, self.high_sum - moved
+            insort(self.values, value)
+            self.counts[value] = 1
+        self.n, self.total = self.n + 1, self.total + value
+        if self.n == 1:
+            self.edge, self.taken, self.low_sum = value, 1, value
+            return
+        if value < self.edge:  # one of the edge's gives way
+            self.low_sum += value - self.edge
+            self.taken -= 1
+            if not self.taken:
+                self.edge = self.values[bisect_left(self.values, self.edge) - 1]
+                self.taken = self.counts[self.edge]
+        if max(1, self.n // 10) > self.k:
+            self.k += 1
+            if self.taken < self.counts[self.edge]:
+                self.taken += 1
+            else:
+                self.edge, self.taken = self.values[bisect_left(self.values, self.edge) + 1], 1
+            self.low_sum += self.edge
 
     def levels(self) -> tuple[float, float] | None:
         """Enter and leave level; none before the first reading."""
-        n = len(self.low) + len(self.high)
-        if not n:
+        if not self.n:
             return None
-        if n < self.warmup:
-            mean = (self.low_sum + self.high_sum) / n
+        if self.n < self.warmup:
+            mean = self.total / self.n
             return mean + ENTER_FLOOR, mean + LEAVE_FLOOR
-        base = self.low_sum / len(self.low)
-        span = self.greatest - base
+        base = self.low_sum / self.k
+        span = self.values[-1] - base
         return base + max(ENTER_FLOOR, ENTER_SHARE * span), base + max(LEAVE_FLOOR, LEAVE_SHARE * span)
 
 

@@ -7,8 +7,10 @@ smoothed over the last 15.  A recording with a usable calibration has fixed
 levels; any other has levels over the lowest tenth of its readings so far, which
 change with every reading.  A stream keeps the machine in Spark's state store
 (:func:`watch`) and a table replays it per recording (:func:`replay`); both run
-the same code.  The state is a handful of numbers and the last 15 readings, and
-for a recording without calibration all its readings until its set has finished.
+the same code.  The state is a handful of numbers, the last 15 readings and, for a
+recording without calibration, how often each value has come: a map in the store of
+which a batch reads and writes entries.  A timer takes every set out of the store in
+the end, also one whose readings just stop.
 """
 
 from __future__ import annotations
@@ -16,10 +18,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass, field, fields
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..operators import live
 from ..operators.metrics import ENTER_FLOOR, ENTER_SHARE, LEAVE_FLOOR, LEAVE_SHARE, LowTail
 
 #: Fixed: the rules of arming and ending.
@@ -27,8 +32,8 @@ ARM_AFTER_S, MEANINGFUL_S, MEANINGFUL_AGO_S, EPISODES, ACTIVE_S = 10.0, 0.75, 6.
 GRACE_S, FINISH_S = 1.25, 6.0
 EPISODE_S, EPISODE_GAP_S = 0.5, 0.75
 SMOOTHING = 15
-#: How long a stream remembers that a set has finished.
-FORGET_MS = 3_600_000
+#: How long a stream waits for a set's next reading, and how long it remembers that one has finished.
+IDLE_MS, FORGET_MS = 900_000, 3_600_000
 #: A first reading so much older than the next, while both came together, belongs to an earlier run.
 STALE_DEVICE_MS, STALE_HOST_MS = 5000, 1000
 
@@ -63,14 +68,14 @@ class SetState:
     idle_since: float = -1.0
     armed: bool = False
     finished_at: float = -1.0
+    given_up: bool = False
     readings: int = 0
     recent: list[float] = field(default_factory=list)
-    low: list[float] = field(default_factory=list)
-    high: list[float] = field(default_factory=list)
+    counts: dict[float, int] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
-        self._tail = LowTail(self.low, self.high)
-        self.low, self.high = self._tail.low, self._tail.high
+        self._tail = LowTail(self.counts)
+        self.counts = self._tail.counts
 
     def _smoothed(self, value: float) -> float:
         """The mean of the last readings; without calibration the levels move with this one."""
@@ -103,8 +108,8 @@ class SetState:
                     self.idle_since = t
                 elif t - self.idle_since >= FINISH_S:
                     self.finished_at = t
-                    for kept in (self.recent, self.low, self.high):
-                        kept.clear()
+                    self.recent.clear()
+                    self.counts.clear()
             else:
                 self.idle_since = -1.0
         if self.meaningful_at < 0 and self.active_time >= MEANINGFUL_S:
@@ -124,8 +129,16 @@ class SetState:
             self.episode_end = t
         self.episode_start = -1.0
 
+    def abandon(self) -> None:
+        """No reading will come any more: an armed set has ended with its last one, any other is given up."""
+        if self.finished_at < 0:
+            self.given_up = not self.armed
+            self.finished_at = self.last
+
     @property
     def status(self) -> str:
+        if self.given_up:
+            return "cancelled"
         return "finished" if self.finished_at >= 0 else "possible_end" if self.idle_since >= 0 else "recording"
 
 
@@ -188,38 +201,131 @@ def replay(readings: DataFrame, baseline: float | None = None, signal_range: flo
     return _calibrated(readings, baseline, signal_range).groupBy("recording_id").applyInPandas(run, _RESULT.format(id=kind))
 
 
-def watch(readings: DataFrame, baseline: float | None = None, signal_range: float | None = None, forget_ms: int = FORGET_MS) -> DataFrame:
+def _store(spark: SparkSession) -> None:
+    """Processors with several states need a store that has families of columns.
+
+    Timers are looked at by batches with readings, of whatever recording: else
+    they would make empty batches without end, and a query over what is there
+    now would never be done.
+    """
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+
+
+class _Timed(StatefulProcessor):
+    """A processor with one timer a key, set anew by every batch."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+
+    def wait(self, timers, ms: int) -> None:
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        self.handle.registerTimer(timers.getCurrentProcessingTimeInMs() + ms)
+
+    def close(self) -> None:
+        pass
+
+
+class _Watcher(_Timed):
+    """:class:`SetState` between batches: its numbers as one value, its counts as a map."""
+
+    TYPES = {"bool": "boolean", "int": "long", "float": "double", "list[float]": "array<double>"}
+    PLAIN = {"bool": bool, "int": int, "float": float, "list[float]": list}
+    FIELDS = [f for f in fields(SetState) if f.name != "counts"]
+
+    def __init__(self, idle_ms: int, forget_ms: int):
+        self.idle_ms, self.forget_ms = idle_ms, forget_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.machine = handle.getValueState("machine", ", ".join(f"{f.name} {self.TYPES[f.type]}" for f in self.FIELDS))
+        self.counts = handle.getMapState("counts", "value double", "n long")
+
+    def _load(self) -> SetState:
+        state = dict(zip([f.name for f in self.FIELDS], self.machine.get()))
+        counted = not state["calibrated"] and state["finished_at"] < 0
+        return SetState(**{**state, "recent": list(state["recent"])}, counts={k[0]: v[0] for k, v in self.counts.iterator()} if counted else {})
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows)).sort_values("time_s")
+        state = self._load() if self.machine.exists() else _start(batch)
+        over, known = state.finished_at >= 0, dict(state.counts)
+        for t, v in batch[["time_s", "value"]].itertuples(index=False, name=None):
+            state.observe(max(t, state.last), v)
+        for value, n in state.counts.items():
+            if known.get(value) != n:
+                self.counts.updateValue((value,), (n,))
+        if state.finished_at >= 0:
+            self.counts.clear()
+        self.machine.update(tuple(self.PLAIN[f.type](getattr(state, f.name)) for f in self.FIELDS))
+        self.wait(timerValues, self.forget_ms if state.finished_at >= 0 else self.idle_ms)
+        if not over:
+            yield _row(key[0], state)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        state = self._load()
+        over = state.finished_at >= 0
+        state.abandon()
+        self.machine.clear()
+        self.counts.clear()
+        if not over:
+            yield _row(key[0], state)
+
+
+def watch(readings: DataFrame, baseline: float | None = None, signal_range: float | None = None, forget_ms: int = FORGET_MS, idle_ms: int = IDLE_MS) -> DataFrame:
     """The same on a stream: after every batch, the state of each recording that had readings and was not finished before it.
 
     So a finished set is given once, by the batch that ends it.  Readings of one
     batch are put in order of time; a reading older than the last one seen counts
     as of that one's time.  Calibration is that of a recording's first reading.
-    When a set has finished, its readings leave the store at once, and what is
-    left of its state when no reading has come for ``forget_ms`` of processing
-    time; a reading after that begins another set.
+    A set whose readings stop for ``idle_ms`` of processing time is given a last
+    time, by the next batch that has readings of any recording: ``finished`` with
+    its last reading if it was armed, else ``cancelled``.
+    What is left of a finished set's state leaves the store ``forget_ms`` after
+    its last reading; a reading after that begins another set.  The session is set
+    to the state store that maps and timers need.
     """
+    _store(readings.sparkSession)
     kind = readings.schema["recording_id"].dataType.simpleString()
-    names = [f.name for f in fields(SetState)]
-    types = {"bool": "boolean", "int": "long", "float": "double", "list[float]": "array<double>"}
-    schema = ", ".join(f"{f.name} {types[f.type]}" for f in fields(SetState))
-    plain = {"bool": bool, "int": int, "float": float, "list[float]": list}
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], store) -> Iterator[pd.DataFrame]:
-        if store.hasTimedOut:
-            store.remove()
-            return
-        rows = pd.concat(list(batches)).sort_values("time_s")
-        state = SetState(**dict(zip(names, store.get))) if store.exists else _start(rows)
-        over = state.finished_at >= 0
-        for t, v in rows[["time_s", "value"]].itertuples(index=False, name=None):
-            state.observe(max(t, state.last), v)
-        store.update(tuple(plain[f.type](getattr(state, f.name)) for f in fields(SetState)))
-        if state.finished_at >= 0:
-            store.setTimeoutDuration(forget_ms)
-        if not over:
-            yield _row(key[0], state)
+    return _calibrated(readings, baseline, signal_range).groupBy("recording_id").transformWithStateInPandas(_Watcher(idle_ms, forget_ms), _RESULT.format(id=kind), "Update", "ProcessingTime")
 
-    return _calibrated(readings, baseline, signal_range).groupBy("recording_id").applyInPandasWithState(run, _RESULT.format(id=kind), schema, "update", "ProcessingTimeTimeout")
+
+class _Counter(_Timed):
+    """The samples of each set so far, and its repetitions after every batch."""
+
+    def __init__(self, idle_ms: int):
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.samples = handle.getListState("samples", "time_s double, value double")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        fresh = pd.concat(list(rows)).dropna(subset=["time_s", "value"])[["time_s", "value"]]
+        self.samples.appendList([tuple(map(float, r)) for r in fresh.itertuples(index=False, name=None)])
+        t, v = np.array(list(self.samples.get()) or np.empty((0, 2)), float).T
+        order = np.argsort(t, kind="stable")
+        whole, valleys = live.repetitions(t[order], v[order])
+        self.wait(timerValues, self.idle_ms)
+        yield pd.DataFrame({"recording_id": [key[0]], "samples": [len(t)], "threshold_reps": [len(whole)], "valley_reps": [len(valleys)], "last_end": pd.Series([valleys[-1][1] if valleys else None], dtype="float64")})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.samples.clear()
+        yield from ()
+
+
+def provisional_counts(readings: DataFrame, idle_ms: int = IDLE_MS) -> DataFrame:
+    """After every batch, the repetitions of each recording that had readings, counted over all it has had.
+
+    They are those of the batch detectors over the same readings in order of
+    time, with thresholds of the whole.  The samples of a set are kept until none
+    has come for ``idle_ms`` of processing time.
+    """
+    _store(readings.sparkSession)
+    kind = readings.schema["recording_id"].dataType.simpleString()
+    plain = readings.select("recording_id", F.col("time_s").cast("double"), F.col("value").cast("double"))
+    return plain.groupBy("recording_id").transformWithStateInPandas(_Counter(idle_ms), f"recording_id {kind}, samples long, threshold_reps long, valley_reps long, last_end double", "Update", "ProcessingTime")
 
 
 def without_stale_start(readings: DataFrame) -> DataFrame:
