@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import matching
+from . import logistic
 
 #: Fixed: the features a classifier may see, and the columns it never may.
 FEATURES = (
@@ -39,14 +40,13 @@ def numeric_rows(candidates: DataFrame, names: tuple[str, ...] = FEATURES) -> Da
     return candidates.withColumns({**values, "label": (F.col("human_label") == "true_boundary").cast("double")})
 
 
-def classifier(kind: str = "logistic", names: tuple[str, ...] = FEATURES, balanced: bool = False, seed: int = 42) -> Pipeline:
-    """Standardised features into logistic regression with an L2 penalty, or gradient boosted trees."""
-    stages = [VectorAssembler(inputCols=list(names), outputCol="features_raw"), StandardScaler(withMean=True, withStd=True, inputCol="features_raw", outputCol="features")]
+def train_model(train: DataFrame, kind: str = "logistic", names: tuple[str, ...] = FEATURES, balanced: bool = False, seed: int = 42) -> PipelineModel | logistic.LogisticModel:
+    """Logistic regression of features standardised by the training part, with an L2 penalty of strength 1, or gradient boosted trees."""
     if kind == "logistic":
-        model = LogisticRegression(maxIter=200, regParam=0.01, standardization=False)
-        return Pipeline(stages=[*stages, model.setWeightCol("class_weight") if balanced else model])
+        return logistic.fit(with_class_weight(train) if balanced else train, names, weight="class_weight" if balanced else None)
     if kind == "boosting":
-        return Pipeline(stages=[*stages, GBTClassifier(maxIter=100, maxDepth=3, stepSize=0.1, seed=seed)])
+        stages = [VectorAssembler(inputCols=list(names), outputCol="features_raw"), StandardScaler(withMean=True, withStd=True, inputCol="features_raw", outputCol="features")]
+        return Pipeline(stages=[*stages, GBTClassifier(maxIter=100, maxDepth=3, stepSize=0.1, seed=seed)]).fit(train)
     raise ValueError(f"no classifier named {kind}")
 
 
@@ -57,7 +57,10 @@ def with_class_weight(rows: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(counts.crossJoin(F.broadcast(total))), "label").withColumn("class_weight", F.col("_all") / (2 * F.col("_n"))).drop("_n", "_all")
 
 
-def predict(model: PipelineModel, rows: DataFrame, threshold: float = 0.5) -> DataFrame:
+def predict(model: PipelineModel | logistic.LogisticModel, rows: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """``rows`` with the model's ``score`` for a true boundary, and ``predicted`` from ``threshold`` on."""
+    if isinstance(model, logistic.LogisticModel):
+        return model.transform(rows).withColumn("predicted", F.col("score") >= threshold)
     scored = model.transform(rows).withColumn("score", vector_to_array("probability")[1])
     return scored.withColumn("predicted", F.col("score") >= threshold).drop("features_raw", "features", "rawPrediction", "probability", "prediction")
 
@@ -75,7 +78,7 @@ def experiment(candidates: DataFrame, kind: str = "logistic", group: str = "part
     train, test = rows.filter("part = 'train'"), rows.filter("part = 'test'")
     if train.select("label").distinct().count() < 2:
         raise ValueError("both classes are needed for training")
-    model = classifier(kind, names, balanced, seed).fit(with_class_weight(train) if balanced else train)
+    model = train_model(train, kind, names, balanced, seed)
     scored, truth = predict(model, test), F.col("label") == 1
     both = scored.withColumn("by", F.lit("model")).select("by", "label", "predicted").unionByName(rule_baseline(test).withColumn("by", F.lit("rule")).select("by", "label", "predicted"))
     return {

@@ -827,3 +827,29 @@ def fn_8_z_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_CAND + "SELECT doc_id, session_id || ':' || (row_number() OVER (PARTITION BY session_id ORDER BY doc_id) - 1) || ':' || score AS row_key FROM c")
 def set_5_row_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions.row_keys(_candidates(spark, sf_dir).withColumn("candidate_timestamp", F.col("score")), "doc_id").select("doc_id", "row_key")
+
+
+def _annotated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Suppliers' recordings, a session of each, and its verified repetitions: those of the valley detector but for every seventh cut."""
+    samples, i = signals.supplier_recordings(spark, sf_dir), F.col("recording_id")
+    rows = smoothing.with_thresholds(analysis.smoothed(samples))
+    reps = hybrid.detect(rows, None, detect.detect(rows)).filter("kind = 'rep' and item % 7 != 3")
+    intervals = reps.select(i.alias("session_id"), F.col("item").alias("rep_number"), "start_time", "end_time", F.when(F.col("item") % 3 == 0, "high").otherwise("").alias("confidence"))
+    sessions = samples.select("recording_id").distinct().select(i, i.alias("session_id"), F.concat(F.lit("r"), i, F.lit(".csv")).alias("recording_filename"), (i % 7).cast("string").alias("participant_id"), F.lit("curl").alias("exercise"), F.when(i % 2 == 0, "left").otherwise("right").alias("side"), (i % 5).cast("string").alias("weight"), (i % 10 / 10).alias("confidence"))
+    return samples, sessions, intervals
+
+
+@query()
+def src_11_candidate_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features are beyond SQL; tests hold labels and columns against a session worked out by hand."""
+    from .plans import dataset
+
+    return dataset.candidate_rows(*_annotated(spark, sf_dir), adaptive=False)
+
+
+@query()
+def ml_3_experiment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model and rule on the same held-out participants, from samples to scores."""
+    from .plans import classify
+
+    return classify.experiment(src_11_candidate_table(spark, sf_dir))["metrics"]
