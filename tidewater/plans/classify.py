@@ -71,8 +71,12 @@ def rule_baseline(rows: DataFrame) -> DataFrame:
 
 
 def experiment(candidates: DataFrame, kind: str = "logistic", group: str = "participant_id", names: tuple[str, ...] = FEATURES, test_fraction: float = 0.2, seed: int = 42, balanced: bool = False) -> dict[str, DataFrame]:
-    """Split by group, check for leaks, train, and score the model and the rule on the same test rows."""
-    rows = matching.split_groups(numeric_rows(candidates, names), group, test_fraction, seed)
+    """Split by group, check for leaks, train, and score the model and the rule on the same test rows.
+
+    Training reads its rows many times, so the candidates are kept while it lasts
+    (in memory or on the executors' disks; what is lost is computed again).
+    """
+    rows = matching.split_groups(numeric_rows(candidates.persist(), names), group, test_fraction, seed)
     if matching.leaks(rows, group).limit(1).count():
         raise ValueError("a group lies in both parts")
     train, test = rows.filter("part = 'train'"), rows.filter("part = 'test'")
