@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, AtomicType, DataType, DoubleType, FloatType, MapType, StructType
 
 from ..plans.classify import FEATURES
+from .sinks import write_text_table
 
 _INTERVAL = "array<struct<rep_number:bigint,start_time:double,end_time:double,confidence:string,note:string>>"
 MANIFEST = "session_id string, participant_id string, recording_csv string, calibration_csv string, planned_reps bigint, exercise_metadata map<string,string>, recording_started_at string, created_at string, notes string"
@@ -49,14 +51,18 @@ def manifests(sessions: DataFrame, cues: DataFrame, intervals: DataFrame) -> Dat
 
 
 def write_candidates(rows: DataFrame, path: str) -> None:
-    """Candidates in the order of ``CANDIDATE_COLUMNS``, what is unknown as an empty text; an existing table is replaced."""
-    text = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in CANDIDATE_COLUMNS]
-    rows.select(*text).write.mode("overwrite").option("header", True).option("emptyValue", "").csv(path)
+    """Candidates in the order of ``CANDIDATE_COLUMNS``, what is unknown as an empty text; an existing table stays until the new one is whole, then is replaced."""
+    write_text_table(rows.select(*CANDIDATE_COLUMNS), path)
+
+
+def write_skip_report(sessions: DataFrame, path: str) -> None:
+    """What :func:`skip_report` gives, written like the candidates."""
+    write_text_table(skip_report(sessions), path)
 
 
 def read_candidates(spark: SparkSession, path: str) -> DataFrame:
     """A candidate table as text; a missing column is an error."""
-    rows = spark.read.option("header", True).csv(path)
+    rows = spark.read.option("header", True).option("recursiveFileLookup", True).csv(path)
     if missing := [c for c in CANDIDATE_COLUMNS if c not in rows.columns]:
         raise ValueError(f"candidate table lacks {missing}")
     return rows.select(*CANDIDATE_COLUMNS)
@@ -73,11 +79,24 @@ def row_keys(rows: DataFrame, *order: str) -> DataFrame:
     return rows.withColumn("row_key", F.concat_ws(":", F.col("session_id").cast("string"), place.cast("string"), F.col("candidate_timestamp").cast("string")))
 
 
+def _plain(c: Column, kind: DataType) -> Column:
+    """A value with the keys of its objects in order and null for each number that is not finite, at any depth."""
+    if isinstance(kind, (DoubleType, FloatType)):
+        return F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c)
+    if isinstance(kind, ArrayType):
+        return F.transform(c, lambda x: _plain(x, kind.elementType))
+    if isinstance(kind, StructType):
+        inner = [_plain(c.getField(f.name), f.dataType).alias(f.name) for f in sorted(kind.fields, key=lambda f: f.name)]
+        return F.when(c.isNotNull(), F.struct(*inner)) if inner else c
+    if isinstance(kind, MapType):
+        return F.transform_values(F.map_from_entries(F.array_sort(F.map_entries(c))), lambda _, v: _plain(v, kind.valueType)) if isinstance(kind.valueType, AtomicType) else F.transform_values(c, lambda _, v: _plain(v, kind.valueType))
+    return c
+
+
 def as_json(rows: DataFrame, name: str = "json") -> DataFrame:
-    """Every row as one JSON object with its keys in order; numbers that are not finite are null."""
-    plain = []
-    for f in sorted(rows.schema.fields, key=lambda f: f.name):
-        c = F.col(f.name)
-        finite = F.when(F.isnan(c) | (F.abs(c) == float("inf")), None).otherwise(c) if f.dataType.typeName() in ("double", "float") else c
-        plain.append(finite.alias(f.name))
+    """Every row as one JSON document, its objects' keys in order at every depth; numbers that are not finite are null.
+
+    Keys of maps are put in order where their values can be compared.
+    """
+    plain = [_plain(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in sorted(rows.schema.fields, key=lambda f: f.name)]
     return rows.select(F.to_json(F.struct(*plain), {"ignoreNullFields": "false"}).alias(name))

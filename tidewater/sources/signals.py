@@ -7,6 +7,7 @@ works on many recordings at once and shuffles them by ``recording_id`` only.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -73,6 +74,25 @@ def parse_lines(lines: DataFrame, col: str = "line") -> DataFrame:
     return lines.withColumns({"device_time_ms": time.cast("long"), "value": value})
 
 
+@dataclass
+class Clock:
+    """What is remembered of a clock between readings: its last time that counted and what its rollovers add up to."""
+
+    period: int = CLOCK_PERIOD
+    last: int | None = None
+    turns: int = 0
+
+    def read(self, t: int | None) -> int | None:
+        """The time without rollovers; null if it is missing or goes back, and then nothing changes."""
+        if t is not None and self.last is not None and self.last - t > self.period // 2:
+            self.turns += self.period
+            self.last = None
+        if t is None or self.last is not None and t < self.last:
+            return None
+        self.last = t
+        return int(t) + self.turns
+
+
 def unwrap_clock(readings: DataFrame, time_col: str = "device_time_ms", key: str = "recording_id", order: str = "seq", period: int = CLOCK_PERIOD) -> DataFrame:
     """``device_time_ms`` without the rollovers of a clock: a fall by more than half the period adds one period.
 
@@ -83,20 +103,13 @@ def unwrap_clock(readings: DataFrame, time_col: str = "device_time_ms", key: str
     at, by = readings.columns.index(time_col), readings.columns.index(key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, last, turns = object(), None, 0
+        now, clock = object(), Clock(period)
         for b in batches:
             made: list[int | None] = []
             for k, t in zip(b.column(by).to_pylist(), b.column(at).to_pylist()):
                 if k != now:
-                    now, last, turns = k, None, 0
-                if t is not None and last is not None and last - t > period // 2:
-                    turns += period
-                    last = None
-                if t is None or last is not None and t < last:
-                    made.append(None)
-                else:
-                    last = t
-                    made.append(int(t) + turns)
+                    now, clock = k, Clock(period)
+                made.append(clock.read(t))
             columns = list(b.columns)
             columns[at] = pa.array(made, pa.int64())
             yield pa.RecordBatch.from_arrays(columns, names=b.schema.names)
