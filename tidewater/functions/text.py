@@ -32,16 +32,6 @@ def labelled_value(c: Column, label: str) -> Column:
     return F.nullif(F.trim(F.regexp_extract(c, rf"(?m)^{label}:\s*(.+)$", 1)), F.lit(""))
 
 
-def duration_line(n: Column, average: Column, deviation: Column) -> Column:
-    return F.when(n < 2, "too few repetitions").when(average == 0, "no duration").otherwise(F.format_string("durations vary by %.1f%%", deviation / average * 100))
-
-
-def trend_line(early: Column, late: Column, within: float = 5.0) -> Column:
-    """Direction of a change in percent; at most ``within`` either way is consistent."""
-    change = F.try_divide(late - early, early) * 100
-    return F.when(change.isNull(), "too few repetitions").when(F.abs(change) <= within, "consistent").when(change > 0, F.format_string("rose by %.1f%%", change)).otherwise(F.format_string("fell by %.1f%%", -change))
-
-
 def stamp(c: Column) -> Column:
     """A time as ``20240131_235959``."""
     return F.date_format(c, "yyyyMMdd_HHmmss")
@@ -80,11 +70,3 @@ def cue_schedule(plans: DataFrame) -> DataFrame:
     w = Window.partitionBy("session_id").orderBy("rep", "k").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum("duration").over(w)
     return rows.select("session_id", "rep", "phase", F.round(end - F.col("duration"), 3).alias("start_time"), F.round(end, 3).alias("end_time"))
-
-
-def set_report(summaries: DataFrame) -> DataFrame:
-    """A few lines of text per summarised set."""
-    lines = F.concat_ws(
-        "\n", F.format_string("Repetitions: %d", "rep_count"), F.format_string("Set duration: %.2f s", "set_duration"), F.format_string("Average peak: %.1f", "avg_peak"),
-        F.format_string("Peak drop: %.1f%%", "peak_drop"), F.when(F.col("possible_fatigue"), "Possible fatigue"))
-    return summaries.select("recording_id", lines.alias("report"))

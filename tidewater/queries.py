@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -9,9 +11,9 @@ from pyspark.sql import functions as F
 
 from .functions import text
 from .operators import calibration, compare, detect, hybrid, matching, metrics, quality, smoothing
-from .plans import analysis
-from .sources import catalog, sessions, signals
-from .streaming import lifecycle, timing
+from .plans import analysis, report
+from .sources import catalog, sessions, signals, sinks
+from .streaming import lifecycle, recorder, timing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -129,6 +131,44 @@ def src_6_clock_rollover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signals.unwrap_clock(w).select("recording_id", "seq", "device_time_ms")
 
 
+def _new_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that the session shares, or on one machine in a temporary one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
+        shared = tempfile.mkdtemp(prefix="tidewater-")
+        spark.conf.set("spark.checkpoint.dir", shared)
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query(_S + "SELECT recording_id::VARCHAR AS recording_id, seq, round(time_s, 6) AS time_s, raw, CASE WHEN recording_id % 5 <> 2 THEN CASE WHEN recording_id % 2 = 0 THEN 'left' ELSE 'right' END END AS side FROM s1")
+def src_9_committed_recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every recording as a file with its sidecar, written in one commit and read back."""
+    path, ev = _new_folder(spark, "recordings"), _ev(spark, sf_dir)
+    ms = (F.col("time_s") * 1000).alias("time_ms")
+    samples = ev.select("recording_id", "seq", ms, (F.col("seq") * 100 + 7).alias("host_time_ms"), F.when(F.col("seq") % 3 > 0, F.col("seq") * 100).alias("device_time_ms"), F.lit(0.5).alias("host_elapsed_ms"), F.lit(None).alias("timing_drift_ms"), F.col("raw").alias("emg_value"), F.concat_ws(",", "seq", "raw").alias("raw_serial_sample"))
+    side = F.when(F.col("recording_id") % 2 == 0, "left").otherwise("right")
+    sides = ev.select("recording_id").distinct().filter("recording_id % 5 != 2").select("recording_id", F.create_map(F.lit("side"), side).alias("metadata"))
+    sinks.write_recordings_once(samples, sides, path)
+    back = signals.read_signals(spark, f"{path}/*/*.csv")
+    return back.join(signals.read_metadata(spark, f"{path}/*/*.json"), "recording_id", "left").select("recording_id", "seq", F.round("time_s", 6).alias("time_s"), "raw", F.col("metadata.side").alias("side"))
+
+
+@query(_S + """SELECT recording_id, seq, (seq * 10)::BIGINT AS time_ms, CASE WHEN seq % 7 <> 3 THEN 2147483648 + seq * 900000000 END AS device_time_ms, raw AS value, count(*) FILTER (seq % 7 = 5) OVER (PARTITION BY recording_id) AS malformed FROM s1 QUALIFY seq % 7 <> 5""")
+def src_10_appended_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A device's lines as a stream: what its sink has appended, and how many lines of the recording it could not read."""
+    lines, out = _new_folder(spark, "lines"), _new_folder(spark, "appended")
+    late = (F.col("seq") % 7 == 3).cast("long")
+    device = F.greatest(F.lit(0), (F.lit(2147483648) + (F.col("seq") - late) * 900000000) % signals.CLOCK_PERIOD - 5 * late)
+    line = F.when(F.col("seq") % 7 == 5, "lost").otherwise(F.concat_ws(",", device, "raw"))
+    _ev(spark, sf_dir).select("recording_id", "seq", (F.col("seq") * 10 + 3).alias("host_time_ms"), line.alias("line")).write.parquet(lines)
+    stream = spark.readStream.schema(spark.read.parquet(lines).schema).parquet(lines)
+    recorder.append_recordings(stream, out, _new_folder(spark, "appending")).awaitTermination()
+    rows = spark.read.parquet(f"{out}/rows").join(recorder.malformed_lines(spark, out), "recording_id", "left")
+    return rows.select("recording_id", "seq", "time_ms", "device_time_ms", "value", F.coalesce("malformed", F.lit(0).cast("long")).alias("malformed"))
+
+
 @query(_SMOOTH_PLAIN + "SELECT recording_id, seq, round(smooth, 6) AS smooth FROM s")
 def win_1_centered_average(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _smooth(spark, sf_dir).select("recording_id", "seq", F.round("smooth", 6).alias("smooth"))
@@ -599,10 +639,31 @@ def agg_27_weight_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.ladder_extremes(levels, "v")
 
 
+def _report_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recordings with every third one calibrated at 10 to 70."""
+    ev = _ev(spark, sf_dir)
+    cal = ev.select("recording_id").distinct().filter("recording_id % 3 = 0").select("recording_id", F.lit(10.0).alias("baseline"), F.lit(60.0).alias("signal_range"), F.lit(True).alias("usable"))
+    return report.facts(ev, cal)
+
+
+@query(_REPS + """, ww AS (SELECT recording_id, round(round(sum(raw), 6) / count(*), 6) AS overall_avg, round(max(raw), 6) AS overall_peak, round(avg(greatest(0, (raw - 10) / 60.0::DOUBLE * 100)) FILTER (recording_id % 3 = 0), 6) AS norm_overall FROM s1 GROUP BY 1),
+hv AS (SELECT *, rep_no <= count(*) OVER (PARTITION BY recording_id) // 2 AS first FROM rm),
+hr AS (SELECT recording_id, count(*) AS rep_count, avg(peak_value) FILTER (first) AS fp, avg(peak_value) FILTER (NOT first) AS sp, avg(mean_activation) AS activation FROM hv GROUP BY 1),
+nr AS (SELECT recording_id, avg(v) AS norm_reps, max(p) AS norm_peak FROM (SELECT recording_id, rep_no, avg(greatest(0, (raw - 10) / 60.0::DOUBLE * 100)) AS v, max(greatest(0, (raw - 10) / 60.0::DOUBLE * 100)) AS p FROM inr WHERE recording_id % 3 = 0 GROUP BY ALL) GROUP BY 1)
+SELECT recording_id, coalesce(rep_count, 0) AS rep_count, overall_avg, overall_peak, round(round(coalesce(activation, 0), 6) + 1e-7, 4) AS avg_activation, round(round(coalesce(fp, 0), 6) + 1e-7, 4) AS first_half_peak, round(round(coalesce(sp, 0), 6) + 1e-7, 4) AS second_half_peak,
+  round(round(norm_overall, 6) + 1e-7, 4) AS norm_overall, CASE WHEN recording_id % 3 = 0 THEN round(round(coalesce(norm_reps, 0), 6) + 1e-7, 4) END AS norm_reps, CASE WHEN recording_id % 3 = 0 THEN round(round(coalesce(norm_peak, 0), 6) + 1e-7, 4) END AS norm_peak
+FROM ww LEFT JOIN hr USING (recording_id) LEFT JOIN nr USING (recording_id)""")
+def fn_4_report_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = _report_facts(spark, sf_dir)
+    return f.select("recording_id", "rep_count", "overall_avg", "overall_peak", *[F.round(F.col(c) + 1e-7, 4).alias(c) for c in ("avg_activation", "first_half_peak", "second_half_peak", "norm_overall", "norm_reps", "norm_peak")])
+
+
 @query()
 def fn_4_set_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers are printed to one decimal, which engines round differently at the edge; so there is no SQL."""
-    return text.set_report(analysis.summaries(_ev(spark, sf_dir)))
+    side = F.when(F.col("recording_id") % 2 == 0, "left").otherwise("right")
+    meta = _ev(spark, sf_dir).select("recording_id").distinct().select("recording_id", F.create_map(F.lit("side"), side).alias("metadata"))
+    return report.set_report(_report_facts(spark, sf_dir), meta)
 
 
 @query()
