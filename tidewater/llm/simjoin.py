@@ -71,7 +71,7 @@ def frequency_sketch(docs: DataFrame, text_col: str = "text", width: int = WIDTH
     parts = docs.select(text_col).mapInArrow(count, schema)
     sums = parts.groupBy("chunk", "part").applyInArrow(add, schema).groupBy("chunk").applyInArrow(add, schema)
     out = np.zeros((size >> _CHUNK_BITS, 1 << _CHUNK_BITS), np.uint32)
-    for row in sums.toLocalIterator():  # the whole sketch, of fixed size
+    for row in sums.collect():  # the whole sketch, of fixed size: one row a chunk, in one job rather than one a partition
         out[row.chunk] = np.frombuffer(zlib.decompress(row.n), "<u4")
     return out.reshape(-1)
 
