@@ -79,3 +79,12 @@ def test_measures_of_repetitions(spark):
     assert got[1].integral == 450 and got[1].mean_activation == 225 and got[1].mean_value == 200 and got[1].median_value == 200
     assert got[1].norm_integral == pytest.approx(7.5 + 97.5) and got[1].norm_peak_value == 110
     assert got[2].integral == 100 and got[2].mean_activation == 50  # one sample counts for the whole time
+
+
+def test_points_and_intervals_are_dealt_together(spark):
+    points = spark.range(40).selectExpr("id % 4 as recording_id", "id as seq", "double(id) as time_s").repartition("recording_id")
+    spans = spark.range(4).selectExpr("id as recording_id", "1L as rep_no", "0.0D as start_time", "99.0D as end_time").repartition("recording_id")
+    held = intervals.held_points(points, spans)
+    plan = held._jdf.queryExecution().sparkPlan().toString()
+    above = plan[: plan.index("Union")]
+    assert "Exchange hashpartitioning" in above and held.count() == 40

@@ -20,7 +20,9 @@ def _swept(points: DataFrame, intervals: DataFrame, keys: tuple[str, ...], half_
     starts = intervals.select(*keys, F.col("start_time").alias("_t"), F.lit(0).alias("_kind"), F.struct(before.alias("before"), whole.alias("own")).alias("_interval"))
     rows = points.select(*keys, F.col("time_s").alias("_t"), F.lit(1).alias("_kind"), F.struct(*kept).alias("_point"))
     latest = F.last("_interval", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("_t", "_kind").rowsBetween(Window.unboundedPreceding, 0))
-    both = rows.unionByName(starts, allowMissingColumns=True).withColumn("_latest", latest).filter("_kind = 1")
+    # dealt anew: a union takes over the partitions of its parts, which adaptive execution may have joined up in different ways
+    dealt = rows.unionByName(starts, allowMissingColumns=True).repartition(*keys)
+    both = dealt.withColumn("_latest", latest).filter("_kind = 1")
 
     def if_held(side: str) -> Column:
         end = F.col(f"_latest.{side}.end_time")
