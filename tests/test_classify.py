@@ -32,3 +32,11 @@ def test_features_and_labels_stay_apart(candidates):
         classify.numeric_rows(candidates.drop("plateau_support"))
     with pytest.raises(Exception, match="has no number"):
         classify.numeric_rows(candidates.selectExpr("* except (valley_depth)", "human_label as valley_depth")).select("valley_depth").collect()
+
+
+def test_numbers_are_not_read_as_text(candidates):
+    numbers = candidates.selectExpr("* except (valley_depth)", "try_cast(valley_depth as double) as valley_depth")
+    plan = lambda df: classify.numeric_rows(df, ("valley_depth",)).select("valley_depth")._jdf.queryExecution().optimizedPlan().toString()
+    assert "trim" in plan(candidates) and "trim" not in plan(numbers)
+    with pytest.raises(Exception, match="has no number"):
+        classify.numeric_rows(numbers.selectExpr("* except (valley_depth)", "cast(null as double) as valley_depth"), ("valley_depth",)).select("valley_depth").collect()

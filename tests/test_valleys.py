@@ -6,7 +6,7 @@ import time
 import numpy as np
 import pytest
 
-from tidewater.operators import detect, hybrid, intervals
+from tidewater.operators import detect, hybrid, intervals, smoothing
 from tidewater.plans import analysis
 
 from .test_detect import HEIGHTS, bumps, frame
@@ -162,3 +162,27 @@ def test_a_chunk_costs_less_than_its_regions():
     for _ in range(n):
         hybrid.split_region(t, v, v, 10.0, 5.0, 900.0)
     assert 3 * chunk < time.process_time() - began
+
+
+def test_regions_found_on_the_way_are_those_of_the_threshold_detector(spark):
+    weak = [70.0] * 20 + bumps((420,), 70, 0.8, 1.8) + bumps(HEIGHTS, 70, 3.2, 1.8) + [70.0] * 20
+    made = {"apart": [70.0] * 20 + bumps(HEIGHTS, 70, 2.4, 1.8) + [70.0] * 20, "weak": weak, "held": [30.0] * 20 + bumps((900, 940, 980, 900), 320, 4.0) + [30.0] * 20, "flat": [5.0] * 50, "short": [1.0, 9.0]}
+    rows = smoothing.with_thresholds(analysis.smoothed(frame(spark, made)))
+    regions = detect.detect(rows)
+    want = sorted(hybrid.detect(rows, None, regions).collect(), key=str)
+    got = hybrid.detect(rows, None, kinds=(*hybrid.KINDS, hybrid.THRESHOLD)).collect()
+    assert sorted((r for r in got if r.kind != hybrid.THRESHOLD), key=str) == want and {r.recording_id for r in want} == {"apart", "weak", "held"}
+    spans = sorted((r.recording_id, r.region_no, r.start_time, r.end_time) for r in got if r.kind == hybrid.THRESHOLD)
+    assert spans == sorted(tuple(r) for r in regions.collect())
+    assert len([s for s in spans if s[0] == "weak"]) < detect.threshold_reps(rows, None).filter("recording_id = 'weak'").count()
+
+
+def test_thresholds_of_a_shorter_prefix(spark):
+    made = {"tail": [70.0] * 20 + bumps(HEIGHTS, 70, 2.4, 1.8) + [20.0] * 200, "whole": [70.0] * 20 + bumps((500,), 70, 2.4, 0.0), "flat": [5.0] * 50}
+    signal = analysis.smoothed(frame(spark, made))
+    prefix = smoothing.active_prefix(signal)
+    n = {r.recording_id: r["count"] for r in prefix.groupBy("recording_id").count().collect()}
+    want = {r.recording_id: (r.start_threshold, r.end_threshold) for r in smoothing.thresholds(prefix).collect() if n[r.recording_id] < len(made[r.recording_id])}
+    got = smoothing.with_prefix_thresholds(signal).collect()
+    assert "tail" in want and {r.recording_id: (r.start_threshold, r.end_threshold) for r in got} == want
+    assert len(got) == sum(len(made[k]) for k in want)

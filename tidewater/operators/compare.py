@@ -209,11 +209,19 @@ def agreement(threshold_reps: DataFrame, valley_reps: DataFrame, recordings: Dat
 
     An expectation that is unknown or empty differs from nothing.
     """
-    def side(reps: DataFrame, name: str) -> DataFrame:
-        shown = F.transform(F.sort_array(F.collect_list(F.struct("start_time", "end_time"))), lambda x: F.concat_ws("-", F.round(x["start_time"], 2).cast("decimal(18,2)").cast("string"), F.round(x["end_time"], 2).cast("decimal(18,2)").cast("string")))
-        return reps.groupBy("recording_id").agg(F.count(F.lit(1)).alias(f"{name}_reps"), F.array_join(shown, ", ").alias(f"{name}_intervals"))
+    sides = [reps.select("recording_id", F.lit(name).alias("by"), "start_time", "end_time") for reps, name in ((threshold_reps, "threshold"), (valley_reps, "valley"))]
+    return agreement_of(sides[0].unionByName(sides[1]).repartition("recording_id"), recordings)
 
-    j = recordings.select("recording_id", "expected_reps").join(side(threshold_reps, "threshold"), "recording_id", "left").join(side(valley_reps, "valley"), "recording_id", "left")
+
+def agreement_of(reps: DataFrame, recordings: DataFrame) -> DataFrame:
+    """:func:`agreement` of repetitions that are told apart by ``by``, ``threshold`` or ``valley``."""
+    def side(name: str) -> list[Column]:
+        own = F.when(F.col("by") == name, F.struct("start_time", "end_time"))
+        shown = F.transform(F.sort_array(F.collect_list(own)), lambda x: F.concat_ws("-", F.round(x["start_time"], 2).cast("decimal(18,2)").cast("string"), F.round(x["end_time"], 2).cast("decimal(18,2)").cast("string")))
+        return [F.count(own).alias(f"{name}_reps"), F.array_join(shown, ", ").alias(f"{name}_intervals")]
+
+    both = reps.groupBy("recording_id").agg(*side("threshold"), *side("valley"))
+    j = recordings.select("recording_id", "expected_reps").join(both, "recording_id", "left")
     count = lambda n: F.coalesce(f"{n}_reps", F.lit(0)).cast("long").alias(f"{n}_reps")
     j = j.select("recording_id", "expected_reps", count("threshold"), count("valley"), *[F.coalesce(f"{n}_intervals", F.lit("")).alias(f"{n}_intervals") for n in ("threshold", "valley")])
     said = F.trim(F.coalesce("expected_reps", F.lit("")))

@@ -125,6 +125,26 @@ def detect(smoothed: DataFrame, limits: DataFrame | None = None, keys: tuple[str
     return measured_reps(smoothed, limits, keys).select(*keys, "rep_no", "start_time", "end_time")
 
 
+def held_reps(rows: DataFrame, keys: tuple[str, ...] = ("recording_id",)) -> DataFrame:
+    """``rows`` (with thresholds) inside the repetitions of :func:`detect`, with ``rep_no, start_time, end_time``, in one sweep.
+
+    Evidence against an opening transient comes from windows over the rows held,
+    so that they are neither found a second time nor joined.
+    """
+    held = held_points(rows, threshold_reps(rows, None, keys), keys)
+    by, inside = Window.partitionBy(*keys), Window.partitionBy(*keys, "rep_no")
+    span, n, over = F.col("end_time") - F.col("start_time"), F.count(F.lit(1)).over(inside), F.col("smooth") - F.col("start_threshold")
+    step = F.when(n > 1, span / (n - 1)).otherwise(0.0)
+    marked = held.withColumns({
+        "_first": F.row_number().over(inside.orderBy("seq")) == 1, "_duration": F.round(span, 9), "_peak_excess": F.round(F.max(over).over(inside), 9), "_area": F.round(F.sum(F.greatest(F.lit(0.0), over)).over(inside) * step, 9)})
+    weak = F.col("rep_no") == 1
+    for c, share in TRANSIENT.items():
+        usual = F.median(F.when(F.col("_first") & (F.col("rep_no") > 1), F.col(f"_{c}"))).over(by)
+        weak = weak & (usual > 0) & (F.col(f"_{c}") < usual * share)
+    marked = marked.withColumn("_weak", F.coalesce(weak, F.lit(False))).withColumn("_gone", F.max(F.col("_weak").cast("long")).over(by))
+    return marked.filter("not _weak").withColumn("rep_no", F.col("rep_no") - F.col("_gone")).drop("_first", "_duration", "_peak_excess", "_area", "_weak", "_gone")
+
+
 def shown(measured: DataFrame) -> DataFrame:
     """The columns of :func:`measure` that callers see, to six decimals."""
     return measured.select("recording_id", "rep_no", *[F.round(c, 6).alias(c) for c in ("start_time", "end_time", "duration", "mean_value", "peak_value", "peak_time", "integral", "mean_activation")], "n_samples")

@@ -21,18 +21,20 @@ def _all() -> WindowSpec:
 def centered_average(signals: DataFrame, window: int = WINDOW) -> DataFrame:
     """``smooth``: the mean of ``min(window, n) // 2`` rows on either side, cut at the ends.
 
-    A recording shorter than the window has a narrower frame; the few frames
-    there can be are evaluated side by side in one pass over the sorted rows.
+    A recording shorter than the window has a narrower frame.  Its few rows are
+    gathered and averaged in order; of others none are, and they need one frame.
     """
     if window <= 1:
         return signals.withColumn("smooth", F.col("raw"))
     widest = window // 2
-    half = F.least(F.lit(window), F.count(F.lit(1)).over(_all())).cast("int")
-    half = F.floor(half / 2).cast("int")
-    mean = F.avg("raw").over(_order().rowsBetween(-widest, widest))
-    for h in range(widest - 1, -1, -1):
-        mean = F.when(F.col("_half") == h, F.avg("raw").over(_order().rowsBetween(-h, h))).otherwise(mean)
-    return signals.withColumn("_half", half).withColumn("smooth", F.round(mean, 9)).drop("_half")
+    short, half = F.col("_rows") < 2 * widest, F.floor(F.col("_rows") / 2).cast("int")
+    ordered = _order().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = signals.withColumn("_rows", F.count(F.lit(1)).over(_all()))
+    rows = rows.withColumns({"_own": F.collect_list(F.when(short, F.struct("raw"))).over(ordered), "_at": F.row_number().over(_order()), "_mean": F.avg("raw").over(_order().rowsBetween(-widest, widest))})
+    first = F.greatest(F.lit(1), F.col("_at") - half)
+    near = F.filter(F.transform(F.slice("_own", first, F.col("_at") + half - first + 1), lambda x: x["raw"].cast("double")), lambda x: x.isNotNull())
+    mean = F.aggregate(near, F.lit(0.0), lambda total, x: total + x) / F.nullif(F.size(near), F.lit(0))
+    return rows.withColumn("smooth", F.round(F.when(short, mean).otherwise(F.col("_mean")), 9)).drop("_rows", "_own", "_at", "_mean")
 
 
 def trailing_average(signals: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -61,15 +63,26 @@ def thresholds(smoothed: DataFrame, keys: tuple[str, ...] = ("recording_id",)) -
         F.col("n").alias("reference_count"), F.col("end_time").alias("reference_end_time"))
 
 
-def with_thresholds(smoothed: DataFrame, keys: tuple[str, ...] = ("recording_id",)) -> DataFrame:
-    """``smoothed`` with its recordings' ``start_threshold`` and ``end_threshold``: :func:`thresholds` beside every row, without a join."""
+def with_thresholds(smoothed: DataFrame, keys: tuple[str, ...] = ("recording_id",), ranges: bool = False) -> DataFrame:
+    """``smoothed`` with its recordings' ``start_threshold`` and ``end_threshold``, and ``signal_range`` if asked for: :func:`thresholds` beside every row, without a join."""
     by = Window.partitionBy(*keys)
     n = F.count(F.lit(1)).over(by)
     ranked = smoothed.withColumns({"_up": F.row_number().over(by.orderBy("smooth")), "_k": F.greatest(F.lit(1), F.floor(n * LOW_PERCENT / 100)), "_high": F.max("smooth").over(by)})
     low = F.round(F.avg(F.when(F.col("_up") <= F.col("_k"), F.col("smooth"))).over(by), 9)
     rows = ranked.withColumn("_low", low)
     limit = lambda share: F.round(F.col("_low") + share * (F.col("_high") - F.col("_low")), 9)
-    return rows.withColumns({"start_threshold": limit(START_FRACTION), "end_threshold": limit(END_FRACTION)}).drop("_up", "_k", "_high", "_low")
+    own = {"signal_range": F.round(F.col("_high") - F.col("_low"), 9)} if ranges else {}
+    return rows.withColumns({"start_threshold": limit(START_FRACTION), "end_threshold": limit(END_FRACTION), **own}).drop("_up", "_k", "_high", "_low")
+
+
+def with_prefix_thresholds(smoothed: DataFrame) -> DataFrame:
+    """Rows of the recordings whose :func:`active_prefix` is shorter than they are, with the thresholds of that prefix, without a join."""
+    rows = with_thresholds(smoothed, ranges=True)
+    rows = rows.withColumn("_last", F.max(F.when((F.col("signal_range") > 0) & (F.col("smooth") > F.col("end_threshold")), F.col("seq"))).over(_all())).drop("signal_range")
+    rows = rows.withColumn("_in", F.col("seq") <= F.col("_last")).withColumn("_shorter", F.max((~F.col("_in")).cast("int")).over(_all()) == 1)
+    part = with_thresholds(rows.filter("_shorter"), ("recording_id", "_in"))
+    limit = lambda c: F.max(F.when(F.col("_in"), F.col(c))).over(_all())
+    return part.withColumns({c: limit(c) for c in ("start_threshold", "end_threshold")}).drop("_last", "_in", "_shorter")
 
 
 def active_prefix(smoothed: DataFrame) -> DataFrame:

@@ -27,21 +27,18 @@ def adaptive_thresholds(signal: DataFrame) -> DataFrame:
     first one earlier by more than ``EARLIER_S``.
     """
     full, prefix = smoothing.thresholds(signal), smoothing.thresholds(smoothing.active_prefix(signal))
-    counts = {}
-    for name, limits in (("full", full), ("prefix", prefix)):
-        regions = detect.detect(signal, limits)
-        legacy = regions.groupBy("recording_id").agg(F.count(F.lit(1)).alias(f"{name}_legacy"))
-        valleys = hybrid.detect(signal, limits, regions).filter("kind = 'rep'").groupBy("recording_id").agg(F.count(F.lit(1)).alias(f"{name}_hybrid"), F.min("start_time").alias(f"{name}_first"))
-        counts[name] = legacy.join(valleys, "recording_id", "left")
-    j = full.select("recording_id", F.col("reference_count").alias("n")).join(prefix.select("recording_id", F.col("reference_count").alias("m")), "recording_id")
-    for c in counts.values():
-        j = j.join(c, "recording_id", "left")
+    j = full.withColumn("n", F.col("reference_count")).join(prefix.select("recording_id", F.col("reference_count").alias("m"), F.struct(*full.columns).alias("_prefix")), "recording_id")
+    # what the prefix finds is asked for where it is shorter only
+    for name, rows in (("full", smoothing.with_thresholds(signal)), ("prefix", smoothing.with_prefix_thresholds(signal))):
+        found = hybrid.detect(rows, None, kinds=(hybrid.THRESHOLD, "rep"))
+        valley = F.col("kind") == "rep"
+        counts = found.groupBy("recording_id").agg(F.count_if(~valley).alias(f"{name}_legacy"), F.count_if(valley).alias(f"{name}_hybrid"), F.min(F.when(valley, F.col("start_time"))).alias(f"{name}_first"))
+        j = j.join(counts, "recording_id", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     more = (zero("prefix_legacy") > zero("full_legacy")) | (zero("prefix_hybrid") > zero("full_hybrid"))
     early = F.coalesce(F.col("prefix_first") < F.col("full_first") - EARLIER_S, F.lit(False))
-    use = j.select("recording_id", ((F.col("m") < F.col("n")) & more & ~early).alias("use_prefix"))
-    both = full.withColumn("_p", F.lit(False)).unionByName(prefix.withColumn("_p", F.lit(True)))
-    return both.join(use, "recording_id").filter(F.col("_p") == F.col("use_prefix")).drop("_p")
+    use = j.withColumn("use_prefix", (F.col("m") < F.col("n")) & more & ~early)
+    return use.select("recording_id", *[F.when(F.col("use_prefix"), F.col(f"_prefix.{c}")).otherwise(F.col(c)).alias(c) for c in full.columns if c != "recording_id"], "use_prefix")
 
 
 def repetitions(samples: DataFrame, adaptive: bool = False) -> DataFrame:
@@ -108,6 +105,4 @@ def calibration_quality(samples: DataFrame, calibrations: DataFrame) -> DataFram
 
 def valley_detection(samples: DataFrame) -> DataFrame:
     """Repetitions, candidates and quality rows of the valley detector."""
-    signal = smoothed(samples)
-    limits = full_thresholds(signal)
-    return hybrid.detect(signal, limits, detect.detect(signal, limits))
+    return hybrid.detect(smoothing.with_thresholds(smoothed(samples)), None)

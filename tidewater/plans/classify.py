@@ -21,6 +21,8 @@ FORBIDDEN = (
     "session_id", "recording_filename", "participant_id", "exercise", "side", "weight", "candidate_timestamp", "hybrid_status", "human_label",
     "matched_human_boundary_timestamp", "matching_error", "matched_boundary_index", "annotation_confidence", "annotation_status", "actual_reps", "expected_reps", "recording_csv", "source_filename", "source_path",
 )
+#: Types whose values are doubles as they are; others are read as text.
+NUMBERS = ("double", "bigint", "int", "smallint", "tinyint")
 
 
 def check_features(names: tuple[str, ...]) -> None:
@@ -36,7 +38,9 @@ def numeric_rows(candidates: DataFrame, names: tuple[str, ...] = FEATURES) -> Da
     missing = [c for c in names if c not in candidates.columns]
     if missing:
         raise ValueError(f"missing columns: {missing}")
-    values = {c: F.coalesce(F.nullif(F.trim(F.col(c).cast("string")), F.lit("")).try_cast("double"), F.raise_error(F.lit(f"{c} has no number"))) for c in names}
+    types = dict(candidates.dtypes)
+    number = lambda c: F.col(c).cast("double") if types[c] in NUMBERS else F.nullif(F.trim(F.col(c).cast("string")), F.lit("")).try_cast("double")
+    values = {c: F.coalesce(number(c), F.raise_error(F.lit(f"{c} has no number"))) for c in names}
     return candidates.withColumns({**values, "label": (F.col("human_label") == "true_boundary").cast("double")})
 
 
@@ -73,10 +77,10 @@ def rule_baseline(rows: DataFrame) -> DataFrame:
 def experiment(candidates: DataFrame, kind: str = "logistic", group: str = "participant_id", names: tuple[str, ...] = FEATURES, test_fraction: float = 0.2, seed: int = 42, balanced: bool = False) -> dict[str, DataFrame]:
     """Split by group, check for leaks, train, and score the model and the rule on the same test rows.
 
-    Training reads its rows many times, so the candidates are kept while it lasts
+    Training reads its rows many times, so they are kept as numbers while it lasts
     (in memory or on the executors' disks; what is lost is computed again).
     """
-    rows = matching.split_groups(numeric_rows(candidates.persist(), names), group, test_fraction, seed)
+    rows = matching.split_groups(numeric_rows(candidates, names).persist(), group, test_fraction, seed)
     if matching.leaks(rows, group).limit(1).count():
         raise ValueError("a group lies in both parts")
     train, test = rows.filter("part = 'train'"), rows.filter("part = 'test'")

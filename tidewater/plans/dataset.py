@@ -22,7 +22,7 @@ def candidate_rows(samples: DataFrame, sessions: DataFrame, intervals: DataFrame
     """
     signal = analysis.smoothed(samples.join(sessions.select("recording_id"), "recording_id", "left_semi"))
     rows = detect.with_limits(signal, analysis.adaptive_thresholds(signal), ("recording_id",)) if adaptive else smoothing.with_thresholds(signal)
-    found = hybrid.candidate_features(rows, None, detect.detect(rows)).join(sessions, "recording_id")
+    found = hybrid.candidate_features(rows, None).join(sessions, "recording_id")
     boundaries = matching.human_boundaries(intervals)
     matched = matching.match_candidates(found.select("session_id", F.col("item").alias("cand_index"), F.col("candidate_timestamp").alias("time_s")), boundaries, tolerance)
     told = matched.join(boundaries.select("session_id", "boundary_index", "boundary_time", F.col("confidence").alias("_own")), ["session_id", "boundary_index"])

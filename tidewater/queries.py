@@ -668,9 +668,7 @@ def fn_4_set_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def seg_11_candidate_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    signal = analysis.smoothed(signals.supplier_recordings(spark, sf_dir))
-    limits = smoothing.thresholds(signal)
-    return hybrid.candidate_features(signal, limits, detect.detect(signal, limits))
+    return hybrid.candidate_features(smoothing.with_thresholds(analysis.smoothed(signals.supplier_recordings(spark, sf_dir))), None)
 
 
 _FILES = _RECS + """, fl AS (SELECT recording_id, mtime, CASE WHEN recording_id % 5 = 2 THEN 'fake' ELSE 'real' END AS data_type, test_type, CASE WHEN recording_id % 9 = 4 THEN 'Excluded' END AS status,
@@ -828,8 +826,8 @@ def cmp_7_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both detectors on every supplier's recording; the valley detector is beyond SQL, a test holds both against known repetitions."""
     rows = smoothing.with_thresholds(analysis.smoothed(signals.supplier_recordings(spark, sf_dir)))
     expected = rows.select("recording_id").distinct().withColumn("expected_reps", (F.col("recording_id") % 4).cast("string"))
-    regions = detect.detect(rows)
-    return compare.agreement(regions, hybrid.detect(rows, None, regions).filter("kind = 'rep'"), expected)
+    found = hybrid.detect(rows, None, kinds=(hybrid.THRESHOLD, "rep"))
+    return compare.agreement_of(found.withColumn("by", F.when(F.col("kind") == "rep", "valley").otherwise("threshold")), expected)
 
 
 @query("""SELECT s_suppkey AS session_id, CASE WHEN s_suppkey % 3 = 0 THEN CASE WHEN s_suppkey % 2 = 0 THEN 'locked' ELSE 'saved' END WHEN s_suppkey % 5 = 0 THEN 'no reason' ELSE 'saved' END AS outcome,
@@ -894,7 +892,7 @@ def _annotated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
     """Suppliers' recordings, a session of each, and its verified repetitions: those of the valley detector but for every seventh cut."""
     samples, i = signals.supplier_recordings(spark, sf_dir), F.col("recording_id")
     rows = smoothing.with_thresholds(analysis.smoothed(samples))
-    reps = hybrid.detect(rows, None, detect.detect(rows)).filter("kind = 'rep' and item % 7 != 3")
+    reps = hybrid.detect(rows, None, kinds=("rep",)).filter("item % 7 != 3")
     intervals = reps.select(i.alias("session_id"), F.col("item").alias("rep_number"), "start_time", "end_time", F.when(F.col("item") % 3 == 0, "high").otherwise("").alias("confidence"))
     sessions = samples.select("recording_id").distinct().select(i, i.alias("session_id"), F.concat(F.lit("r"), i, F.lit(".csv")).alias("recording_filename"), (i % 7).cast("string").alias("participant_id"), F.lit("curl").alias("exercise"), F.when(i % 2 == 0, "left").otherwise("right").alias("side"), (i % 5).cast("string").alias("weight"), (i % 10 / 10).alias("confidence"))
     return samples, sessions, intervals
