@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
+from tidewater import queries
 from tidewater.sources import sessions, signals, sinks
 from tidewater.streaming import recorder
 
@@ -39,6 +40,43 @@ def test_recordings_and_metadata_in_one_commit(spark, tmp_path):
     assert {r.recording_id: r.metadata for r in signals.read_metadata(spark, f"{path}/*/*.json").collect()}["bare"] == {"side": "right"}
 
 
+def test_committed_recordings_are_read_back_by_folder(spark, tmp_path):
+    """No file of theirs is listed by the driver, whatever their number; names, rows, nulls and their order are what was written."""
+    ids = ["a/b", "_x", "a_metadata", "ü 1%2F", "r.csv", *map(str, range(100))]
+    rows = [(k, i, i * 100.0, None, None, None, None, None if i == 2 else f"{i}.25", 'say "x",\n\r\n' if i else None) for k in ids for i in range(5)]
+    meta = [(k, {"id": k, "n": "1"}) for k in [*ids[:50], "bare"]]
+    path = str(tmp_path / "out")
+    sinks.write_recordings_once(spark.createDataFrame(rows, SAMPLES).orderBy(F.rand(3)), spark.createDataFrame(meta, "recording_id string, metadata map<string,string>"), path)
+    back, sides = sinks.read_recordings(spark, path), sinks.read_sidecars(spark, path)
+    assert back.inputFiles() == sides.inputFiles() == [] and back.rdd.getNumPartitions() == sides.rdd.getNumPartitions() == len(os.listdir(path)) < 10
+    assert sorted(map(tuple, back.collect())) == sorted((k, i, i / 10, None if i == 2 else i + 0.25) for k in ids for i in range(5))
+    assert sorted((r.recording_id, r.metadata["id"], r.metadata["n"]) for r in sides.collect()) == sorted((k, k, "1") for k, _ in meta)
+
+
+def test_the_query_lists_no_file_of_a_recording(spark, sf_dir):
+    assert queries.QUERIES["src_9_committed_recordings"](spark, sf_dir).inputFiles() == []
+
+
+def test_a_recording_longer_than_a_batch_is_one_file(spark, tmp_path):
+    n, path = 25_000, str(tmp_path / "out")
+    samples = spark.range(2 * n).select((F.col("id") % 2).cast("string").alias("recording_id"), F.expr("id div 2").alias("seq"), *[F.col("id").cast("double").alias(c) for c in sinks.RECORDING_COLUMNS])
+    side = spark.createDataFrame([("1", {"side": "left"})], "recording_id string, metadata map<string,string>")
+    sinks.write_recordings_once(samples, side, path)
+    assert below(path) == ["0.csv", "1.csv", "1_metadata.json"]
+    back = sinks.read_recordings(spark, path)
+    assert back.count() == 2 * n == back.filter("raw = 2 * seq + recording_id and abs(time_s * 1000 - raw) < 1e-6").dropDuplicates(["recording_id", "seq"]).count()
+    assert [r.recording_id for r in sinks.read_sidecars(spark, path).collect()] == ["1"]
+
+
+def test_reading_back_is_strict_and_nothing_committed_is_empty(spark, tmp_path):
+    samples, meta = recordings(spark, 1)
+    sinks.write_recordings_once(samples.withColumn("emg_value", F.when(F.col("seq") == 7, "seven").otherwise(F.col("emg_value"))), meta, str(tmp_path / "bad"))
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        sinks.read_recordings(spark, str(tmp_path / "bad")).collect()
+    sinks.write_recordings_once(samples.limit(0), meta.limit(0), str(tmp_path / "none"))
+    assert sinks.read_recordings(spark, str(tmp_path / "none")).count() == sinks.read_sidecars(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_an_existing_path_is_refused_and_left_alone(spark, tmp_path):
     samples, meta = recordings(spark, 1)
     (tmp_path / "out").mkdir()

@@ -151,8 +151,8 @@ def src_9_committed_recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
     side = F.when(F.col("recording_id") % 2 == 0, "left").otherwise("right")
     sides = ev.select("recording_id").distinct().filter("recording_id % 5 != 2").select("recording_id", F.create_map(F.lit("side"), side).alias("metadata"))
     sinks.write_recordings_once(samples, sides, path)
-    back = signals.read_signals(spark, f"{path}/*/*.csv")
-    return back.join(signals.read_metadata(spark, f"{path}/*/*.json"), "recording_id", "left").select("recording_id", "seq", F.round("time_s", 6).alias("time_s"), "raw", F.col("metadata.side").alias("side"))
+    back = sinks.read_recordings(spark, path)
+    return back.join(sinks.read_sidecars(spark, path), "recording_id", "left").select("recording_id", "seq", F.round("time_s", 6).alias("time_s"), "raw", F.col("metadata.side").alias("side"))
 
 
 @query(_S + """SELECT recording_id, seq, (seq * 10)::BIGINT AS time_ms, CASE WHEN seq % 7 <> 3 THEN 2147483648 + seq * 900000000 END AS device_time_ms, raw AS value, count(*) FILTER (seq % 7 = 5) OVER (PARTITION BY recording_id) AS malformed FROM s1 QUALIFY seq % 7 <> 5""")
